@@ -3,11 +3,17 @@
 from __future__ import annotations
 
 from .exact_dedup import OP1_SQL, op1_exact_dedup
+from .mixing import op7_mixing
+from .packing import op4_packing
+from .secrets import op9_secrets
 from .url_filter import OP5_SQL, op5_url_filter
 
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op4_packing": op4_packing,
     "op5_url_filter": op5_url_filter,
+    "op7_mixing": op7_mixing,
+    "op9_secrets": op9_secrets,
 }
 
 ORACLE_SQL = {
