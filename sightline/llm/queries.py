@@ -5,7 +5,9 @@ from __future__ import annotations
 from .exact_dedup import OP1_SQL, op1_exact_dedup
 from .mixing import op7_mixing
 from .packing import op4_packing
+from .quality import op8_quality
 from .secrets import op9_secrets
+from .toxicity import op10_toxicity
 from .url_filter import OP5_SQL, op5_url_filter
 
 QUERIES = {
@@ -13,7 +15,9 @@ QUERIES = {
     "op4_packing": op4_packing,
     "op5_url_filter": op5_url_filter,
     "op7_mixing": op7_mixing,
+    "op8_quality": op8_quality,
     "op9_secrets": op9_secrets,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLE_SQL = {

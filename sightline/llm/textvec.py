@@ -26,6 +26,8 @@ CHUNK_BYTES = 1 << 20
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+_LETTER = np.zeros(256, dtype=bool)
+_LETTER[97:123] = _LETTER[128:] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _BYTE = np.random.default_rng(20240607).integers(0, 1 << 64, 256, dtype=np.uint64)
@@ -82,10 +84,15 @@ class Words:
     """The words of a flat buffer: ``start``/``end`` byte places, ``hash``,
     ``doc`` (row of each word) and ``first`` (word offsets by row)."""
 
-    def __init__(self, raw: np.ndarray, off: np.ndarray):
-        self.raw = low = _LOWER[raw]
-        self.off = off
-        inside = ~_SPACE[low]
+    def __init__(self, raw: np.ndarray, off: np.ndarray, letters_only: bool = False):
+        """letters_only: words are runs of ASCII letters and bytes above ASCII,
+        and the two-byte Latin capitals are lower-cased as well."""
+        low = _LOWER[raw]
+        if letters_only and len(low) > 1:
+            capital = np.flatnonzero((low[:-1] == 0xC3) & (low[1:] >= 0x80) & (low[1:] <= 0x9E) & (low[1:] != 0x97)) + 1
+            low[capital] += 0x20
+        self.raw, self.off = low, off
+        inside = _LETTER[low] if letters_only else ~_SPACE[low]
         size = len(low)
         before = np.empty(size, bool)
         after = np.empty(size, bool)
