@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .exact_dedup import OP1_SQL, op1_exact_dedup
+from .minhash import op3_minhash
 from .mixing import op7_mixing
 from .packing import op4_packing
 from .quality import op8_quality
@@ -12,6 +13,7 @@ from .url_filter import OP5_SQL, op5_url_filter
 
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op3_minhash": op3_minhash,
     "op4_packing": op4_packing,
     "op5_url_filter": op5_url_filter,
     "op7_mixing": op7_mixing,
