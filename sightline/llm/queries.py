@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .embedding_dedup import op2_embedding_dedup
 from .exact_dedup import OP1_SQL, op1_exact_dedup
 from .minhash import op3_minhash
 from .mixing import op7_mixing
@@ -13,6 +14,7 @@ from .url_filter import OP5_SQL, op5_url_filter
 
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op2_embedding_dedup": op2_embedding_dedup,
     "op3_minhash": op3_minhash,
     "op4_packing": op4_packing,
     "op5_url_filter": op5_url_filter,
