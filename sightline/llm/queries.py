@@ -5,6 +5,7 @@ from __future__ import annotations
 from .embedding_dedup import op2_embedding_dedup
 from .exact_dedup import OP1_SQL, op1_exact_dedup
 from .minhash import op3_minhash
+from .html_extract import op6_html_extract
 from .mixing import op7_mixing
 from .packing import op4_packing
 from .quality import op8_quality
@@ -18,6 +19,7 @@ QUERIES = {
     "op3_minhash": op3_minhash,
     "op4_packing": op4_packing,
     "op5_url_filter": op5_url_filter,
+    "op6_html_extract": op6_html_extract,
     "op7_mixing": op7_mixing,
     "op8_quality": op8_quality,
     "op9_secrets": op9_secrets,
