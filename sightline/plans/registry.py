@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from . import admin_queries, analysis_queries
+
+QUERIES: dict = {**admin_queries.QUERIES, **analysis_queries.QUERIES}
+ORACLE_SQL: dict = {**admin_queries.ORACLE_SQL, **analysis_queries.ORACLE_SQL}
