@@ -54,8 +54,9 @@ def category_scores(results: DataFrame, mode: str = "graded") -> DataFrame:
 
 
 def overall_scores(scores: DataFrame) -> DataFrame:
-    """One row a site: seo, aeo, geo (0 if missing), perf (null if missing),
-    overall.  Without perf the other weights are scaled up to 1."""
+    """One row a site: seo, aeo, geo (0 if missing), perf (null if not
+    measured), overall.  Without perf the other weights are scaled up to 1."""
+    scores = scores.where("category <> 'PERF' OR rules > 0")
     p = scores.groupBy("site_id").pivot("category", list(CATEGORY_WEIGHT)).agg(F.first("score"))
     seo, aeo, geo, perf = (F.coalesce("SEO", F.lit(0)), F.coalesce("AEO", F.lit(0)), F.coalesce("GEO", F.lit(0)), F.col("PERF"))
     w = CATEGORY_WEIGHT
