@@ -10,7 +10,9 @@ concentrates around the Jaccard similarity.
 Sketches are cut into bands.  Documents with equal sets are one node.  Nodes
 that share a band are candidates, confirmed on their full sets.  Only links
 that components need are looked for: every node is compared with two leaders of
-each of its bands, and after that only nodes of different components in a band.
+each of its bands; bands whose nodes are of several components after that are
+settled in blocks of bounded size, which compare all their sets and give a link
+only where it joins two components.
 """
 
 from __future__ import annotations
@@ -32,6 +34,9 @@ BINS = BANDS * ROWS
 #: Largest filter over candidate ids, in bits (8 MB); a fuller one only lets
 #: more documents be shingled a second time.
 FILTER_BITS = 26
+#: A tile of a crowded band has about so many shingles and nodes at most.
+BLOCK_SHINGLES, BLOCK_NODES = 400_000, 1024
+STRIPE = 2048
 
 _U = np.uint64
 _GOLD = _U(0x9E3779B97F4A7C15)
@@ -143,6 +148,94 @@ def _pair(a: str, b: str, na: str, nb: str) -> list:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b"), F.when(first, F.col(na)).otherwise(F.col(nb)).alias("na"), F.when(first, F.col(nb)).otherwise(F.col(na)).alias("nb")]
 
 
+def block_links(values: np.ndarray, size: np.ndarray, label: np.ndarray, side: np.ndarray | None) -> list[tuple[int, int]]:
+    """Links that join different labels among the sets of a block, as few as
+    join all that can be joined.
+
+    values: the sets one after the other, size long each.  Intersections are
+    products of indicator columns, STRIPE shingles at a time; a shingle of one
+    set only is left out.  side: for two tiles, which tile a set is of; then
+    only pairs across count."""
+    n = len(size)
+    row = np.repeat(np.arange(n), size)
+    order = np.argsort(values, kind="stable")
+    v, r = values[order], row[order]
+    new = np.ones(len(v), bool)
+    new[1:] = v[1:] != v[:-1]
+    col = np.cumsum(new) - 1
+    shared = np.bincount(col)[col] > 1
+    r, col = r[shared], col[shared]
+    col = np.unique(col, return_inverse=True)[1]
+    left = np.arange(n) if side is None else np.flatnonzero(~side)
+    right = np.arange(n) if side is None else np.flatnonzero(side)
+    both = np.zeros((len(left), len(right)), np.float32)
+    cut = np.searchsorted(col, np.arange(0, (col[-1] if len(col) else -1) + 1 + STRIPE, STRIPE))
+    for k, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)):
+        part = np.zeros((n, STRIPE), np.float32)
+        part[r[a:b], col[a:b] - k * STRIPE] = 1
+        both += part[left] @ part[right].T
+    i, j = np.nonzero((100 * both >= THRESHOLD * (size[left][:, None] + size[right][None, :] - both)) & (label[left][:, None] != label[right][None, :]))
+    root = {x: x for x in set(label.tolist())}
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    out = []
+    for a, b in zip(left[i].tolist(), right[j].tolist(), strict=True):
+        x, y = find(int(label[a])), find(int(label[b]))
+        if x != y:
+            root[max(x, y)] = min(x, y)
+            out.append((a, b))
+    return out
+
+
+def _links_in_blocks(open_: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) between components, of all pairs that share a band.
+
+    A band with nodes of one component is settled.  The others are dealt into
+    tiles of bounded size, each two tiles of a band meet in one block, and a
+    block gives no more links than it joins components."""
+    bands = open_.groupBy("band").agg(F.min("l").alias("lo"), F.max("l").alias("hi"), F.sum("n").alias("shingles"), F.count(F.lit(1)).alias("c")).where("lo <> hi")
+    tiles = F.greatest(F.ceil(F.col("shingles") / BLOCK_SHINGLES), F.ceil(F.col("c") / BLOCK_NODES)).cast("int")
+    x = open_.join(bands.select("band", tiles.alias("tiles")), "band")
+    x = x.withColumn("t", F.pmod(F.xxhash64("rep", F.lit(11)), F.col("tiles")).cast("int")).withColumn("u", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    x = x.select("band", F.least("t", "u").alias("i"), F.greatest("t", "u").alias("j"), "t", F.col("rep").alias("id"), "l").join(sets, "id").select("band", "i", "j", "t", "id", "l", "shingles")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def done(held: list[pa.RecordBatch], i: int, j: int) -> pa.RecordBatch:
+            g = pa.Table.from_batches(held).combine_chunks()
+            found: list[tuple[int, int]] = []
+            ids = g["id"].to_numpy()
+            if g.num_rows > 1:
+                lists = g["shingles"].chunk(0)
+                side = g["t"].to_numpy() == j if i != j else None
+                found = block_links(lists.flatten().to_numpy(), np.diff(lists.offsets.to_numpy()), g["l"].to_numpy(), side)
+            a, b = ([ids[p[k]] for p in found] for k in range(2))
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+        held: list[pa.RecordBatch] = []
+        now = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            k = np.column_stack([batch.column(c).to_numpy() for c in range(3)])
+            cut = [0, *(np.flatnonzero((k[1:] != k[:-1]).any(axis=1)) + 1).tolist(), len(k)]
+            for a, b in zip(cut[:-1], cut[1:], strict=True):
+                at = tuple(k[a].tolist())
+                if now is not None and at != now:
+                    yield done(held, *now[1:])
+                    held = []
+                now = at
+                held.append(batch.slice(a, b - a))
+        if held:
+            yield done(held, *now[1:])
+
+    return x.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j").mapInArrow(run, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: the id, ``n_shingles``, ``component_id``, ``kept``.
 
@@ -176,17 +269,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         sets = checkpointed(_full_sets(src, wanted).join(reps.select(F.col("rep").alias("id")).distinct(), "id", "left_semi"))
         links = checkpointed(_confirmed(tested, sets))
         comp = connected_components(links)
-        # bands that still hold several components: whoever is not with the first leader meets all others
+        # what the leaders left open: nodes of different components in a band
         label = comp.select(F.col("node").alias("rep"), "component")
-        lead_label = comp.select(F.col("node").alias("p1"), F.col("component").alias("main"))
-        crowded = crowd.where("c > 3").join(label, "rep", "left").join(lead_label, "p1", "left")
-        crowded = crowded.select("band", "rep", "n", "p1", "p2", F.coalesce("component", "rep").alias("l"), F.coalesce("main", "p1").alias("m"))
-        crowded = checkpointed(crowded)
-        apart = crowded.where("l <> m").select("band", F.col("rep").alias("r"), F.col("n").alias("rn"), F.col("l").alias("rl"))
-        others = crowded.where("rep <> p1 AND rep <> p2")
-        more = apart.join(others, "band").where((F.col("l") != F.col("rl")) & near("n", "rn")).select(*_pair("r", "rep", "rn", "n")).select("a", "b").distinct()
-        more = more.join(tested, ["a", "b"], "left_anti")
-        found = checkpointed(_confirmed(more, sets))
+        open_ = crowd.where("c > 3").join(label, "rep", "left").select("band", "rep", "n", F.coalesce("component", "rep").alias("l"))
+        found = checkpointed(_links_in_blocks(checkpointed(open_), sets))
         if not no_rows(found):
             comp = connected_components(links.unionByName(found))
     names = nodes.select("k1", "k2", "n", "rep")
