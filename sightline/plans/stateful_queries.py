@@ -34,10 +34,10 @@ def event_trend(spark, d):
 QUERIES = {f.__name__: f for f in (rate_limited, cost_gated, event_trend)}
 
 ORACLE_SQL = {
-    "rate_limited": """WITH RECURSIVE e AS (SELECT CAST(user_id % 100 AS VARCHAR) AS key, epoch_us(ts) // 1000 AS at, row_number() OVER (PARTITION BY user_id % 100 ORDER BY epoch_us(ts) // 1000, event_id) AS k FROM events),
-      f AS (SELECT key, k, at, at AS s, 1 AS n, true AS ok, 0::BIGINT AS w FROM e WHERE k = 1
-        UNION ALL SELECT e.key, e.k, e.at, CASE WHEN e.at - s >= 172800000 THEN e.at ELSE s END, CASE WHEN e.at - s >= 172800000 THEN 1 WHEN n >= 3 THEN n ELSE n + 1 END,
-          e.at - s >= 172800000 OR n < 3, CASE WHEN e.at - s >= 172800000 OR n < 3 THEN 0 ELSE 172800000 - (e.at - s) END FROM f JOIN e ON e.key = f.key AND e.k = f.k + 1)
+    "rate_limited": """WITH RECURSIVE e AS (SELECT CAST(user_id % 100 AS VARCHAR) AS key, epoch_us(ts) // 1000 AS a, row_number() OVER (PARTITION BY user_id % 100 ORDER BY epoch_us(ts) // 1000, event_id) AS k FROM events),
+      f AS (SELECT key, k, a, a AS s, 1 AS n, true AS ok, 0::BIGINT AS w FROM e WHERE k = 1
+        UNION ALL SELECT e.key, e.k, e.a, CASE WHEN e.a - s >= 172800000 THEN e.a ELSE s END, CASE WHEN e.a - s >= 172800000 THEN 1 WHEN n >= 3 THEN n ELSE n + 1 END,
+          e.a - s >= 172800000 OR n < 3, CASE WHEN e.a - s >= 172800000 OR n < 3 THEN 0 ELSE 172800000 - (e.a - s) END FROM f JOIN e ON e.key = f.key AND e.k = f.k + 1)
       SELECT key, count(*) AS events, count(*) FILTER (ok) AS allowed, max(w) AS longest_wait FROM f GROUP BY 1""",
     "event_trend": "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS events FROM events GROUP BY 1, 2",
 }
