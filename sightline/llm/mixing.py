@@ -188,8 +188,9 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def first_words(text: Column, words: Column) -> Column:
     """The text up to the end of its words-th word."""
     t = F.regexp_replace(text, r"^[\x20\x09-\x0D]+", "")
-    rest = F.element_at(F.split(t, r"[\x20\x09-\x0D]+", words + 1), -1)
-    return F.regexp_replace(t.substr(F.lit(1), F.length(t) - F.length(rest)), r"[\x20\x09-\x0D]+$", "")
+    parts = F.split(t, r"[\x20\x09-\x0D]+", words + 1)
+    rest = F.when(F.size(parts) > words, F.length(F.element_at(parts, -1))).otherwise(F.lit(0))
+    return F.regexp_replace(t.substr(F.lit(1), F.length(t) - rest), r"[\x20\x09-\x0D]+$", "")
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
