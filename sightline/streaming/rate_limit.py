@@ -48,9 +48,10 @@ def rate_limit(events: DataFrame, window_ms: int, most: int) -> DataFrame:
     return e.repartition("key").sortWithinPartitions("key", "at_ms", "event_id").mapInPandas(run, OUT)
 
 
-def stream_rate_limit(events: DataFrame, window_ms: int, most: int) -> DataFrame:
+def stream_rate_limit(events: DataFrame, window_ms: int, most: int, expire: bool = True) -> DataFrame:
     """The same fold on a stream: a key's window is its state, dropped when no
-    event has come for a window.  Events of a batch are folded in time order;
+    event has come for a window.  Timers keep a stream busy, so one that is to
+    end when its input does (availableNow) is run with expire=False.  Events of a batch are folded in time order;
     one that comes later than a batch counts when it comes."""
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -65,11 +66,12 @@ def stream_rate_limit(events: DataFrame, window_ms: int, most: int) -> DataFrame
             start, count, ok, left, wait = _fold(start, count, int(at), window_ms, most)
             out.append((key[0], e, at, ok, left, wait))
         state.update((start, count))
-        state.setTimeoutDuration(window_ms)
+        if expire:
+            state.setTimeoutDuration(window_ms)
         yield pd.DataFrame(out, columns=[c.split()[0] for c in OUT.split(", ")])
 
     e = events.select(F.col("key").cast("string"), F.col("event_id").cast("long"), F.col("at_ms").cast("long"))
-    return e.groupBy("key").applyInPandasWithState(step, OUT, "start long, count int", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return e.groupBy("key").applyInPandasWithState(step, OUT, "start long, count int", "append", GroupStateTimeout.ProcessingTimeTimeout if expire else GroupStateTimeout.NoTimeout)
 
 
 def event_trend(events: DataFrame, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
