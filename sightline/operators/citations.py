@@ -40,6 +40,34 @@ def cited(citations: DataFrame) -> DataFrame:
     })
 
 
+#: What makes a mention negative, and a list.
+NEGATIVE = ["비추", "비추천", "주의", "조심", "피해", "불만", "별로", "추천하지", "권하지 않"]
+LIST_MARKS = ["1)", "2)", "1.", "2.", "①", "②", "- ", "* "]
+MARKER, MOST_NAMES, LONGEST_NAME = "[추천업체]", 10, 40
+
+
+def mention_context(response: Column, index: Column, name: Column) -> Column:
+    """none, negative (within 60 characters), primary (in the first quarter of an
+    answer without a list), in-list or incidental."""
+    r = F.coalesce(response, F.lit(""))
+    near = F.lower(F.substring(r, F.greatest(index - 60, F.lit(0)) + 1, F.least(index, F.lit(60)) + F.char_length(name) + 60))
+    some = lambda where, words: F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(where, w))
+    return F.when((index < 0) | (F.coalesce(name, F.lit("")) == "") | (r == ""), "none").when(some(near, NEGATIVE), "negative").when((index < F.char_length(r) * 0.25) & ~some(r, LIST_MARKS), "primary").when(some(r, LIST_MARKS), "in-list").otherwise("incidental")
+
+
+def listed_names(response: Column, own: Column) -> Column:
+    """Names of the numbered list after the marker, until the first other line:
+    without what follows a bracket or dash, quotes, the own name and repeats."""
+    after = F.when(F.contains(response, F.lit(MARKER)), F.element_at(F.split(response, r"\Q[추천업체]\E", 2), 2)).otherwise(F.lit(""))
+    lines = F.filter(F.split(after, r"\r?\n"), lambda x: F.trim(x) != "")
+    numbered = r"^\s*\d{1,2}\s*[.)\-:]\s*(.+?)\s*$"
+    stop = F.array_position(F.transform(lines, lambda x: ~x.rlike(numbered)), True)
+    block = F.when(stop > 0, F.slice(lines, F.lit(1), F.greatest(stop.cast("int") - 1, F.lit(0)))).otherwise(lines)
+    names = F.transform(block, lambda x: F.trim(F.regexp_replace(F.trim(F.regexp_replace(F.regexp_extract(x, numbered, 1), r"\s*[(（\-—:].*$", "")), r"^[\"'*`]+|[\"'*`]+$", "")))
+    good = F.filter(names, lambda n: (n != "") & (F.char_length(n) <= LONGEST_NAME) & ~n.rlike(r"(?i)^(없음|없습니다|해당\s*없음|n/?a|none|-)$") & (F.lower(n) != F.lower(F.trim(F.coalesce(own, F.lit(""))))))
+    return F.slice(F.array_distinct(good), 1, MOST_NAMES)
+
+
 def citation_metrics(rows: DataFrame) -> DataFrame:
     """Rates a site, three digits; every citation counts."""
     rate = lambda c: half_up(F.avg(F.col(c).cast("double")), 3)

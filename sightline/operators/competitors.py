@@ -75,8 +75,11 @@ def buildable_queries(profiles: DataFrame, keywords: int = 3) -> DataFrame:
 
 
 def heuristic_authority(signals: DataFrame) -> DataFrame:
-    """site_id and domain authority estimated from capped on-page signals."""
+    """site_id, ``authority``, ``backlinks`` and ``domains`` estimated from capped
+    on-page signals (fixed weights); a missing signal counts for nothing."""
     cap = lambda c, most: F.least(F.coalesce(F.col(c), F.lit(0)).cast("double"), F.lit(float(most)))
     flag = lambda c: F.coalesce(F.col(c), F.lit(False)).cast("double")
-    raw = flag("https") * 15 + flag("hsts") * 10 + flag("canonical_consistent") * 15 + cap("structured_data", 5) * 4 + cap("social_meta", 8) * 2 + cap("content_length", 100) * 0.2
-    return signals.select("site_id", F.least(F.lit(100), F.greatest(F.lit(0), F.floor(raw * 0.9 + 0.5))).cast("int").alias("authority"))
+    count = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("double")
+    raw = flag("https") * 10 + flag("hsts") * 5 + flag("sitemap") * 10 + flag("robots_txt") * 5 + F.least(count("structured_data") * 5, F.lit(25.0)) + F.least(count("social_meta") * 2, F.lit(15.0)) + flag("canonical_consistent") * 10 + cap("content_length", 100) * 0.2
+    da = F.floor(F.least(F.lit(100.0), F.greatest(F.lit(0.0), raw * 0.9)) + 0.5).cast("int")
+    return signals.select("site_id", da.alias("authority"), F.floor(da * 5 + 0.5).cast("int").alias("backlinks"), F.floor(da * 0.8 + 0.5).cast("int").alias("domains"))
