@@ -40,3 +40,23 @@ def test_listed_names_and_context(spark):
 def test_authority(spark):
     df = spark.createDataFrame([("s", True, True, True, True, 9, 9, True, 500.0), ("t", None, None, None, None, None, None, None, None)], "site_id string, https boolean, hsts boolean, sitemap boolean, robots_txt boolean, structured_data int, social_meta int, canonical_consistent boolean, content_length double")
     assert {r["site_id"]: tuple(r)[1:] for r in competitors.heuristic_authority(df).collect()} == {"s": (90, 450, 72), "t": (0, 0, 0)}
+
+
+def test_channel_lights(spark):
+    from sightline.operators import channels
+
+    rows = [(None, None, None, "red"), (4, 3, True, "green"), (4, 4, False, "green"), (4, 1, False, "yellow"), (4, 0, True, "red")]
+    df = spark.createDataFrame(rows, "q int, v int, h boolean, k string")
+    assert all(r[0] == r[1] for r in df.select("k", channels.naver_light(F.col("q"), F.col("v"), F.col("h"))).collect())
+    g = spark.createDataFrame([(None, 85.0, "green"), (float("nan"), 40.0, "yellow"), (-1.0, None, "red")], "a double, b double, k string")
+    assert all(r[0] == r[1] for r in g.select("k", channels.google_light(F.col("a"), F.col("b"))).collect())
+    a = spark.createDataFrame([(None, None, "red"), (True, True, "green"), (True, False, "red"), (False, True, "yellow")], "g boolean, c boolean, k string")
+    assert all(r[0] == r[1] for r in a.select("k", channels.ai_light(F.col("g"), F.col("c"))).collect())
+
+
+def test_mobile_markup(spark):
+    from sightline.operators import channels
+
+    html = '<meta name="viewport" content="width=device-width"><table width="900"><button style="width: 20px; height: 60px">x</button><a href="x" style="width:80px;height:80px">y</a><p style="font-size: 10px">t</p><div style="color:red">'
+    r = spark.range(1).select(channels.missing_viewport(F.lit(html)), channels.wider_than(F.lit(html), 390), channels.wider_than(F.lit("<div style='width:100%'>"), 50), channels.small_targets(F.lit(html)), channels.small_text(F.lit(html))).first()
+    assert (r[0], r[1], r[2], r[3], tuple(r[4])) == (False, True, False, 1, (2, 1))
