@@ -60,3 +60,17 @@ def test_mobile_markup(spark):
     html = '<meta name="viewport" content="width=device-width"><table width="900"><button style="width: 20px; height: 60px">x</button><a href="x" style="width:80px;height:80px">y</a><p style="font-size: 10px">t</p><div style="color:red">'
     r = spark.range(1).select(channels.missing_viewport(F.lit(html)), channels.wider_than(F.lit(html), 390), channels.wider_than(F.lit("<div style='width:100%'>"), 50), channels.small_targets(F.lit(html)), channels.small_text(F.lit(html))).first()
     assert (r[0], r[1], r[2], r[3], tuple(r[4])) == (False, True, False, 1, (2, 1))
+
+
+def test_recommendations(spark):
+    from sightline.operators import recommend
+
+    items = spark.createDataFrame([("s", "A", "짧음"), ("s", "B", "짧음")], "site_id string, rule_id string, text string")
+    templates = spark.createDataFrame([("A", "{name} 홈페이지에 '커트 25,000원'처럼 숫자와 단위를 포함한 가격을 1개 이상 적으면 고객이 비용을 가늠할 수 있습니다.")], "rule_id string, template string")
+    profiles = spark.createDataFrame([("s", {"name": "행복카페"})], "site_id string, values map<string,string>")
+    got = {r["rule_id"]: r for r in recommend.improve(items, templates, profiles).collect()}
+    assert got["A"]["source"] == "template" and got["A"]["text"].startswith("행복카페") and got["B"]["text"] == "짧음"
+    requests = spark.createDataFrame([("d", i) for i in range(5)], "day string, pos int")
+    providers = spark.createDataFrame([(1, "paid", 1.0, 2.0), (2, "local", 0.0, 0.0)], "rank int, provider string, usd_in double, usd_out double")
+    rows = recommend.choose_provider(requests, providers, 1.8).orderBy("pos").collect()
+    assert [r["provider"] for r in rows] == ["paid"] * 3 + ["local"] * 2 and rows[2]["alert"] == "exhausted" and rows[0]["alert"] is None
