@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import gc
 import tempfile
+from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -94,3 +99,41 @@ def without_ids(docs: DataFrame, dropped: DataFrame, id_col: str = "doc_id") ->
     ids = dropped.toDF("_dropped")
     ids = F.broadcast(ids) if small(ids, BROADCAST_IDS) else ids
     return docs.join(ids, docs[id_col] == ids["_dropped"], "left_anti")
+
+
+#: Rows of an Arrow batch while a session has Spark's default of 10,000: texts are
+#: long, and a batch is in memory several times, in the JVM and in Python.
+BATCH_ROWS = 1_000
+
+
+def small_batches(df: DataFrame) -> None:
+    """Make the session's Arrow batches small, unless it was told a size."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if df.sparkSession.conf.get(key, "10000") == "10000":
+        df.sparkSession.conf.set(key, str(BATCH_ROWS))
+
+
+def release_memory() -> None:
+    """Give what this process has freed back to the machine."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library keeps it
+        pass
+
+
+def tidy(run: Callable) -> Callable:
+    """run for mapInArrow that gives its memory back when its task ends.
+
+    Python workers stay alive for later tasks; without this each keeps what its
+    largest batch needed while other work wants the executor's memory."""
+
+    @functools.wraps(run)
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release_memory()
+
+    return wrapped

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, connected_components, no_rows, small, table
+from .common import checkpointed, connected_components, no_rows, small, small_batches, table, tidy
 
 THRESHOLD = 0.95
 NEAREST = 6
@@ -135,6 +135,7 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     The index is fitted on SAMPLE vectors and holds every row.  A link between
     vectors that share fewer than two of their nearest pivots is missed; see the
     README for the measured recall."""
+    small_batches(vectors)
     src = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
     usable = src.where("id IS NOT NULL AND size(v) > 0 AND NOT exists(v, c -> c IS NULL OR isnan(c) OR abs(c) = double('Infinity')) AND exists(v, c -> c <> 0)")
     sample = usable.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).collect()
@@ -170,7 +171,7 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
                 keys += k.tolist()
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(data, pa.binary()), pa.array(near, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["id", "x", "p", "keys"])
 
-    described = checkpointed(usable.mapInArrow(describe, "id long, x binary, p binary, keys array<long>"))
+    described = checkpointed(usable.mapInArrow(tidy(describe), "id long, x binary, p binary, keys array<long>"))
     lists = described.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("c"))
     long = checkpointed(lists.where(F.col("c") > TILE).select("key", F.ceil(F.col("c") / TILE).cast("int").alias("tiles")))
     long = F.broadcast(long) if small(long, BROADCAST_LISTS) else long
@@ -214,7 +215,7 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
         if held:
             yield _links(done(held, *now))
 
-    found = checkpointed(groups.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(link, "id long, n long, root long"))
+    found = checkpointed(groups.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(tidy(link), "id long, n long, root long"))
     if no_rows(found):
         return base.select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
     counts = found.groupBy("id").agg(F.sum("n").alias("n"))

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import small_batches, table, tidy
 
 # Element classes of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -416,6 +416,7 @@ def extract(pages: DataFrame, model: tuple[np.ndarray, np.ndarray] | None = None
     implied end tags.  Whole pages are parsed whatever their length; rows that
     repeat are each on their own; other columns are not looked at; an empty
     table gives no rows."""
+    small_batches(pages)
     packed = pickle.dumps(model or default_model())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -436,7 +437,7 @@ def extract(pages: DataFrame, model: tuple[np.ndarray, np.ndarray] | None = None
 
     src = pages.select(F.col(id_col), *keep, F.col(html_col).cast("string").alias("_html"))
     kinds = ", ".join(f"`{c}` {t}" for c, t in src.dtypes[:-1])
-    return src.mapInArrow(run, f"{kinds}, text string, blocks_kept long, blocks long")
+    return src.mapInArrow(tidy(run), f"{kinds}, text string, blocks_kept long, blocks long")
 
 
 def op6_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:

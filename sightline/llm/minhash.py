@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, connected_components, no_rows, table, text_of, without_ids
+from .common import checkpointed, connected_components, no_rows, small_batches, table, text_of, tidy, without_ids
 from .textvec import Words, buffers, distinct, mix, shingles
 
 WIDTH = 5
@@ -132,7 +132,7 @@ def _full_sets(src: DataFrame, ids: DataFrame) -> DataFrame:
                 cut = np.searchsorted(row, np.arange(n + 1))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, n), pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(h.view(np.int64)))], names=["id", "shingles"])
 
-    return src.where("id IS NOT NULL").select("id", F.xxhash64("id").alias("h"), "t").mapInArrow(run, "id long, shingles array<long>")
+    return src.where("id IS NOT NULL").select("id", F.xxhash64("id").alias("h"), "t").mapInArrow(tidy(run), "id long, shingles array<long>")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -233,7 +233,7 @@ def _links_in_blocks(open_: DataFrame, sets: DataFrame) -> DataFrame:
         if held:
             yield done(held, *now[1:])
 
-    return x.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j").mapInArrow(run, "a long, b long")
+    return x.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j").mapInArrow(tidy(run), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -248,8 +248,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     and a text agree; if an id repeats with different texts, those for which it
     is the smallest id count as linked.  A row with a null id has no component
     and is kept.  Other columns are not looked at; an empty table gives no rows."""
+    small_batches(docs)
     src = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("t"))
-    sig = checkpointed(src.mapInArrow(_signatures, "id long, n long, k1 long, k2 long, bands array<long>"))
+    sig = checkpointed(src.mapInArrow(tidy(_signatures), "id long, n long, k1 long, k2 long, bands array<long>"))
     nodes = sig.where("n > 0 AND id IS NOT NULL").groupBy("k1", "k2", "n").agg(F.min("id").alias("rep"), F.any_value("bands").alias("bands"))
     nodes = checkpointed(nodes)
     members = nodes.select("rep", "n", F.explode("bands").alias("band")).withColumn("o", F.xxhash64("rep"))

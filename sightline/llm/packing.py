@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, text_of
+from .common import small_batches, table, text_of, tidy
 
 CAPACITY = 2048
 CUTS = 2
@@ -113,6 +113,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, id_col: str = "doc_id",
     their own.  A very long text is encoded as a whole and cut.  Ids may be
     null; other columns are not looked at; an empty table gives no rows.
     tokenizer: a file for the tokenizers library that executors have too."""
+    small_batches(docs)
     path = tokenizer or default_tokenizer()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,7 +139,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, id_col: str = "doc_id",
         yield rows()
 
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("t"))
-    return src.mapInArrow(run, SCHEMA).withColumnRenamed("doc_id", id_col)
+    return src.mapInArrow(tidy(run), SCHEMA).withColumnRenamed("doc_id", id_col)
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

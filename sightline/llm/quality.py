@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, text_of
+from .common import small_batches, table, text_of, tidy
 from .textvec import Words, buffers
 
 #: Bound on the labelled rows that are fitted, lowest hash of the id first.
@@ -124,6 +124,7 @@ def crc_mod(id_col: str, n: int = 3) -> Column:
 
 def _described(docs: DataFrame, id_col: str, text_col: str, more: list[str]) -> DataFrame:
     """id, more and the array of statistics."""
+    small_batches(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -132,7 +133,7 @@ def _described(docs: DataFrame, id_col: str, text_col: str, more: list[str]) ->
 
     src = docs.select(F.col(id_col).cast("long").alias("id"), *more, text_of(text_col).alias("t"))
     kinds = ", ".join(f"{c} {t}" for c, t in src.dtypes[:-1])
-    return src.mapInArrow(run, f"{kinds}, stats array<double>")
+    return src.mapInArrow(tidy(run), f"{kinds}, stats array<double>")
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_train: int = MAX_TRAIN, features: int = FEATURES, ridge: float = RIDGE) -> Model | None:
@@ -143,9 +144,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     are those with the lowest hashes of their ids, max_train at most."""
     rows = labels.select(F.col(id_col).cast("long").alias("_id"), F.col(label_col).cast("double").alias("_y")).dropna().groupBy("_id").agg(F.max("_y").alias("_y"))
     rows = rows.orderBy(F.xxhash64("_id"), "_id").limit(max_train)  # bounded, so broadcast
-    joined = docs.join(F.broadcast(rows), docs[id_col].cast("long") == rows["_id"]).withColumn("_fold", F.pmod(F.xxhash64("_id", F.lit(SEED)), F.lit(4)))
-    data = _described(joined, id_col, text_col, ["_y", "_fold"])
-    data = data.repartition(FIT_PARTITIONS, "id").persist()
+    docs = docs.select(F.col(id_col).cast("long").alias("_doc"), F.col(text_col).alias("_text"))
+    joined = docs.join(F.broadcast(rows), F.col("_doc") == F.col("_id")).withColumn("_fold", F.pmod(F.xxhash64("_id", F.lit(SEED)), F.lit(4)))
+    data = _described(joined, "_doc", "_text", ["_y", "_fold"])
+    data = data.repartition(FIT_PARTITIONS).persist()  # so few normal equations reach the driver
     try:
         n = len(STATISTICS)
         sums = data.select(F.count(F.lit(1)).alias("c"), *(e for i in range(n) for e in (F.sum(F.col("stats")[i]).alias(f"s{i}"), F.sum(F.col("stats")[i] * F.col("stats")[i]).alias(f"q{i}")))).first()
@@ -168,7 +170,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             yield pa.RecordBatch.from_arrays([pa.array([a.tobytes()], pa.binary()), pa.array([b.tobytes()], pa.binary())], names=["a", "b"])
 
         def solve(part: DataFrame) -> np.ndarray:
-            parts = part.select("stats", "_y").mapInArrow(normal, "a binary, b binary").collect()  # FIT_PARTITIONS rows
+            parts = part.select("stats", "_y").mapInArrow(tidy(normal), "a binary, b binary").collect()  # FIT_PARTITIONS rows
             a = sum(np.frombuffer(r["a"]).reshape(features + 1, features + 1) for r in parts)
             b = sum(np.frombuffer(r["b"]) for r in parts)
             return np.linalg.solve(a + ridge * np.eye(features + 1), b)
@@ -191,6 +193,7 @@ def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
     """One row per row of docs: the id and ``score`` from 0 to 1, of the whole
     text; null counts as empty, and empty texts have a score as well.  Without
     a model each score is 0.5.  Other columns are not looked at."""
+    small_batches(docs)
     packed = pickle.dumps(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,7 +203,7 @@ def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(out) if out else np.zeros(0), pa.float64())], names=["id", "score"])
 
     src = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("t"))
-    return src.mapInArrow(run, "id long, score double").withColumnRenamed("id", id_col)
+    return src.mapInArrow(tidy(run), "id long, score double").withColumnRenamed("id", id_col)
 
 
 def learnable(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -217,6 +220,7 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the classifier does not reject (score below 0.5)."""
+    small_batches(docs)
     model = fit(docs, learnable(table(spark, sf_dir, "labels")))
     packed = pickle.dumps(model)
     names = docs.columns
@@ -228,4 +232,4 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
             out = [m.score(statistics(raw, off)) >= 0.5 if m else np.ones(len(off) - 1, bool) for _, raw, off in buffers(batch.column(at).cast(pa.string()))]
             yield batch.filter(pa.array(np.concatenate(out) if out else np.zeros(0, bool)))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)

@@ -57,20 +57,20 @@ def _power(kind: str, n: int) -> np.ndarray:
 def buffers(texts: pa.Array | pa.ChunkedArray):
     """Yield ``(first_row, bytes, offsets)`` pieces of at most ``CHUNK_BYTES``.
 
+    texts is of type string or large_string; nothing is copied but the offsets.
     A null text counts as empty.  ``offsets`` has one more entry than rows."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
         if isinstance(texts, pa.ChunkedArray):
             texts = pa.concat_arrays(texts.chunks) if texts.num_chunks else pa.array([], pa.string())
-    if not pa.types.is_large_binary(texts.type):
-        texts = texts.cast(pa.large_string()) if pa.types.is_string(texts.type) else texts
     if texts.null_count:
-        texts = texts.fill_null("" if not pa.types.is_large_binary(texts.type) else b"")
+        texts = texts.fill_null("")
     n = len(texts)
     if n == 0:
         return
     _, where, data = texts.buffers()
-    off = np.frombuffer(where, dtype=np.int64)[texts.offset : texts.offset + n + 1]
+    kind = np.int64 if pa.types.is_large_string(texts.type) else np.int32
+    off = np.frombuffer(where, dtype=kind)[texts.offset : texts.offset + n + 1].astype(np.int64)
     raw = np.frombuffer(data, dtype=np.uint8) if data is not None else np.zeros(0, np.uint8)
     first = 0
     while first < n:

@@ -21,8 +21,8 @@ _OTHER, _LETTER, _NUMBER, _WHITE, _UNSURE = range(5)
 _LIMIT = 0x3000
 #: Known pieces kept by a worker before it starts anew, and the slots in which
 #: it looks for them; a piece whose slot another one takes is learnt again.
-TABLE_SIZE = 2_000_000
-SLOT_BITS = 22
+TABLE_SIZE = 700_000
+SLOT_BITS = 21
 SLOTS = 1 << SLOT_BITS
 CHUNK_CHARS = 1 << 18
 #: The byte-level vocabulary shows bytes as printable characters: those that are
