@@ -10,6 +10,7 @@ Word beginnings let a stem count in forms that no labelled text has.
 from __future__ import annotations
 
 import pickle
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, text_of
+from .common import release_memory, small_batches, table, text_of, tidy
 from .quality import crc_mod
 from .textvec import Words, buffers, mix
 
@@ -27,8 +28,11 @@ BUCKET_BITS = 21
 BUCKETS = 1 << BUCKET_BITS
 PREFIXES = (4, 5, 6)
 #: Features kept for each category, by chi-square on the training rows.
-SELECTED = 2_000
+SELECTED = 1_000
 LEAST_TEXTS = 4
+LEAST_CHI = 10.8
+#: A word in more than this share of the training texts tells nothing.
+MOST_SHARE = 0.25
 FOLDS = 3
 STEPS = 200
 RIDGE = 2e-3
@@ -133,6 +137,7 @@ def fit(labelled: DataFrame, categories: list[str], id_col: str = "doc_id", text
 
     Rows with a null category are left out.  Rows with the lowest hashes of id
     and text are fitted, max_train at most.  None if there are no rows."""
+    small_batches(labelled)
     names = [f"y{i}" for i in range(len(categories))]
     src = labelled.select(F.xxhash64(id_col, text_of(text_col)).alias("h"), *(F.col(c).cast("int").alias(n) for c, n in zip(categories, names, strict=True)), text_of(text_col).alias("t")).dropna()
     # fitted rows are few enough to be held on the executors between the passes
@@ -154,7 +159,7 @@ def fit(labelled: DataFrame, categories: list[str], id_col: str = "doc_id", text
             found = pa.concat_arrays(lists) if lists else pa.array([], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], found], names=[*batch.schema.names[:-1], "f"])
 
-    rows = src.mapInArrow(run, f"h long, {', '.join(f'{n} int' for n in names)}, f array<int>").repartition(FIT_PARTITIONS, "h").persist()
+    rows = src.mapInArrow(tidy(run), f"h long, {', '.join(f'{n} int' for n in names)}, f array<int>").repartition(FIT_PARTITIONS).persist()
     try:
 
         def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,23 +176,23 @@ def fit(labelled: DataFrame, categories: list[str], id_col: str = "doc_id", text
                     chosen = values if c == 0 else values[np.repeat(which[c], size)]
                     seen[c] += np.bincount(chosen, minlength=BUCKETS).astype(np.uint16)
                     total[c] += which[c].sum()
-            yield pa.RecordBatch.from_arrays([pa.array([seen.tobytes()], pa.binary()), pa.array([total.tobytes()], pa.binary())], names=["seen", "total"])
+            yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(seen.tobytes(), 1)], pa.binary()), pa.array([total.tobytes()], pa.binary())], names=["seen", "total"])
 
         seen, total = np.zeros((width + 1, BUCKETS), np.int32), np.zeros(width + 1, np.int64)
-        for r in rows.mapInArrow(count, "seen binary, total binary").toLocalIterator():  # FIT_PARTITIONS rows of a fixed size
-            seen += np.frombuffer(r["seen"], np.uint16).reshape(width + 1, BUCKETS)
+        for r in rows.mapInArrow(tidy(count), "seen binary, total binary").toLocalIterator():  # FIT_PARTITIONS rows of a fixed size
+            seen += np.frombuffer(zlib.decompress(r["seen"]), np.uint16).reshape(width + 1, BUCKETS)
             total += np.frombuffer(r["total"], np.int64)
         n = int(total[0])
         if not n:
             return None
         chosen: set[int] = set()
         for c in range(1, width + 1):
-            can = np.flatnonzero(seen[0] >= LEAST_TEXTS)
+            can = np.flatnonzero((seen[0] >= LEAST_TEXTS) & (seen[0] <= MOST_SHARE * n))
             k, a, b = int(total[c]), seen[c][can].astype(float), seen[0][can].astype(float)
             spread = b * (n - b) * max(k, 1) * max(n - k, 1)
             chi = np.where(spread > 0, n * (a * n - b * k) ** 2 / np.maximum(spread, 1), 0)
             best = np.lexsort((can, -chi))[:SELECTED]
-            chosen |= set(can[best[chi[best] > 8]].tolist())
+            chosen |= set(can[best[chi[best] > LEAST_CHI]].tolist())
         chain = Chain(list(categories), np.array(sorted(chosen), np.int64))
         packed = pickle.dumps(chain.selected)
 
@@ -204,15 +209,17 @@ def fit(labelled: DataFrame, categories: list[str], id_col: str = "doc_id", text
                 lists = pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(col[col >= 0], pa.int32()))
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], lists], names=batch.schema.names)
 
-        got = sorted(rows.mapInArrow(keep, rows.schema).collect(), key=lambda r: r["h"])  # max_train rows of selected features
-        y = np.array([[r[c] for c in names] for r in got], float)
-        fold = np.array([r["h"] for r in got], np.int64).astype(np.uint64)
-        fold = (mix(fold) % np.uint64(FOLDS)).astype(int)
-        at = np.repeat(np.arange(len(got)), [len(r["f"]) for r in got])
-        cols = np.array([c for r in got for c in r["f"]], np.int64)
+        got = rows.mapInArrow(tidy(keep), rows.schema).toArrow()  # max_train rows of selected features
+        got = got.take(np.argsort(got["h"].to_numpy(), kind="stable"))
+        y = np.column_stack([got[c].to_numpy() for c in names]).astype(float)
+        fold = (mix(got["h"].to_numpy().view(np.uint64)) % np.uint64(FOLDS)).astype(int)
+        size = np.concatenate([np.diff(p.offsets.to_numpy()) for p in got["f"].chunks])
+        at = np.repeat(np.arange(len(size)), size)
+        cols = np.concatenate([p.flatten().to_numpy() for p in got["f"].chunks]).astype(np.int64)
         return chain.fit(cols, at, y, fold)
     finally:
         rows.unpersist()
+        release_memory()
 
 
 def score(docs: DataFrame, chain: Chain | None, categories: list[str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -220,6 +227,7 @@ def score(docs: DataFrame, chain: Chain | None, categories: list[str], id_col: s
     whole text; null counts as empty, and an empty text has the probabilities
     of a text without known words.  Without a chain all are 0.  Other columns
     are not looked at."""
+    small_batches(docs)
     packed = pickle.dumps(chain)
     names = [f"p_{c}" for c in categories]
 
@@ -232,7 +240,7 @@ def score(docs: DataFrame, chain: Chain | None, categories: list[str], id_col: s
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(p[:, c], pa.float64()) for c in range(len(names)))], names=["id", *names])
 
     src = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("t"))
-    return src.mapInArrow(run, "id long, " + ", ".join(f"{n} double" for n in names)).withColumnRenamed("id", id_col)
+    return src.mapInArrow(tidy(run), "id long, " + ", ".join(f"{n} double" for n in names)).withColumnRenamed("id", id_col)
 
 
 #: The query's chain: toxic texts in English, toxic ones in other languages,
