@@ -193,7 +193,7 @@ def block_links(values: np.ndarray, size: np.ndarray, label: np.ndarray, side: n
 
 
 def _links_in_blocks(open_: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links (a, b) between components, of all pairs that share a band.
+    """Links (a, b) between components (labels l), of all pairs that share a band.
 
     A band with nodes of one component is settled.  The others are dealt into
     tiles of bounded size, each two tiles of a band meet in one block, and a
@@ -208,12 +208,12 @@ def _links_in_blocks(open_: DataFrame, sets: DataFrame) -> DataFrame:
         def done(held: list[pa.RecordBatch], i: int, j: int) -> pa.RecordBatch:
             g = pa.Table.from_batches(held).combine_chunks()
             found: list[tuple[int, int]] = []
-            ids = g["id"].to_numpy()
+            labels = g["l"].to_numpy()
             if g.num_rows > 1:
                 lists = g["shingles"].chunk(0)
                 side = g["t"].to_numpy() == j if i != j else None
-                found = block_links(lists.flatten().to_numpy(), np.diff(lists.offsets.to_numpy()), g["l"].to_numpy(), side)
-            a, b = ([ids[p[k]] for p in found] for k in range(2))
+                found = block_links(lists.flatten().to_numpy(), np.diff(lists.offsets.to_numpy()), labels, side)
+            a, b = ([labels[p[k]] for p in found] for k in range(2))
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
         held: list[pa.RecordBatch] = []
@@ -275,7 +275,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         open_ = crowd.where("c > 3").join(label, "rep", "left").select("band", "rep", "n", F.coalesce("component", "rep").alias("l"))
         found = checkpointed(_links_in_blocks(checkpointed(open_), sets))
         if not no_rows(found):
-            comp = connected_components(links.unionByName(found))
+            # components of components; a label is its component's smallest node
+            joined = connected_components(found)
+            step = joined.select(F.col("node").alias("component"), F.col("component").alias("_next"))
+            grown = comp.join(step, "component", "left").select("node", F.coalesce("_next", "component").alias("component"))
+            comp = checkpointed(grown.unionByName(joined.join(comp.select("node"), "node", "left_anti")))
     names = nodes.select("k1", "k2", "n", "rep")
     out = sig.drop("bands").withColumn("named", F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.lit(True)))
     out = out.join(names.withColumn("named", F.lit(True)), ["k1", "k2", "n", "named"], "left")

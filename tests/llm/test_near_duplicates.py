@@ -3,7 +3,8 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from sightline.llm import minhash, textvec
+from sightline.llm import common, minhash, textvec
+from sightline.llm.common import connected_components
 from sightline.llm.embedding_dedup import near_vectors
 from sightline.llm.minhash import near_duplicates, sketch
 
@@ -134,3 +135,41 @@ def test_vectors_in_tiles(spark):
         e.TILE = old
     assert sum(r["n_links"] for r in got) >= 0.97 * sum(links.values())
     assert all(r["n_links"] <= links[r["vec_id"]] for r in got) and {r["component_id"] for r in got} == set(comp.values())
+
+
+def test_components_of_long_paths_and_random_graphs(spark, monkeypatch):
+    monkeypatch.setattr(common, "DRIVER_LINKS", 20)
+    rng = random.Random(9)
+    pairs = [(i, i + 1) for i in range(1000)] + [(i, i + k) for i in range(2000, 2400) for k in range(1, 6)]
+    pairs += [(5000, 5000 + i) for i in range(1, 300)] + [(rng.randrange(6000, 6400), rng.randrange(6000, 6400)) for _ in range(220)] + [(-5, 9999), (7, 7), (8000, 8000)]
+    rng.shuffle(pairs)
+    linked = {frozenset(p) for p in pairs}
+    nodes = sorted({x for a, b in pairs if a != b for x in (a, b)})
+    want = {i: i for i in nodes}
+    todo = True
+    while todo:
+        todo = False
+        for a, b in map(tuple, (p for p in linked if len(p) == 2)):
+            low = min(want[a], want[b])
+            if want[a] != low or want[b] != low:
+                want[a] = want[b] = low
+                todo = True
+    got = connected_components(spark.createDataFrame(pairs, "a long, b long")).collect()
+    assert len(got) == len(nodes) and {r["node"]: r["component"] for r in got} == want
+    assert connected_components(spark.createDataFrame([(7, 7)], "a long, b long")).collect() == []
+
+
+def test_minhash_path_of_revisions(spark):
+    """1,000 texts with rising ids, each similar to its neighbours only."""
+    rows = [(i, " ".join(f"w{j}" for j in range(i, i + 17))) for i in range(1000)]
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == 1000 and {r["component_id"] for r in got} == {0} and [r["doc_id"] for r in got if r["kept"]] == [0]
+
+
+def test_vectors_on_a_path(spark):
+    """1,000 vectors with rising ids, each close to its neighbours only."""
+    x = np.zeros((1000, 1030))
+    for i in range(1000):
+        x[i, i : i + 30] = 1  # cosine 0.967 with the next one, 0.933 with the one after
+    got = near_vectors(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")).collect()
+    assert len(got) == 1000 and {r["component_id"] for r in got} == {0} and sum(r["n_links"] for r in got) == 2 * 999
