@@ -28,11 +28,8 @@ BUCKET_BITS = 21
 BUCKETS = 1 << BUCKET_BITS
 PREFIXES = (4, 5, 6)
 #: Features kept for each category, by chi-square on the training rows.
-SELECTED = 1_000
+SELECTED = 2_000
 LEAST_TEXTS = 4
-LEAST_CHI = 10.8
-#: A word in more than this share of the training texts tells nothing.
-MOST_SHARE = 0.25
 FOLDS = 3
 STEPS = 200
 RIDGE = 2e-3
@@ -187,12 +184,12 @@ def fit(labelled: DataFrame, categories: list[str], id_col: str = "doc_id", text
             return None
         chosen: set[int] = set()
         for c in range(1, width + 1):
-            can = np.flatnonzero((seen[0] >= LEAST_TEXTS) & (seen[0] <= MOST_SHARE * n))
+            can = np.flatnonzero(seen[0] >= LEAST_TEXTS)
             k, a, b = int(total[c]), seen[c][can].astype(float), seen[0][can].astype(float)
             spread = b * (n - b) * max(k, 1) * max(n - k, 1)
             chi = np.where(spread > 0, n * (a * n - b * k) ** 2 / np.maximum(spread, 1), 0)
             best = np.lexsort((can, -chi))[:SELECTED]
-            chosen |= set(can[best[chi[best] > LEAST_CHI]].tolist())
+            chosen |= set(can[best[chi[best] > 8]].tolist())
         chain = Chain(list(categories), np.array(sorted(chosen), np.int64))
         packed = pickle.dumps(chain.selected)
 

@@ -73,6 +73,31 @@ def test_toxicity_on_held_out_rows(spark):
     assert len(chain.models) == 3 and len(chain.models[2]) == len(chain.models[0]) + 2  # two earlier probabilities
 
 
+def _marked(spark, share, words):
+    """300 texts, the first share of them toxic and with words(i)."""
+    rng = random.Random(4)
+    rows = [(i, prose(rng, 30) + " " + (words(i) if i < share * 300 else ""), int(i < share * 300)) for i in range(300)]
+    return spark.createDataFrame(rows, "doc_id long, text string, bad int")
+
+
+def test_toxicity_keeps_a_very_common_word(spark):
+    docs = _marked(spark, 0.4, lambda i: "snargle")
+    chain = toxicity.fit(docs, ["bad"])
+    got = {r["doc_id"]: r["p_bad"] for r in toxicity.score(docs, chain, ["bad"]).collect()}
+    assert all((got[i] >= 0.5) == (i < 120) for i in got)
+
+
+def test_toxicity_keeps_many_rare_words(spark):
+    """300 words in four toxic texts each: 1,200 features of chi-square 8.1."""
+    names = ["".join("bcdfghjklm"[int(c)] for c in f"{k:03d}") + "ozzle" for k in range(300)]
+    docs = _marked(spark, 1 / 3, lambda i: " ".join(names[(12 * i + j) % 300] for j in range(12)))
+    chain = toxicity.fit(docs, ["bad"])
+    assert len(chain.selected) >= 1190
+    held = spark.createDataFrame([(k, f"the river {n} stands") for k, n in enumerate(names)] + [(1000, "the river stands over old stone")], "doc_id long, text string")
+    got = {r["doc_id"]: r["p_bad"] for r in toxicity.score(held, chain, ["bad"]).collect()}
+    assert sum(got[k] > got[1000] for k in range(300)) >= 299
+
+
 def test_toxicity_edges(spark):
     docs, labels = documents(spark, 20)
     assert toxicity.fit(toxicity.labelled_categories(docs, labels.limit(0)), toxicity.CATEGORIES) is None
