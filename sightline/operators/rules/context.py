@@ -7,6 +7,9 @@ shuffle of its page rows' narrow columns and of one main page.
 
 from __future__ import annotations
 
+import tempfile
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -52,21 +55,37 @@ def site_context(pages: DataFrame, profiles: DataFrame | None = None, sites: Dat
     return s if a11y_measured else s.withColumn("a11y", F.lit(None).cast("array<string>"))
 
 
-def link_depth(pages: DataFrame, start: DataFrame, most: int = 10) -> DataFrame:
+#: Frontiers of link_depth that are kept apart until they are put into one table.
+PIECES = 16
+
+
+def _cut(df: DataFrame) -> DataFrame:
+    """df without its lineage, through files that every executor can read."""
+    sc = df.sparkSession.sparkContext
+    if not sc.getConf().get("spark.checkpoint.dir", None) and sc._jsc.sc().getCheckpointDir().isEmpty():
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="sightline-checkpoint-"))
+    return df.checkpoint(eager=True)
+
+
+def link_depth(pages: DataFrame, start: DataFrame) -> DataFrame:
     """Clicks from each site's start page to its pages by internal links: a row
     a site with the largest depth and the number of pages out of reach.
 
-    Frontiers are joined until no page is new, most rounds at most; deeper pages
-    count as out of reach.  pages: site_id, url, internal_links.  start: site_id,
-    start_url."""
+    Frontiers are joined until no page is new, a round a click.  pages: site_id,
+    url, internal_links.  start: site_id, start_url."""
     bare = lambda c: F.regexp_replace(c, r"[/#]+$", "")
-    known = pages.select("site_id", bare(F.col("url")).alias("u")).distinct()
-    edges = pages.select("site_id", bare(F.col("url")).alias("u"), F.explode("internal_links").alias("v")).select("site_id", "u", bare(F.col("v")).alias("v")).distinct().join(known.withColumnRenamed("u", "v"), ["site_id", "v"], "left_semi")
-    seen = start.select("site_id", bare(F.col("start_url")).alias("u")).join(known, ["site_id", "u"], "left_semi").withColumn("d", F.lit(0))
+    pages = _cut(pages.select("site_id", bare(F.col("url")).alias("u"), F.transform("internal_links", bare).alias("links")))
+    known = _cut(pages.select("site_id", "u").distinct())
+    edges = pages.select("site_id", "u", F.explode("links").alias("v")).distinct().join(known.withColumnRenamed("u", "v"), ["site_id", "v"], "left_semi")
+    edges = _cut(edges.where("u <> v"))
+    seen = _cut(start.select("site_id", bare(F.col("start_url")).alias("u")).distinct().join(known, ["site_id", "u"], "left_semi").withColumn("d", F.lit(0)))
     front = seen
-    for d in range(1, most + 1):
-        new = front.join(edges, ["site_id", "u"]).select("site_id", F.col("v").alias("u")).distinct().join(seen, ["site_id", "u"], "left_anti").withColumn("d", F.lit(d)).persist()
-        if not new.take(1):
+    for d in count(1):
+        new = front.join(edges, ["site_id", "u"]).select("site_id", F.col("v").alias("u")).distinct().join(seen, ["site_id", "u"], "left_anti")
+        front = _cut(new.withColumn("d", F.lit(d)))
+        if not front.take(1):
             break
-        seen, front = seen.unionByName(new), new
+        seen = seen.unionByName(front)
+        if d % PIECES == 0:
+            seen = _cut(seen)
     return known.join(seen, ["site_id", "u"], "left").groupBy("site_id").agg(F.coalesce(F.max("d"), F.lit(0)).alias("depth"), F.count_if(F.col("d").isNull()).alias("unreachable"))

@@ -112,3 +112,11 @@ def test_link_depth(spark):
     pages = spark.createDataFrame(rows, "site_id string, url string, internal_links array<string>")
     start = spark.createDataFrame([("s", u), ("t", "https://t.kr/")], "site_id string, start_url string")
     assert {r["site_id"]: (r["depth"], r["unreachable"]) for r in link_depth(pages, start).collect()} == {"s": (2, 1), "t": (0, 0)}
+
+
+def test_link_depth_of_a_long_chain(spark):
+    u = [f"https://a.kr/{i}" for i in range(20)]
+    rows = [("s", u[i], u[max(i - 1, 0) : i + 2]) for i in range(20)] + [("s", "https://a.kr/x", []), ("t", "https://t.kr/", ["https://t.kr/#"])]
+    pages = spark.createDataFrame(rows, "site_id string, url string, internal_links array<string>")
+    start = spark.createDataFrame([("s", u[0]), ("t", "https://t.kr/")], "site_id string, start_url string")
+    assert {r["site_id"]: (r["depth"], r["unreachable"]) for r in link_depth(pages, start).collect()} == {"s": (19, 1), "t": (0, 0)}
