@@ -6,8 +6,11 @@ White space is ASCII, so the byte view and the code-point view cut a text at
 the same places.  Everything here works on one flat byte buffer for a whole
 batch of texts, so cost is a few numpy passes and no Python loop per word.
 
-A word's 64-bit hash is a polynomial over a random byte table modulo 2**64,
-taken from one running sum for the whole buffer, then scrambled.
+A word's 64-bit hash is the sum of a pseudo-random value for every (place in
+the word, byte), taken from one running sum for the whole buffer, then
+scrambled with the length.  No value is used at two places, so unlike a
+polynomial's no algebra of the text makes two words agree: for any two words the
+chance is 2**-64.
 """
 
 from __future__ import annotations
@@ -17,8 +20,6 @@ import pyarrow as pa
 
 _U = np.uint64
 _GOLD = _U(0x9E3779B97F4A7C15)
-_BASE = 0x5851F42D4C957F2D
-_BASE_INV = pow(_BASE, -1, 1 << 64)
 
 #: Bytes per flat buffer: bounds the memory of the numpy passes.  A longer text
 #: has a buffer of its own, so texts are always whole.
@@ -30,8 +31,9 @@ _LETTER = np.zeros(256, dtype=bool)
 _LETTER[97:123] = _LETTER[128:] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_BYTE = np.random.default_rng(20240607).integers(0, 1 << 64, 256, dtype=np.uint64)
-_powers: dict[str, np.ndarray] = {"up": np.ones(1, _U), "down": np.ones(1, _U)}
+#: Places in a word whose values are looked up; those further on are computed.
+_NEAR = 32
+_SEED = _U(0x5851F42D4C957F2D)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -44,14 +46,31 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _power(kind: str, n: int) -> np.ndarray:
-    if len(_powers[kind]) < n:
-        size = max(n, CHUNK_BYTES + 1)
-        steps = np.full(size, _BASE if kind == "up" else _BASE_INV, dtype=np.uint64)
-        steps[0] = 1
-        with np.errstate(over="ignore"):
-            _powers[kind] = np.multiply.accumulate(steps)
-    return _powers[kind][:n]
+def place_values(place: np.ndarray, symbol: np.ndarray, near: np.ndarray) -> np.ndarray:
+    """A pseudo-random 64-bit value of each (place, symbol).  near: the values of
+    the first places by symbol; symbols are below 2**16, places below 2**48."""
+    width = near.shape[1]
+    out = near.ravel().take(place * width + symbol, mode="clip")
+    far = np.flatnonzero(place >= len(near))
+    if len(far):
+        out[far] = mix((place[far].astype(_U) << _U(16) | symbol[far].astype(_U)) ^ _SEED)
+    return out
+
+
+def near_values(places: int, symbols: int) -> np.ndarray:
+    place, symbol = np.arange(places, dtype=_U)[:, None], np.arange(symbols, dtype=_U)[None, :]
+    return mix((place << _U(16) | symbol) ^ _SEED)
+
+
+def places(start: np.ndarray, size: int) -> np.ndarray:
+    """The distance of each position from the last start at or before it."""
+    if not len(start):
+        return np.arange(size)
+    first = np.concatenate([[0], start])
+    return np.arange(size) - np.repeat(first, np.diff(first, append=size))
+
+
+_NEAR_VALUES = near_values(_NEAR, 256)
 
 
 def buffers(texts: pa.Array | pa.ChunkedArray):
@@ -105,19 +124,18 @@ class Words:
             after[off[1:][off[1:] > 0] - 1] = False
         self.start = np.flatnonzero(inside & ~before)
         self.end = np.flatnonzero(inside & ~after) + 1
+        self.total = np.zeros(size + 1, _U)
         with np.errstate(over="ignore"):
-            total = np.zeros(size + 1, _U)
-            np.cumsum(_BYTE[low] * _power("up", size), out=total[1:])
-            self.total = total
+            np.cumsum(place_values(places(self.start, size), low, _NEAR_VALUES), out=self.total[1:])
         self.hash = self.span_hash(self.start, self.end)
         self.first = np.searchsorted(self.start, off)
         self.doc = np.repeat(np.arange(len(off) - 1), np.diff(self.first))
 
     def span_hash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """Hash of the bytes from start to end, the same wherever they stand."""
+        """Hash of the bytes from start, where a word starts, to end; the same
+        wherever the word stands."""
         with np.errstate(over="ignore"):
-            h = (self.total[end] - self.total[start]) * _power("down", len(self.total))[start]
-            return mix(h + (end - start).astype(np.uint64) * _GOLD)
+            return mix(self.total[end] - self.total[start] + (end - start).astype(np.uint64) * _GOLD)
 
     def count(self) -> np.ndarray:
         return np.diff(self.first)

@@ -3,7 +3,8 @@
 The byte-level vocabulary never merges across the pieces into which its pattern
 splits a text, so the ids of a text are its pieces' ids in a row.  Pieces are
 found for a whole batch with a few passes over its code points and known ones
-come from a table; the tokenizer is asked only for pieces not seen before.  A
+come from a table, which compares their characters; the tokenizer is asked only for
+pieces not seen before.  A
 text with a code point whose class might differ between Unicode versions goes
 to the tokenizer whole.
 """
@@ -15,7 +16,7 @@ from functools import cache
 
 import numpy as np
 
-from .textvec import _power, mix
+from .textvec import mix, near_values, place_values, places
 
 _OTHER, _LETTER, _NUMBER, _WHITE, _UNSURE = range(5)
 _LIMIT = 0x3000
@@ -32,7 +33,7 @@ _SHOWN = {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not i
 
 
 @cache
-def _classes() -> tuple[np.ndarray, np.ndarray]:
+def _classes() -> np.ndarray:
     kind = np.full(_LIMIT + 1, _UNSURE, np.uint8)
     white = {*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F}
     for cp in range(_LIMIT):
@@ -43,15 +44,19 @@ def _classes() -> tuple[np.ndarray, np.ndarray]:
             kind[cp] = _UNSURE if 0x1C <= cp <= 0x1F else _OTHER
         elif now[0] == old[0] and now != "Cn" and now[0] != "Z":
             kind[cp] = {"L": _LETTER, "N": _NUMBER}.get(now[0], _OTHER)
-    with np.errstate(over="ignore"):
-        value = mix((np.arange(_LIMIT + 1, dtype=np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
-    return kind, value
+    return kind
+
+
+@cache
+def _near() -> np.ndarray:
+    """Values of the first places of a piece, by code point (1.5 MB)."""
+    return near_values(16, _LIMIT)
 
 
 def pieces(cp: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Where the pieces of the texts start.  cp: code points of the texts in a
     row, all below the limit; first: where each nonempty text starts."""
-    kind = _classes()[0][cp]
+    kind = _classes()[cp]
     n = len(cp)
     new_text = np.zeros(n + 1, bool)
     new_text[first] = True
@@ -106,6 +111,11 @@ class Encoder:
         self.at = np.zeros(1 << 12, np.int64)
         self.pool = np.zeros(1 << 14, np.uint32)
         self.filled = 0
+        # the characters of each entry
+        self.chars = np.zeros(1 << 12, np.int64)
+        self.chars_at = np.zeros(1 << 12, np.int64)
+        self.text = np.zeros(1 << 14, np.uint16)
+        self.written = 0
 
     def _learn(self, texts: list[str]) -> np.ndarray:
         """New entries for these pieces; where they are in size and at."""
@@ -115,13 +125,21 @@ class Encoder:
         flat = np.array([y for x in ids for y in x], np.uint32)
         k = self.count
         while k + len(ids) > len(self.size):
-            self.size, self.at = np.resize(self.size, 2 * len(self.size)), np.resize(self.at, 2 * len(self.at))
+            self.size, self.at, self.chars, self.chars_at = (np.resize(x, 2 * len(x)) for x in (self.size, self.at, self.chars, self.chars_at))
         while self.filled + len(flat) > len(self.pool):
             self.pool = np.resize(self.pool, 2 * len(self.pool))
         self.size[k : k + len(ids)] = size
         self.at[k : k + len(ids)] = self.filled + np.cumsum(size) - size
         self.pool[self.filled : self.filled + len(flat)] = flat
         self.filled += len(flat)
+        letters = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
+        while self.written + len(letters) > len(self.text):
+            self.text = np.resize(self.text, 2 * len(self.text))
+        long = np.array([len(x) for x in texts], np.int64)
+        self.chars[k : k + len(ids)] = long
+        self.chars_at[k : k + len(ids)] = self.written + np.cumsum(long) - long
+        self.text[self.written : self.written + len(letters)] = letters
+        self.written += len(letters)
         self.count += len(ids)
         return np.arange(k, self.count)
 
@@ -144,7 +162,7 @@ class Encoder:
         whole = "".join(texts[i] for i in rows)
         cp = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), np.uint32)
         end = np.cumsum([len(texts[i]) for i in rows])
-        kind, value = _classes()
+        kind = _classes()
         odd = np.flatnonzero((cp >= _LIMIT) | (kind[np.minimum(cp, _LIMIT)] == _UNSURE))
         if len(odd):
             bad = set(np.searchsorted(end, odd, side="right").tolist())
@@ -161,11 +179,11 @@ class Encoder:
         begin = end - np.diff(end, prepend=0)
         start = pieces(cp, begin[begin < end])
         stop = np.append(start[1:], len(cp))
+        place = places(start, len(cp))
         with np.errstate(over="ignore"):
             total = np.zeros(len(cp) + 1, np.uint64)
-            np.cumsum(value[cp] * _power("up", len(cp)), out=total[1:])
-            h = (total[stop] - total[start]) * _power("down", len(cp))[start]
-            h = mix(h + (stop - start).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+            np.cumsum(place_values(place, cp, _near()), out=total[1:])
+            h = mix(total[stop] - total[start] + (stop - start).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
         if self.count > TABLE_SIZE:
             self._forget()
         slot = (h >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
@@ -177,6 +195,15 @@ class Encoder:
             learnt = self._learn([whole[a:b] for a, b in zip(start[where].tolist(), stop[where].tolist(), strict=True)])
             index[new] = learnt[back]
             self.key[slot[where]], self.index[slot[where]] = u, learnt
+        # an entry counts only if its characters are the piece's
+        other = self.chars[index] != stop - start
+        at = np.repeat(self.chars_at[index] - start, stop - start) + np.arange(len(cp))
+        unlike = np.flatnonzero(self.text.take(at, mode="clip") != cp)
+        if len(unlike):
+            other[np.searchsorted(start, unlike, side="right") - 1] = True
+        other = np.flatnonzero(other)
+        if len(other):
+            index[other] = self._learn([whole[a:b] for a, b in zip(start[other].tolist(), stop[other].tolist(), strict=True)])
         size = self.size[index]
         done = np.cumsum(size)
         ids = self.pool[np.arange(done[-1]) + np.repeat(self.at[index] - (done - size), size)]

@@ -61,6 +61,17 @@ def test_minhash_equals_brute_force(spark):
     assert all(r["n_shingles"] == len(sets[r["doc_id"]]) and r["kept"] == (want[r["doc_id"]] == r["doc_id"]) for r in got)
 
 
+def test_minhash_words_that_polynomials_confuse(spark):
+    rows = []
+    for n in (1024, 2048, 4096):
+        word = "a"
+        while len(word) < n:
+            word += word.translate(str.maketrans("ab", "ba"))
+        rows += [(2 * n, word), (2 * n + 1, word.translate(str.maketrans("ab", "ba")))]
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == {i: i for i, _ in rows}
+
+
 def test_minhash_crowded_band(spark):
     """A cloud around the threshold, whose links need more than the leaders."""
     rng = random.Random(5)
