@@ -16,7 +16,7 @@ import pickle
 import random
 import re
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, lru_cache
 from html import unescape
 
 import numpy as np
@@ -45,7 +45,8 @@ IMPLIED = {
 }
 SCOPE = frozenset("html body table td th caption button article section div main".split()) - {"div", "section", "article", "main"}
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?][^>]*>", re.S)
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*+")
+_QUOTED = re.compile(r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>")
 _ATTR = re.compile(r"([a-zA-Z_:][-\w:.]*)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
@@ -72,8 +73,7 @@ _AT = {f: i for i, f in enumerate(FEATURES)}
 _MARK = re.compile("©|\\(c\\) ?\\d{4}|all rights reserved|copyright", re.I)
 
 
-@cache
-def _element_features(tag: str, attrs: str) -> tuple[int, ...]:
+def _features_of(tag: str, attrs: str) -> tuple[int, ...]:
     out = {_AT["bias"]}
     if f"tag:{tag}" in _AT:
         out.add(_AT[f"tag:{tag}"])
@@ -88,6 +88,110 @@ def _element_features(tag: str, attrs: str) -> tuple[int, ...]:
     return tuple(sorted(out))
 
 
+#: Attributes of at most so many characters are looked up among those seen.
+_KNOWN_CHARS = 200
+_known_features = lru_cache(maxsize=1 << 14)(_features_of)
+
+
+def _element_features(tag: str, attrs: str) -> tuple[int, ...]:
+    return _known_features(tag, attrs) if len(attrs) <= _KNOWN_CHARS else _features_of(tag, attrs)
+
+
+class Tags:
+    """The tags of a page in order, in time linear in its length.
+
+    A quoted attribute may hold ``>``.  Where a quote is never closed, tags from
+    there on end at their first ``>``.  Without a ``>`` ahead the rest is text."""
+
+    def __init__(self, html: str):
+        self.html = html
+        self.quotes = True
+        self.last = html.rfind(">")
+        self.missing: set[str] = set()
+
+    def next(self, at: int) -> tuple[int, int, bool, str, str] | None:
+        """``(start, end, closing, name, attributes)`` of the first tag at or
+        after at; comments and declarations have no name."""
+        html = self.html
+        while True:
+            start = html.find("<", at)
+            if start < 0:
+                return None
+            if html.startswith("<!--", start):
+                end = html.find("-->", start + 4)
+                return start, (end + 3 if end >= 0 else len(html)), False, "", ""
+            if start > self.last:
+                start = html.find("<!--", start)
+                return None if start < 0 else (start, len(html), False, "", "")
+            if html.startswith(("<!", "<?"), start):
+                return start, html.index(">", start) + 1, False, "", ""
+            closing = html.startswith("/", start + 1)
+            name = _NAME.match(html, start + 1 + closing)
+            if not name:
+                at = start + 1
+                continue
+            end = 0
+            if self.quotes:
+                m = _QUOTED.match(html, name.end())
+                self.quotes = m is not None
+                end = m.end() if m else 0
+            end = end or html.index(">", name.end()) + 1
+            return start, end, closing, name[0].lower(), html[name.end() : end - 1]
+
+    def after_end_tag(self, tag: str, at: int) -> int:
+        """Where the first end tag of this name after at ends, or -1."""
+        if tag in self.missing:
+            return -1
+        m = _end_tag(tag).search(self.html, at)
+        end = self.html.find(">", m.end()) if m else -1
+        if end < 0:
+            self.missing.add(tag)
+        return end + 1 if end >= 0 else -1
+
+
+@cache
+def _end_tag(tag: str) -> re.Pattern:  # of RAW names only
+    return re.compile(rf"</{tag}", re.I)
+
+
+_BODY = re.compile(r"</head\s*+>|<body\b", re.I)
+
+
+class Open:
+    """The open elements, with the places of each tag and of the blocks."""
+
+    def __init__(self, root: int):
+        self.stack: list[tuple[str, int]] = [("html", root)]
+        self.at: dict[str, list[int]] = {"html": [0]}
+        self.blocks = [0]
+
+    def node(self) -> int:
+        return self.stack[-1][1]
+
+    def block(self) -> str:
+        return self.stack[self.blocks[-1]][0]
+
+    def last(self, tags) -> int:
+        return max((self.at[t][-1] for t in tags if self.at.get(t)), default=-1)
+
+    def push(self, tag: str, node: int) -> None:
+        self.at.setdefault(tag, []).append(len(self.stack))
+        if tag in BLOCK:
+            self.blocks.append(len(self.stack))
+        self.stack.append((tag, node))
+
+    def cut(self, to: int) -> int:
+        """Close all from this place on; the number of links among them."""
+        links = 0
+        while len(self.stack) > to:
+            tag, _ = self.stack.pop()
+            self.at[tag].pop()
+            if self.blocks[-1] == len(self.stack):
+                self.blocks.pop()
+            links += tag == "a"
+        return links
+
+
 class Tree:
     """The nodes of one page: parent and features, and the text of leaves."""
 
@@ -106,7 +210,8 @@ class Tree:
 
     def _build(self, html: str) -> None:
         root = self._node(-1, (_AT["bias"],))
-        stack: list[tuple[str, int]] = [("html", root)]  # open elements; inline ones have their block's node
+        open_ = Open(root)  # inline elements have their block's node
+        tags = Tags(html)
         run: list[str] = []
         linked = links = in_link = 0
 
@@ -115,15 +220,14 @@ class Tree:
             if run:
                 text = " ".join("".join(run).split())
                 if text:
-                    node = stack[-1][1]
-                    self.leaves.append((self._node(node, self._leaf_features(text, linked, links, stack)), text))
+                    self.leaves.append((self._node(open_.node(), self._leaf_features(text, linked, links, open_.block())), text))
                 run = []
             linked = links = 0
 
         at, end = 0, len(html)
         while at < end:
-            m = _TAG.search(html, at)
-            stop = m.start() if m else end
+            found = tags.next(at)
+            stop = found[0] if found else end
             if stop > at:
                 piece = html[at:stop]
                 if "&" in piece:
@@ -131,48 +235,41 @@ class Tree:
                 run.append(piece)
                 if in_link:
                     linked += len(piece)
-            if not m:
+            if not found:
                 break
-            at = m.end()
-            tag = (m[2] or m[5] or "").lower()
+            _, at, closing, tag, attrs = found
             if not tag:
                 continue
-            closing, attrs = m[1] or m[4], m[3] or m[6] or ""
             if closing:
                 if tag == "a" and in_link:
                     in_link -= 1
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] == tag:
-                        if tag in BLOCK:
-                            flush()
-                        gone = sum(1 for t, _ in stack[k:] if t == "a")
-                        in_link = max(0, in_link - (gone if tag != "a" else 0))
-                        del stack[k:]
-                        break
-                    if tag not in BLOCK and stack[k][0] in BLOCK:
-                        break
-                else:
-                    if tag == "p":
+                k = open_.last((tag,))
+                if k > 0 and (tag in BLOCK or k > open_.blocks[-1]):
+                    if tag in BLOCK:
                         flush()
+                    gone = open_.cut(k)
+                    in_link = max(0, in_link - (gone if tag != "a" else 0))
+                elif k <= 0 and tag == "p":
+                    flush()
                 continue
             if tag in RAW or tag in HEAD_ONLY:
                 if tag == "head":
                     flush()
-                    after = re.compile(r"</head\s*>|<body\b", re.I).search(html, at)
-                    if after and not after[0].startswith("</"):
-                        at = after.start()
-                    elif after:
-                        at = after.end()
+                    after = None if "head" in tags.missing else _BODY.search(html, at)
+                    if not after:
+                        tags.missing.add("head")
+                    else:
+                        at = after.end() if after[0].startswith("</") else after.start()
                     continue
                 if not attrs.rstrip().endswith("/"):
-                    after = re.compile(rf"</{re.escape(tag)}\s*[^>]*>", re.I).search(html, at)
-                    at = after.end() if after else (end if tag in ("script", "style", "title", "textarea") else at)
+                    after = tags.after_end_tag(tag, at)
+                    at = after if after >= 0 else (end if tag in ("script", "style", "title", "textarea") else at)
                 run.append(" ")
                 continue
             if tag in ("html", "body"):
                 flush()
-                if tag == "body" and len(stack) == 1:
-                    stack.append(("body", self._node(root, _element_features(tag, attrs))))
+                if tag == "body" and len(open_.stack) == 1:
+                    open_.push("body", self._node(root, _element_features(tag, attrs)))
                 continue
             if tag in VOID:
                 if tag == "hr":
@@ -184,25 +281,20 @@ class Tree:
                 if tag == "a":
                     in_link += 1
                     links += 1
-                stack.append((tag, stack[-1][1]))
+                open_.push(tag, open_.node())
                 continue
             flush()
-            kinds, bounds = IMPLIED.get(tag, (frozenset(), frozenset()))
+            kinds, bounds = IMPLIED.get(tag, ((), ()))
             if tag in CLOSES_P:
-                kinds, bounds = frozenset(("p",)), SCOPE
-            if kinds:
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] in kinds:
-                        del stack[k:]
-                        in_link = 0
-                        break
-                    if stack[k][0] in bounds:
-                        break
-            stack.append((tag, self._node(stack[-1][1], _element_features(tag, attrs))))
+                kinds, bounds = ("p",), SCOPE
+            k = open_.last(kinds)
+            if k > 0 and k > open_.last(bounds):
+                open_.cut(k)
+                in_link = 0
+            open_.push(tag, self._node(open_.node(), _element_features(tag, attrs)))
         flush()
 
-    def _leaf_features(self, text: str, linked: int, links: int, stack: list[tuple[str, int]]) -> tuple[int, ...]:
-        tag = next((t for t, _ in reversed(stack) if t in BLOCK), "other")
+    def _leaf_features(self, text: str, linked: int, links: int, tag: str) -> tuple[int, ...]:
         where = {"p": "p", "li": "li", "td": "td", "th": "td", "div": "div"}.get(tag, "h" if len(tag) == 2 and tag[0] == "h" else "other")
         words = text.count(" ") + 1
         share = linked / max(len(text), 1)

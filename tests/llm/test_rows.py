@@ -87,6 +87,31 @@ def test_packing_round_trip(spark):
     assert pack(df.limit(0)).collect() == []
 
 
+def thue_morse(n):
+    word = "a"
+    while len(word) < n:
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+@pytest.mark.parametrize("n", [1024, 2048, 4096])
+def test_ids_of_words_that_polynomials_confuse(n):
+    from sightline.llm.tokens import Encoder
+
+    encoder = Encoder(default_tokenizer())
+    words = [*thue_morse(n), "x " + thue_morse(n)[0]]
+    assert [x.tolist() for x in encoder.encode(words)] == [encoder._plain(w) for w in words]
+
+
+def test_ids_where_all_hashes_collide(monkeypatch):
+    from sightline.llm import tokens
+
+    monkeypatch.setattr(tokens, "mix", lambda x: np.full_like(x, 1 << 60))
+    encoder = tokens.Encoder(default_tokenizer())
+    texts = ["one two three two", "three, one!", "", "one"]
+    assert [x.tolist() for x in encoder.encode(texts)] == [encoder._plain(t) for t in texts]
+
+
 def test_cut_points_fill_their_class():
     for n in range(1, 6000, 7):
         ends = cut_points(n)
@@ -180,6 +205,25 @@ def test_html_cases(spark):
     assert len(got[4]) == 1
 
 
+@pytest.mark.parametrize("html", [
+    "<a" * 500_000, "<!" * 500_000, '<a "' * 250_001, "<a '\"" * 200_000, '<a "x>' * 150_001, "<noscript>" * 100_000, "<script>" + "</script " * 100_000, "<head>" * 150_000, "<div>" * 90_000 + "</ul>" * 90_000,
+    "<b><div>" + "<i>" * 100_000 + "</b>" * 100_000, "<head>" + ("</head" + " " * 100) * 9_000, "&" * 1_000_000, "<p " + 'a="' * 300_000 + ">x",
+])
+def test_html_of_damaged_pages_takes_linear_time(html):
+    import time
+
+    began = time.process_time()
+    Tree(html)
+    assert time.process_time() - began < 10
+
+
+def test_html_tags():
+    leaves = lambda h: [text for _, text in Tree(h).leaves]
+    assert leaves("<p title='a>b' x=\"c>d\">one</p><p title=\"open>two</p><p a='>'>three") == ["one", "two", "'>three"]  # after an open quote tags end at their first >
+    assert leaves("<p>a <!-- <p>b --> c <!-- d") == ["a c"] and leaves("a < b <3 </ c") == ["a < b <3 </ c"] and leaves("<p>x<a href=") == ["x<a href="]
+    assert leaves("<script>if (a<b) '</p>'</SCRIPT x>y<style>z") == ["y"]
+
+
 def test_html_tree_repairs():
     t = Tree("<ul><li>a<li>b</ul><table><tr><td>1<td>2<tr><td>3</table><p>x<div>y</div>z")
     assert [text for _, text in t.leaves] == ["a", "b", "1", "2", "3", "x", "y", "z"]
