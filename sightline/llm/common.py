@@ -24,12 +24,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the cluster shares (``spark.checkpoint.dir``).
 
-    Only a session that names none, as in tests, gets a temporary one."""
+    Only a local session that names none, as in tests, gets a temporary one."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir", None)
     if named:
         return named
     if sc._jsc.sc().getCheckpointDir().isEmpty():
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="sightline-checkpoint-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
@@ -120,30 +122,62 @@ def connected_components(edges: DataFrame) -> DataFrame:
     return checkpointed(total.join(least, "component").select("node", F.col("_least").alias("component")))
 
 
-#: Ids to drop of at most so many rows are broadcast (8 bytes each).
+#: Keys to drop of at most so many rows are broadcast (some 40 bytes each).
 BROADCAST_IDS = 200_000
 
 
-def without_ids(docs: DataFrame, dropped: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """docs without the rows whose id is in the one column of dropped.
+def _same_keys(docs: DataFrame, rows: DataFrame, keys: list[Column]) -> tuple[DataFrame, Column]:
+    """rows with names of its own, broadcast up to a bound, and the condition
+    that a row of docs has its keys."""
+    rows = rows.toDF(*(f"_key{i}" for i in range(len(keys))))
+    rows = F.broadcast(rows) if small(rows, BROADCAST_IDS) else rows
+    same = [k.eqNullSafe(rows[f"_key{i}"]) for i, k in enumerate(keys)]
+    return rows, functools.reduce(Column.__and__, same)
 
-    The ids are counted first, up to a bound.  Up to it they are broadcast, so
-    the texts stay where they are; beyond it the join is shuffled."""
-    ids = dropped.toDF("_dropped")
-    ids = F.broadcast(ids) if small(ids, BROADCAST_IDS) else ids
-    return docs.join(ids, docs[id_col] == ids["_dropped"], "left_anti")
 
+def without(docs: DataFrame, dropped: DataFrame, keys: list[Column]) -> DataFrame:
+    """docs without the rows whose keys are a row of dropped; nulls are equal.
 
-#: Rows of an Arrow batch while a session has Spark's default of 10,000: texts are
-#: long, and a batch is in memory several times, in the JVM and in Python.
+    The keys to drop are counted first, up to a bound.  Up to it they are
+    broadcast, so the texts stay where they are; beyond it the join is shuffled."""
+    return docs.join(*_same_keys(docs, dropped, keys), "left_anti")
+
+
+def one_of_each(docs: DataFrame, repeated: DataFrame, keys: list[Column]) -> DataFrame:
+    """docs with one row of those whose keys are a row of repeated.  Only these
+    rows are moved, summed up to one a task before; nulls are equal."""
+    if no_rows(repeated):
+        return docs
+    again = docs.join(*_same_keys(docs, repeated, keys), "left_semi")
+    one = again.groupBy(*(k.alias(f"_key{i}") for i, k in enumerate(keys))).agg(F.first(F.struct(*(again[c] for c in docs.columns))).alias("_row")).select("_row.*")
+    return without(docs, repeated, keys).unionByName(one)
+
+
+def ids_repeat(docs: DataFrame, id_col: str = "doc_id") -> bool:
+    """Whether some id is null or in several rows."""
+    ids = docs.select(F.col(id_col).alias("i")).groupBy("i").agg(F.count(F.lit(1)).alias("c"))
+    return not no_rows(ids.where("c > 1 OR i IS NULL"))
+
+
+#: Rows of an Arrow batch in the registered queries and stages, while a session
+#: has Spark's default of 10,000: texts are long, and a batch is in memory several
+#: times, in the JVM and in Python.
 BATCH_ROWS = 1_000
 
 
-def small_batches(df: DataFrame) -> None:
-    """Make the session's Arrow batches small, unless it was told a size."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if df.sparkSession.conf.get(key, "10000") == "10000":
-        df.sparkSession.conf.set(key, str(BATCH_ROWS))
+def production(run: Callable) -> Callable:
+    """A query or stage (spark, ...) at production settings: small Arrow batches,
+    unless the session was told a size.  Results are lazy, so the setting stays;
+    the operators themselves change no setting."""
+
+    @functools.wraps(run)
+    def wrapped(spark: SparkSession, *rest):
+        key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+        if spark.conf.get(key, "10000") == "10000":
+            spark.conf.set(key, str(BATCH_ROWS))
+        return run(spark, *rest)
+
+    return wrapped
 
 
 def release_memory() -> None:

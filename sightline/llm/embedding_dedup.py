@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import checkpointed, connected_components, no_rows, small, table, tidy
+from .common import checkpointed, connected_components, no_rows, production, small, table, tidy
 
 THRESHOLD = 0.95
 NEAREST = 6
@@ -248,5 +248,6 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     return out.select(F.col("id").alias(id_col), F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), own.alias("component_id"), F.col("id").eqNullSafe(own).alias("kept"))
 
 
+@production
 def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"))

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, text_of, without_ids
+from .common import checkpointed, ids_repeat, one_of_each, table, text_of, without
 
 PREFIX_CHARS = 128
 
@@ -69,5 +69,16 @@ FROM (SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER
 
 
 def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that stay, with the columns they came with."""
-    return without_ids(docs, exact_dedup(docs).where("not kept").select("doc_id").distinct())
+    """One row of each text, with the columns it came with: that of the largest
+    id, one with an id rather than one without, any one of several with that id.
+
+    Where ids are unique, rows are dropped by them; else by id and SHA-256, so a
+    text that is in the table once stays whatever its id.  A null text counts as
+    empty.  An empty table stays empty."""
+    rows = exact_dedup(docs).where("group_size > 1")
+    if not ids_repeat(docs):
+        return without(docs, rows.where("not kept").select("doc_id"), [docs["doc_id"]])
+    rows = checkpointed(rows.groupBy("doc_id", F.unhex("text_sha256").alias("sha"), "kept").agg(F.count(F.lit(1)).alias("c")))
+    keys = [docs["doc_id"], F.unhex(F.sha2(text_of("text"), 256))]
+    left = without(docs, rows.where("not kept").select("doc_id", "sha"), keys)
+    return one_of_each(left, rows.where("kept AND c > 1").select("doc_id", "sha"), [left["doc_id"], keys[1]])

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, table, tidy
+from .common import production, table, tidy
 
 # Element classes of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -508,7 +508,6 @@ def extract(pages: DataFrame, model: tuple[np.ndarray, np.ndarray] | None = None
     implied end tags.  Whole pages are parsed whatever their length; rows that
     repeat are each on their own; other columns are not looked at; an empty
     table gives no rows."""
-    small_batches(pages)
     packed = pickle.dumps(model or default_model())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -532,5 +531,6 @@ def extract(pages: DataFrame, model: tuple[np.ndarray, np.ndarray] | None = None
     return src.mapInArrow(tidy(run), f"{kinds}, text string, blocks_kept long, blocks long")
 
 
+@production
 def op6_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, connected_components, no_rows, small_batches, table, text_of, tidy, without_ids
+from .common import checkpointed, connected_components, ids_repeat, no_rows, one_of_each, production, table, text_of, tidy, without
 from .textvec import Words, buffers, distinct, mix, shingles
 
 WIDTH = 5
@@ -248,7 +248,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     and a text agree; if an id repeats with different texts, those for which it
     is the smallest id count as linked.  A row with a null id has no component
     and is kept.  Other columns are not looked at; an empty table gives no rows."""
-    small_batches(docs)
     src = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("t"))
     sig = checkpointed(src.mapInArrow(tidy(_signatures), "id long, n long, k1 long, k2 long, bands array<long>"))
     nodes = sig.where("n > 0 AND id IS NOT NULL").groupBy("k1", "k2", "n").agg(F.min("id").alias("rep"), F.any_value("bands").alias("bands"))
@@ -263,7 +262,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     second = crowd.where((F.col("rep") != F.col("p2")) & (F.col("p1") != F.col("p2"))).select(*_pair("rep", "p2", "n", "n2"))
     tested = checkpointed(first.unionByName(second).where(near("na", "nb")).select("a", "b").distinct())
     comp = None
-    if not no_rows(tested):
+    if not no_rows(tested) or not no_rows(crowd.where("c > 3")):
         wanted = crowd.where("c > 3").select(F.col("rep").alias("id"))
         wanted = tested.select(F.col("a").alias("id")).union(tested.select(F.col("b").alias("id"))).union(wanted).distinct()
         reps = nodes.select("rep", "k1", "k2")
@@ -291,10 +290,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), own.alias("component_id"), F.col("id").eqNullSafe(own).alias("kept"))
 
 
+@production
 def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+@production
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group, with the columns of docs."""
-    return without_ids(docs, near_duplicates(docs).where("not kept").select("doc_id").distinct())
+    """One document of each group, with the columns of docs: that of the smallest
+    id.  Texts without words are no copies and all stay.
+
+    Where an id is null or repeats, rows are told apart by a hash of id and text
+    instead, so rows that share an id are judged apart; of a group any one row
+    stays then, and of rows that repeat id and text one.  An empty table stays
+    empty."""
+    if not ids_repeat(docs):
+        return without(docs, near_duplicates(docs).where("not kept").select("doc_id"), [docs["doc_id"]])
+    key = F.xxhash64("doc_id", text_of("text"))
+    rows = checkpointed(near_duplicates(docs.select(key.alias("doc_id"), "text")).groupBy("doc_id", "kept", (F.col("n_shingles") > 0).alias("words")).agg(F.count(F.lit(1)).alias("c")))
+    left = without(docs, rows.where("not kept").select("doc_id"), [key])
+    return one_of_each(left, rows.where("kept AND words AND c > 1").select("doc_id"), [key])

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, table, text_of, tidy
+from .common import production, table, text_of, tidy
 
 CAPACITY = 2048
 CUTS = 2
@@ -113,7 +113,6 @@ def pack(docs: DataFrame, tokenizer: str | None = None, id_col: str = "doc_id",
     their own.  A very long text is encoded as a whole and cut.  Ids may be
     null; other columns are not looked at; an empty table gives no rows.
     tokenizer: a file for the tokenizers library that executors have too."""
-    small_batches(docs)
     path = tokenizer or default_tokenizer()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,9 +141,11 @@ def pack(docs: DataFrame, tokenizer: str | None = None, id_col: str = "doc_id",
     return src.mapInArrow(tidy(run), SCHEMA).withColumnRenamed("doc_id", id_col)
 
 
+@production
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
+@production
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pack(docs)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, table, text_of, tidy
+from .common import production, table, text_of, tidy
 from .textvec import Words, buffers
 
 #: Bound on the labelled rows that are fitted, lowest hash of the id first.
@@ -124,7 +124,6 @@ def crc_mod(id_col: str, n: int = 3) -> Column:
 
 def _described(docs: DataFrame, id_col: str, text_col: str, more: list[str]) -> DataFrame:
     """id, more and the array of statistics."""
-    small_batches(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -193,7 +192,6 @@ def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
     """One row per row of docs: the id and ``score`` from 0 to 1, of the whole
     text; null counts as empty, and empty texts have a score as well.  Without
     a model each score is 0.5.  Other columns are not looked at."""
-    small_batches(docs)
     packed = pickle.dumps(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,6 +209,7 @@ def learnable(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return labels.where(crc_mod(id_col) != 1)
 
 
+@production
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = fit(docs, learnable(table(spark, sf_dir, "labels")))
@@ -218,9 +217,9 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, model).select("doc_id", held, "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+@production
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the classifier does not reject (score below 0.5)."""
-    small_batches(docs)
     model = fit(docs, learnable(table(spark, sf_dir, "labels")))
     packed = pickle.dumps(model)
     names = docs.columns

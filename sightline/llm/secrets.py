@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import small_batches, table, text_of, tidy
+from .common import production, table, text_of, tidy
 from .textvec import buffers
 
 #: Kinds in the order in which spans with equal start stand.  The first three
@@ -121,7 +121,6 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     characters fits.  Spans of different kinds may overlap.  A null or empty
     text has no span; ids may be null or repeat; each row is on its own; other
     columns are not looked at; an empty table gives no rows."""
-    small_batches(docs)
     src = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("t"))
     schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("spans", SPANS)])
     return src.mapInArrow(tidy(_spans), schema).withColumnRenamed("id", id_col)
@@ -131,6 +130,7 @@ def _joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+@production
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_secrets(table(spark, sf_dir, "documents"))
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import release_memory, small_batches, table, text_of, tidy
+from .common import production, release_memory, table, text_of, tidy
 from .quality import crc_mod
 from .textvec import Words, buffers, mix
 
@@ -134,7 +134,6 @@ def fit(labelled: DataFrame, categories: list[str], id_col: str = "doc_id", text
 
     Rows with a null category are left out.  Rows with the lowest hashes of id
     and text are fitted, max_train at most.  None if there are no rows."""
-    small_batches(labelled)
     names = [f"y{i}" for i in range(len(categories))]
     src = labelled.select(F.xxhash64(id_col, text_of(text_col)).alias("h"), *(F.col(c).cast("int").alias(n) for c, n in zip(categories, names, strict=True)), text_of(text_col).alias("t")).dropna()
     # fitted rows are few enough to be held on the executors between the passes
@@ -224,7 +223,6 @@ def score(docs: DataFrame, chain: Chain | None, categories: list[str], id_col: s
     whole text; null counts as empty, and an empty text has the probabilities
     of a text without known words.  Without a chain all are 0.  Other columns
     are not looked at."""
-    small_batches(docs)
     packed = pickle.dumps(chain)
     names = [f"p_{c}" for c in categories]
 
@@ -256,6 +254,7 @@ def labelled_categories(docs: DataFrame, labels: DataFrame, max_train: int = MAX
     return x.select("doc_id", "text", (bad & english).cast("int").alias("toxic_en"), (bad & ~english).cast("int").alias("toxic_other"), bad.cast("int").alias("toxic"))
 
 
+@production
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     labels = table(spark, sf_dir, "labels").where(crc_mod("doc_id") != 1)

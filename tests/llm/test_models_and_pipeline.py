@@ -104,6 +104,52 @@ def test_toxicity_edges(spark):
     assert {r["p_toxic"] for r in toxicity.score(docs, None, toxicity.CATEGORIES).collect()} == {0.0}
 
 
+COLUMNS = "doc_id long, text string, lang string, source string, n_chars long, shard int, place string, kept boolean, _key0 long, _s string, row int, _doc long"
+
+
+def stage_rows(rows):
+    return [(i, t, "en", s, len(t or ""), k, "p", None, 1, "x", 2, 3) for k, (i, t, s) in enumerate(rows)]
+
+
+def test_exact_stage_drops_rows_not_ids(spark):
+    from sightline.llm.exact_dedup import exact_dedup_stage
+
+    rows = [(5, "A", "s"), (9, "A", "s"), (5, "only here", "s"), (None, "Z", "s"), (10, "Z", None), (None, "Y", "s"), (None, "Y", "s"), (7, None, "s"), (8, "", "s"), (11, "B", "s"), (11, "B", "t"), (12, "x" * 200_000, "s")]
+    df = spark.createDataFrame(stage_rows(rows), COLUMNS)
+    out = exact_dedup_stage(spark, df, "")
+    assert out.columns == df.columns
+    want = [(9, "A"), (5, "only here"), (10, "Z"), (None, "Y"), (8, ""), (11, "B"), (12, "x" * 200_000)]
+    assert sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=repr) == sorted(want, key=repr)
+    ids = df.where("doc_id IN (5, 9, 10, 12) AND text <> 'only here'")
+    assert sorted(r["doc_id"] for r in exact_dedup_stage(spark, ids, "").collect()) == [9, 10, 12]
+    assert exact_dedup_stage(spark, df.limit(0), "").collect() == []
+
+
+def test_minhash_stage_drops_rows_not_ids(spark):
+    from sightline.llm.minhash import near_duplicates_stage
+
+    a, b = (" ".join(f"{w}{i}" for i in range(60)) for w in "ab")
+    rows = [(5, a, "s"), (9, a + " end", "s"), (5, b, "s"), (2, a + " tail", "s"), (None, b + " z", "s"), (10, "c c c c c c", None), (10, "c c c c c c", "s"), (7, None, "s"), (7, "", "s"), (None, " ", "s"), (3, "word " * 50_000, "s")]
+    df = spark.createDataFrame(stage_rows(rows), COLUMNS)
+    out = near_duplicates_stage(spark, df, "")
+    assert out.columns == df.columns
+    got = [r["text"] for r in out.collect()]
+    assert len(got) == 7 and len([t for t in got if t and t[0] == "a"]) == 1 and len([t for t in got if t and t[0] == "b"]) == 1 and got.count("c c c c c c") == 1
+    assert sorted(map(repr, (t for t in got if not (t or "").strip()))) == sorted(map(repr, [None, "", " "]))
+    ids = df.where("doc_id IN (2, 3, 9)")
+    assert sorted(r["doc_id"] for r in near_duplicates_stage(spark, ids, "").collect()) == [2, 3]
+    assert near_duplicates_stage(spark, df.limit(0), "").collect() == []
+
+
+def test_operators_change_no_setting(spark):
+    from sightline.llm.secrets import find_secrets
+
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(key, "10000")
+    find_secrets(spark.createDataFrame([(1, "x")], "doc_id long, text string")).collect()
+    assert spark.conf.get(key) == "10000"
+
+
 def test_pipeline_stages(spark, sf):
     import corpus_pipeline
 
