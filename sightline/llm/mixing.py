@@ -10,7 +10,11 @@ The draws of all sources are then split among output shards by a binary tree:
 at each node the left half's share is a multivariate hypergeometric draw from
 the node's quotas, so every shard's share is a fair one and the shares add up
 exactly.  A shard's draws are consecutive, disjoint ranges of each source's
-permuted blocks, and a document's place in its shard is a hash of its own.
+permuted blocks, and a document's place in its shard is a hash of its own.  The
+words taken of a document are the sum of its draws.
+
+A shard is written by as many tasks as its words need, dealt by a hash of the
+draw, and each task puts its draws in the order of their places.
 """
 
 from __future__ import annotations
@@ -20,13 +24,15 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import checkpointed, table, text_of
+from .common import checkpointed, production, table, text_of
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
 MOST = 2.0
 BLOCKS = 1024
 SHARDS = 64
+#: Words of a task that writes a part of a shard, on average.
+PART_WORDS = 16_000_000
 SEED = 20240607
 #: The splitting tree is planned on the driver from one row a source.
 MAX_SOURCES = 100_000
@@ -94,9 +100,11 @@ class Mix:
     row and these few facts, so texts are never moved to decide on them."""
 
     def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, shards: int = SHARDS, seed: int = SEED):
-        self.id_col, self.text_col, self.source_col, self.seed = id_col, text_col, source_col, seed
+        self.id_col, self.text_col, self.source_col, self.seed, self.shards = id_col, text_col, source_col, seed, shards
         spark = docs.sparkSession
-        rows = checkpointed(self._keyed(docs).select("_s", "_n", "_h", _hash("_h", seed, 1).alias("_b")))
+        #: The narrow rows: key, word count and, last, the id.
+        self.rows = checkpointed(self._keyed(docs, F.col(id_col).alias("_id")))
+        rows = self.rows.select("_s", "_n", "_h", _hash("_h", seed, 1).alias("_b"))
         blocks = rows.groupBy("_s", "_b").agg(F.sum("_n").alias("_w"))
         found = blocks.groupBy("_s").agg(F.sum("_w").alias("_w")).orderBy(F.col("_s").asc_nulls_last()).limit(MAX_SOURCES + 1).collect()
         if len(found) > MAX_SOURCES:
@@ -104,6 +112,7 @@ class Mix:
         names = [r["_s"] for r in found]
         sizes = [r["_w"] for r in found]
         target = targets(sizes, [weights[i % len(weights)] for i in range(len(found))], share, most)
+        self.words = int(sum(target))
         # whole passes, and the words of the part of one more
         passes = [min(int(t // s), int(most)) if s else 0 for t, s in zip(target, sizes, strict=True)]
         part = [int(t + 0.5) - p * s for t, s, p in zip(target, sizes, passes, strict=True)]
@@ -142,9 +151,18 @@ class Mix:
         at = F.broadcast(end.select("_ls", f"_end{key}"))
         return rows.join(at, rows["_s"].eqNullSafe(at["_ls"]) & (rows[key] == at[f"_end{key}"])).drop("_ls", f"_end{key}")
 
-    def apply(self, docs: DataFrame, *more: Column) -> DataFrame:
-        """``size``, ``source_size``, ``target``, ``taken``, ``draws`` and more."""
-        x = self._keyed(docs, *more).withColumn("_b", _hash("_h", self.seed, 1))
+    def of_rows(self, name: str) -> DataFrame:
+        """The mix of the planned rows, with their ids by this name."""
+        return self._apply(self.rows, ["_id"]).withColumnRenamed("_id", name)
+
+    def of(self, docs: DataFrame, *more: Column) -> DataFrame:
+        """The mix of docs, with more columns of theirs."""
+        keyed = self._keyed(docs, *more)
+        return self._apply(keyed, keyed.columns[3:])
+
+    def _apply(self, keyed: DataFrame, more: list[str]) -> DataFrame:
+        """more, ``size``, ``source_size``, ``target``, ``taken``, ``draws``."""
+        x = keyed.withColumn("_b", _hash("_h", self.seed, 1))
         for k, f in enumerate(self.facts):  # at most MAX_SOURCES rows each: the broadcasts are bounded
             f = F.broadcast(f.withColumnRenamed(f.columns[0], f"_s{k}"))
             x = x.join(f, F.col("_s").eqNullSafe(F.col(f"_s{k}")), "left").drop(f"_s{k}")
@@ -160,9 +178,9 @@ class Mix:
         none = F.array().cast(_DRAWS)
         whole = F.when(F.col("_passes") > 0, F.transform(F.sequence(F.lit(0), F.col("_passes") - 1), lambda p: draw(p, n))).otherwise(none)
         rest = F.when(some.isNotNull(), F.array(draw(F.col("_passes"), some))).otherwise(none)
-        taken = n * F.col("_passes") + F.coalesce(some, F.lit(0))
-        extra = x.columns[3 : 3 + len(more)]
-        return x.select(*extra, n.alias("size"), F.col("_size").alias("source_size"), F.col("_target").alias("target"), taken.cast("long").alias("taken"), F.concat(whole, rest).alias("draws"))
+        draws = F.concat(whole, rest)
+        x = x.select(*more, n.alias("size"), F.col("_size").alias("source_size"), F.col("_target").alias("target"), draws.alias("draws"))
+        return x.withColumn("taken", F.aggregate("draws", F.lit(0).cast("long"), lambda all_, d: all_ + d["words"]))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
@@ -178,11 +196,14 @@ def mix(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     both are drawn together, and where a target ends in them it ends in each.
     Ids may be null; other columns are not looked at; an empty table gives no
     rows.  The same rows give the same mix in any order and partitioning."""
-    return Mix(docs, id_col, **options).apply(docs, F.col(id_col))
+    return Mix(docs, id_col, **options).of_rows(id_col)
 
 
+@production
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    """``draws`` lists shard:words:place of each draw."""
+    text = F.array_join(F.transform("draws", lambda d: F.concat_ws(":", d["shard"].cast("string"), d["words"].cast("string"), d["place"].cast("string"))), ",")
+    return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", text.alias("draws"))
 
 
 def first_words(text: Column, words: Column) -> Column:
@@ -193,13 +214,18 @@ def first_words(text: Column, words: Column) -> Column:
     return F.regexp_replace(t.substr(F.lit(1), F.length(t) - rest), r"[\x20\x09-\x0D]+$", "")
 
 
+@production
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix itself: a row for each draw, with the columns of docs, in its
     shard's order.  A draw of some of a document's words has its text up to
-    their end (and n_chars to match); a draw of none is left out."""
+    their end (and n_chars to match); a draw of none is left out.  Nulls, repeats
+    and empty tables are treated as in ``mix``."""
+    plan = Mix(docs)
+    parts = max(1, -(-plan.words // (plan.shards * PART_WORDS)))
     row = F.struct(*(docs[c] for c in docs.columns)).alias("row")
-    drawn = Mix(docs).apply(docs, row).select("row", "size", F.explode("draws").alias("draw")).where("draw.words > 0 OR size = 0")
+    drawn = plan.of(docs, row).select("row", "size", F.explode("draws").alias("draw")).where("draw.words > 0 OR size = 0")
+    part = F.col("draw.shard") * parts + F.pmod(F.xxhash64("draw.place"), F.lit(parts)).cast("int")
+    drawn = drawn.repartitionById(plan.shards * parts, part).sortWithinPartitions("draw.place")
     text = F.when(F.col("draw.words") < F.col("size"), first_words(F.col("row.text"), F.col("draw.words").cast("int"))).otherwise(F.col("row.text"))
     new = {"text": text} | ({"n_chars": F.length(text).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
-    out = drawn.select(*(new.get(c, F.col("row")[c]).alias(c) for c in docs.columns), "draw.shard", "draw.place")
-    return out.repartition(SHARDS, "shard").sortWithinPartitions("shard", "place").drop("shard", "place")
+    return drawn.select(*(new.get(c, F.col("row")[c]).alias(c) for c in docs.columns))

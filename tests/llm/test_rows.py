@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from sightline.llm.html_extract import Tree, default_model, extract, extract_pages, labelled_pages
-from sightline.llm.mixing import Mix, first_words, mix, mixing_stage, splitting_tree, targets
+from sightline.llm.mixing import first_words, mix, mixing_stage, splitting_tree, targets
 from sightline.llm.packing import cut_points, default_tokenizer, pack
 from sightline.llm.secrets import checksum62, find_secrets
 
@@ -173,8 +173,77 @@ def test_mixing_stage_takes_what_it_says(spark):
     for r in out.collect():
         words[r["doc_id"]] += len(WORD.findall(r["text"] or ""))
     assert {i: n for i, n in words.items() if n} == {r["doc_id"]: r["taken"] for r in mix(df).collect() if r["taken"]}
-    shards = Mix(df, shards=8).apply(df).select(F.explode("draws.shard").alias("s")).groupBy("s").count().collect()
-    assert {r["s"] for r in shards} <= set(range(8))
+
+
+def plain_mix(rows, shards=64, seed=20240607, blocks=1024):
+    """The tree and the ranges of permuted blocks in plain Python."""
+    import xxhash
+
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+
+    def h(*values):  # 64-bit values and texts; nulls leave the hash as it is
+        out = 42
+        for v in values:
+            data = v.encode() if isinstance(v, str) else v if isinstance(v, bytes) else None if v is None else (v & ((1 << 64) - 1)).to_bytes(8, "little")
+            out = out if data is None else xxhash.xxh64_intdigest(data, out)
+        return signed(out)
+
+    small = lambda x: x.to_bytes(4, "little")
+    sources = sorted({s for _, _, s in rows if s is not None}) + [None] * any(s is None for _, _, s in rows)
+    docs = [(i, s, h(i, t or ""), len(WORD.findall(t or ""))) for i, t, s in rows]
+    size = {s: sum(n for _, d, _, n in docs if d == s) for s in sources}
+    goal = dict(zip(sources, targets([size[s] for s in sources], [[5, 2, 1][k % 3] for k in range(len(sources))]), strict=True))
+    order = lambda key, level: h(key, small(seed), small(level)) % blocks
+    out, quota, plan = [], [], {}
+    for s in sources:
+        mine = sorted((order(k, 1), order(k, 2), k, n) for _, d, k, n in docs if d == s)
+        passes = min(int(goal[s] // size[s]), 2) if size[s] else 0
+        part = int(goal[s] + 0.5) - passes * size[s]
+        end, taken = None, 0
+        for b, c, k, n in mine:
+            if taken < part <= taken + n:
+                end = (b, c, k, part - taken)
+            taken += n
+        plan[s] = (passes, end)
+        quota.append(passes * blocks + (end[0] + 1 if end else 0))
+    tree = np.cumsum(splitting_tree(np.array(quota), shards, seed), axis=0)
+    for i, s, k, n in docs:
+        passes, end = plan[s]
+        at = (order(k, 1), order(k, 2), k)
+        draws = [n] * passes
+        if end and at < end[:3]:
+            draws.append(n)
+        elif end and at == end[:3]:
+            draws.append(min(n, end[3]))
+        where = [int((tree[:, sources.index(s)] <= at[0] + p * blocks).sum()) for p in range(len(draws))]
+        out.append((i, n, size[s], goal[s], sum(draws), [(w, d, h(k, small(p), small(seed))) for p, (w, d) in enumerate(zip(where, draws, strict=True))]))
+    return sorted(out, key=repr)
+
+
+def test_mix_equals_plain_python(spark):
+    rng = np.random.default_rng(11)
+    rows = [(i, " ".join(["w"] * int(rng.integers(0, 40))) or None, ["a", "b", "é", None, "z"][int(rng.integers(0, 5))]) for i in range(700)]
+    rows += [(None, "x y z", "a"), (7, "x " * 5_000, "b"), (7, "x " * 5_000, "b"), (8, "", "only")]
+    df = mixed(spark, [(*r, "k") for r in rows])
+    got = [(r["doc_id"], r["size"], r["source_size"], r["target"], r["taken"], [tuple(d) for d in r["draws"]]) for r in mix(df).collect()]
+    assert sorted(got, key=repr) == plain_mix(rows)
+
+
+def test_mixing_stage_deals_shards_to_tasks(spark, monkeypatch):
+    """Every task has draws of one shard; columns whose names could clash stay."""
+    from sightline.llm import mixing
+
+    monkeypatch.setattr(mixing, "PART_WORDS", 20)
+    df = mixed(spark, [(i, "a b c d", "st"[i % 2], "k") for i in range(1200)]).withColumns({c: F.lit(1) for c in ("shard", "place", "row", "draw", "_s", "_n", "size", "words")})
+    out = mixing_stage(spark, df, "")
+    assert out.columns == df.columns and out.rdd.getNumPartitions() == 64 * 6
+    drawn = {r["doc_id"]: r["draws"] for r in mix(df).collect()}
+    seen = 0
+    for k, rows in enumerate(out.rdd.map(lambda r: r["doc_id"]).glom().collect()):
+        assert all(any(d["shard"] == k // 6 for d in drawn[i]) for i in rows)
+        seen += len(rows)
+    assert seen == sum(len(d) for d in drawn.values())
+    assert mixing_stage(spark, df.limit(0), "").collect() == []
 
 
 def test_first_words(spark):
