@@ -1,10 +1,12 @@
 """Toxicity by a classifier chain of linear models.
 
 Categories are predicted one after the other.  Each is a logistic model of the
-words and word beginnings of a text and of the probabilities of the categories
-before it; in training those probabilities are out-of-fold predictions, so a
-later model never sees how well an earlier one knew its own training rows.
-Word beginnings let a stem count in forms that no labelled text has.
+words and word beginnings of a text, of how often they come, and of the
+probabilities of the categories before it; in training those probabilities are
+out-of-fold predictions, so a later model never sees how well an earlier one knew
+its own training rows.  Word beginnings let a stem count in forms that no
+labelled text has, and a stem that clean texts have once by chance may be telling
+when it comes again and again.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import production, release_memory, table, text_of, tidy
@@ -26,19 +28,22 @@ from .textvec import Words, buffers, mix
 MAX_TRAIN = 12_000
 BUCKET_BITS = 21
 BUCKETS = 1 << BUCKET_BITS
-PREFIXES = (4, 5, 6)
+PREFIXES = (3, 4, 5, 6, 7, 8)
+#: A word or beginning is one feature more for each of these numbers of times.
+TIMES = (2, 4, 8)
 #: Features kept for each category, by chi-square on the training rows.
 SELECTED = 2_000
 LEAST_TEXTS = 4
 FOLDS = 3
-STEPS = 200
-RIDGE = 2e-3
+STEPS = 400
+RIDGE = 1e-5
 SEED = 20240607
 FIT_PARTITIONS = 8
 
 
 def features(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """``(bucket, row)`` of every word and word beginning of a flat buffer."""
+    """``(bucket, row)`` of every word and word beginning of a flat buffer and of
+    its numbers of times, each once a row and in order."""
     w = Words(raw, off, letters_only=True)
     shift = np.uint64(64 - BUCKET_BITS)
     size = w.end - w.start
@@ -48,30 +53,61 @@ def features(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         h = w.span_hash(w.start[long], w.start[long] + k)
         out.append(mix(h + np.uint64(k)) >> shift)
         rows.append(w.doc[long])
-    return np.concatenate(out).astype(np.int64), np.concatenate(rows)
+    both, n = np.unique(np.concatenate(rows).astype(np.int64) * BUCKETS + np.concatenate(out).astype(np.int64), return_counts=True)
+    more = [both]
+    for k in TIMES:
+        often = both[n >= k]
+        with np.errstate(over="ignore"):
+            bucket = mix((often % BUCKETS).astype(np.uint64) * np.uint64(64) + np.uint64(k)) >> shift
+        more.append(often - often % BUCKETS + bucket.astype(np.int64))
+    both = np.unique(np.concatenate(more))
+    return both % BUCKETS, both // BUCKETS
 
 
 def _fit_linear(cols: np.ndarray, rows: np.ndarray, dense: np.ndarray, y: np.ndarray, width: int, ridge: float = RIDGE, steps: int = STEPS) -> np.ndarray:
     """Logistic weights of presence features (cols at rows), of the columns of
-    dense and a constant, by gradient steps with a diagonal scale and momentum."""
+    dense and a constant (last, without penalty), by accelerated gradient steps.
+
+    A weight's step is the inverse of a quarter of its feature's sum over the
+    rows, each times the sum of the row: no step can overshoot, however many
+    features come together (features that always do would otherwise)."""
     n = len(y)
-    count = np.bincount(cols, minlength=width)
     d = dense.shape[1]
     w = np.zeros(width + d + 1)
     share = min(max(y.mean(), 1e-4), 1 - 1e-4)
     w[-1] = np.log(share / (1 - share))
-    scale = np.concatenate([count / n, (dense**2).mean(axis=0), [1.0]]) * 0.25 + ridge
-    step, speed = 0.3, np.zeros_like(w)
+    whole = np.bincount(rows, minlength=n) + np.abs(dense).sum(axis=1) + 1
+    scale = np.concatenate([np.bincount(cols, weights=whole[rows], minlength=width), whole @ np.abs(dense), [whole.sum()]]) / n * 0.25 + ridge
+    penalty = np.append(np.full(width + d, ridge), 0)
+    ahead, t = w, 1.0
     for _ in range(steps):
-        z = np.bincount(rows, weights=w[cols], minlength=n) + dense @ w[width:-1] + w[-1]
+        z = np.bincount(rows, weights=ahead[cols], minlength=n) + dense @ ahead[width:-1] + ahead[-1]
         e = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - y
-        g = np.concatenate([np.bincount(cols, weights=e[rows], minlength=width), dense.T @ e, [e.sum()]]) / n
-        g[:-1] += ridge * w[:-1] * np.concatenate([np.full(width, 0.02), np.full(d, 0.02)])
-        speed = 0.8 * speed - step * g / scale
-        w = w + speed
+        g = np.concatenate([np.bincount(cols, weights=e[rows], minlength=width), dense.T @ e, [e.sum()]]) / n + penalty * ahead
+        before, w = w, ahead - g / scale
+        t, last = (1 + np.sqrt(1 + 4 * t * t)) / 2, t
+        ahead = w + (last - 1) / t * (w - before)
     return w
 
 
+def _fits(spark: SparkSession, cols: np.ndarray, rows: np.ndarray, dense: np.ndarray, y: np.ndarray, fold: np.ndarray, width: int) -> list[np.ndarray]:
+    """Weights without each fold and, last, of all rows."""
+    packed = spark.sparkContext.broadcast(pickle.dumps((cols.astype(np.int32), rows.astype(np.int32), dense, y, fold)))  # max_train rows of the features of one category
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cols, rows, dense, y, fold = pickle.loads(packed.value)
+        for batch in batches:
+            for f in batch.column(0).to_pylist():
+                keep = fold != f
+                to, mine = np.cumsum(keep) - 1, keep[rows]
+                w = _fit_linear(cols[mine], to[rows[mine]], dense[keep], y[keep], width)
+                yield pa.RecordBatch.from_arrays([pa.array([f], pa.int64()), pa.array([w.tobytes()], pa.binary())], names=["f", "w"])
+
+    found = spark.range(0, FOLDS + 1, 1, FOLDS + 1).mapInArrow(tidy(run), "f long, w binary").collect()
+    packed.unpersist()
+    return [np.frombuffer(r["w"]) for r in sorted(found)]
+
+
 def _probability(w: np.ndarray, cols: np.ndarray, rows: np.ndarray, dense: np.ndarray, n: int) -> np.ndarray:
     width = len(w) - 1 - dense.shape[1]
     z = np.bincount(rows, weights=w[:width][cols], minlength=n) + dense @ w[width:-1] + w[-1]
@@ -84,11 +120,15 @@ def _logit(p: np.ndarray) -> np.ndarray:
 
 
 class Chain:
-    """Category names, the place of each selected bucket, a model a category."""
+    """Category names, the selected buckets, a model a category.
+
+    own: by category and selected bucket, whether the category's model looks at
+    it; all do if it is left out."""
 
-    def __init__(self, names: list[str], selected: np.ndarray):
+    def __init__(self, names: list[str], selected: np.ndarray, own: np.ndarray | None = None):
         self.names = names
         self.selected = selected
+        self.own = np.ones((len(names), len(selected)), bool) if own is None else own
         self.models: list[np.ndarray] = []
 
     def place(self) -> np.ndarray:
@@ -96,18 +136,17 @@ class Chain:
         at[self.selected] = np.arange(len(self.selected))
         return at
 
-    def fit(self, cols: np.ndarray, rows: np.ndarray, y: np.ndarray, fold: np.ndarray) -> Chain:
-        n, width = len(y), len(self.selected)
-        dense = np.zeros((n, 0))
+    def fit(self, spark: SparkSession, cols: np.ndarray, rows: np.ndarray, y: np.ndarray, fold: np.ndarray) -> Chain:
+        """Fit category after category; the folds of one, and the model of all
+        rows, are a task each."""
+        n, dense = len(y), np.zeros((len(y), 0))
         for c in range(len(self.names)):
+            mine = self.own[c][cols]
+            *of_folds, model = _fits(spark, cols[mine], rows[mine], dense, y[:, c], fold, len(self.selected))
             unseen = np.zeros(n)
-            for f in range(FOLDS):
-                test = fold == f
-                to = np.cumsum(~test) - 1
-                keep = ~test[rows]
-                w = _fit_linear(cols[keep], to[rows[keep]], dense[~test], y[~test, c], width)
-                unseen[test] = _probability(w, cols, rows, dense, n)[test]
-            self.models.append(_fit_linear(cols, rows, dense, y[:, c], width))
+            for f, w in enumerate(of_folds):
+                unseen[fold == f] = _probability(w, cols, rows, dense, n)[fold == f]
+            self.models.append(model)
             dense = np.column_stack([dense, _logit(unseen)])
         return self
 
@@ -125,19 +164,19 @@ def _present(raw: np.ndarray, off: np.ndarray, at: np.ndarray) -> tuple[np.ndarr
     bucket, row = features(raw, off)
     col = at[bucket]
     hit = col >= 0
-    both = np.unique(row[hit].astype(np.int64) * (1 << 32) + col[hit])
-    return (both & 0xFFFFFFFF).astype(np.int64), both >> 32
+    return col[hit].astype(np.int64), row[hit]
 
 
 def fit(labelled: DataFrame, categories: list[str], id_col: str = "doc_id", text_col: str = "text", max_train: int = MAX_TRAIN) -> Chain | None:
     """A chain of the categories (0/1 columns of labelled, in this order).
 
-    Rows with a null category are left out.  Rows with the lowest hashes of id
-    and text are fitted, max_train at most.  None if there are no rows."""
+    Rows with a null category are left out, and of rows that repeat id and text
+    one counts.  Rows with the lowest hashes of id and text are fitted, max_train
+    at most.  None if there are no rows."""
     names = [f"y{i}" for i in range(len(categories))]
     src = labelled.select(F.xxhash64(id_col, text_of(text_col)).alias("h"), *(F.col(c).cast("int").alias(n) for c, n in zip(categories, names, strict=True)), text_of(text_col).alias("t")).dropna()
     # fitted rows are few enough to be held on the executors between the passes
-    cut = src.select("h").orderBy("h").limit(max_train).agg(F.max("h")).first()[0]
+    cut = src.select("h").distinct().orderBy("h").limit(max_train).agg(F.max("h")).first()[0]
     if cut is None:
         return None
     src = src.where(F.col("h") <= cut)
@@ -148,18 +187,18 @@ def fit(labelled: DataFrame, categories: list[str], id_col: str = "doc_id", text
             lists = []
             for _, raw, off in buffers(batch.column(batch.num_columns - 1)):
                 bucket, row = features(raw, off)
-                both = np.unique(row.astype(np.int64) * BUCKETS + bucket)
-                r = both // BUCKETS
-                cut = np.searchsorted(r, np.arange(len(off)))
-                lists.append(pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(both % BUCKETS, pa.int32())))
+                cut = np.searchsorted(row, np.arange(len(off)))
+                lists.append(pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(bucket, pa.int32())))
             found = pa.concat_arrays(lists) if lists else pa.array([], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], found], names=[*batch.schema.names[:-1], "f"])
 
-    rows = src.mapInArrow(tidy(run), f"h long, {', '.join(f'{n} int' for n in names)}, f array<int>").repartition(FIT_PARTITIONS).persist()
+    rows = src.mapInArrow(tidy(run), f"h long, {', '.join(f'{n} int' for n in names)}, f array<int>")
+    rows = rows.dropDuplicates(["h"]).coalesce(FIT_PARTITIONS).persist()  # max_train rows at most
     try:
 
         def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            """Texts with each bucket, of all rows and by category: one row."""
+            """Texts with each bucket, of all rows and by category: one row.
+            A partition has max_train rows at most, so two bytes hold a number."""
             seen = np.zeros((width + 1, BUCKETS), np.uint16)
             total = np.zeros(width + 1, np.int64)
             for batch in batches:
@@ -181,15 +220,16 @@ def fit(labelled: DataFrame, categories: list[str], id_col: str = "doc_id", text
         n = int(total[0])
         if not n:
             return None
-        chosen: set[int] = set()
+        chosen = []
         for c in range(1, width + 1):
             can = np.flatnonzero(seen[0] >= LEAST_TEXTS)
             k, a, b = int(total[c]), seen[c][can].astype(float), seen[0][can].astype(float)
             spread = b * (n - b) * max(k, 1) * max(n - k, 1)
             chi = np.where(spread > 0, n * (a * n - b * k) ** 2 / np.maximum(spread, 1), 0)
             best = np.lexsort((can, -chi))[:SELECTED]
-            chosen |= set(can[best[chi[best] > 8]].tolist())
-        chain = Chain(list(categories), np.array(sorted(chosen), np.int64))
+            chosen.append(can[best[chi[best] > 8]])
+        selected = np.unique(np.concatenate(chosen)) if chosen else np.zeros(0, np.int64)
+        chain = Chain(list(categories), selected, np.array([np.isin(selected, x) for x in chosen]).reshape(width, -1))
         packed = pickle.dumps(chain.selected)
 
         def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,7 +252,7 @@ def fit(labelled: DataFrame, categories: list[str], id_col: str = "doc_id", text
         size = np.concatenate([np.diff(p.offsets.to_numpy()) for p in got["f"].chunks])
         at = np.repeat(np.arange(len(size)), size)
         cols = np.concatenate([p.flatten().to_numpy() for p in got["f"].chunks]).astype(np.int64)
-        return chain.fit(cols, at, y, fold)
+        return chain.fit(labelled.sparkSession, cols, at, y, fold)
     finally:
         rows.unpersist()
         release_memory()
@@ -238,20 +278,19 @@ def score(docs: DataFrame, chain: Chain | None, categories: list[str], id_col: s
     return src.mapInArrow(tidy(run), "id long, " + ", ".join(f"{n} double" for n in names)).withColumnRenamed("id", id_col)
 
 
-#: The query's chain: toxic texts in English, toxic ones in other languages,
-#: toxic ones at all.  The language only says which category a labelled row has.
-CATEGORIES = ["toxic_en", "toxic_other", "toxic"]
+#: The query's chain: the two marks that the labels have.
+CATEGORIES = ["low_quality", "toxic"]
 
 
 def labelled_categories(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> DataFrame:
     """Labelled documents with CATEGORIES; the labels are cut to max_train rows
-    (lowest hash of the id first) before they are broadcast."""
-    rows = labels.select(F.col("doc_id").alias("_id"), F.col("toxic").alias("_y")).dropna().groupBy("_id").agg(F.max("_y").alias("toxic"))
+    (lowest hash of the id first) before they are broadcast.  Of repeated labels
+    of an id the worst counts; a null quality is not low."""
+    low = (F.coalesce("quality", F.lit(1)) < 1).cast("int")
+    rows = labels.select(F.col("doc_id").alias("_id"), low.alias("_low"), F.col("toxic").alias("_toxic")).dropna().groupBy("_id").agg(F.max("_low").alias("low_quality"), F.max((F.col("_toxic") > 0).cast("int")).alias("toxic"))
     rows = rows.orderBy(F.xxhash64("_id"), "_id").limit(max_train)
-    english: Column = F.coalesce(F.col("lang") == "en", F.lit(False))
-    x = docs.select("doc_id", "text", "lang").join(F.broadcast(rows), F.col("doc_id") == F.col("_id"))
-    bad = F.col("toxic") > 0
-    return x.select("doc_id", "text", (bad & english).cast("int").alias("toxic_en"), (bad & ~english).cast("int").alias("toxic_other"), bad.cast("int").alias("toxic"))
+    d = docs.select(F.col("doc_id").alias("_doc"), F.col("text").alias("_text"))
+    return d.join(F.broadcast(rows), F.col("_doc") == F.col("_id")).select(F.col("_doc").alias("doc_id"), F.col("_text").alias("text"), *CATEGORIES)
 
 
 @production
@@ -260,4 +299,4 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels").where(crc_mod("doc_id") != 1)
     chain = fit(labelled_categories(docs, labels), CATEGORIES)
     p = score(docs, chain, CATEGORIES)
-    return p.select("doc_id", F.col("p_toxic").alias("score"), (F.col("p_toxic") >= 0.5).cast("int").alias("predicted"), "p_toxic_en", "p_toxic_other")
+    return p.select("doc_id", F.col("p_toxic").alias("score"), (F.col("p_toxic") >= 0.5).cast("int").alias("predicted"), "p_low_quality")
