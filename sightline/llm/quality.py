@@ -122,7 +122,7 @@ def crc_mod(id_col: str, n: int = 3) -> Column:
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % n
 
 
-def _described(docs: DataFrame, id_col: str, text_col: str, more: list[str]) -> DataFrame:
+def _described(docs: DataFrame, id_col: str, text_col: str, more: list[str | Column]) -> DataFrame:
     """id, more and the array of statistics."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,14 +139,16 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """A model of the labelled rows given, or None if there are none.
 
     Rows with a null id or label are left out; of repeated labels of an id the
-    largest counts, of repeated ids in docs every row does.  The training rows
-    are those with the lowest hashes of their ids, max_train at most."""
+    largest counts, and of rows that repeat id and text one.  The training rows
+    are those with the lowest hashes of their ids, then of id and text, max_train
+    at most."""
     rows = labels.select(F.col(id_col).cast("long").alias("_id"), F.col(label_col).cast("double").alias("_y")).dropna().groupBy("_id").agg(F.max("_y").alias("_y"))
     rows = rows.orderBy(F.xxhash64("_id"), "_id").limit(max_train)  # bounded, so broadcast
     docs = docs.select(F.col(id_col).cast("long").alias("_doc"), F.col(text_col).alias("_text"))
     joined = docs.join(F.broadcast(rows), F.col("_doc") == F.col("_id")).withColumn("_fold", F.pmod(F.xxhash64("_id", F.lit(SEED)), F.lit(4)))
-    data = _described(joined, "_doc", "_text", ["_y", "_fold"])
-    data = data.repartition(FIT_PARTITIONS).persist()  # so few normal equations reach the driver
+    data = _described(joined, "_doc", "_text", ["_y", "_fold", F.xxhash64("_doc", text_of("_text")).alias("_h")])
+    data = data.dropDuplicates(["_h"]).orderBy("_h").limit(max_train)
+    data = data.repartition(FIT_PARTITIONS, "_h").sortWithinPartitions("_h").persist()  # so few normal equations reach the driver
     try:
         n = len(STATISTICS)
         sums = data.select(F.count(F.lit(1)).alias("c"), *(e for i in range(n) for e in (F.sum(F.col("stats")[i]).alias(f"s{i}"), F.sum(F.col("stats")[i] * F.col("stats")[i]).alias(f"q{i}")))).first()
@@ -219,7 +221,9 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @production
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the classifier does not reject (score below 0.5)."""
+    """The documents that the classifier does not reject (score below 0.5), with
+    all their columns.  Null and empty texts are scored like others, a score of
+    0.5 stays, every row is judged on its own, and without labels all stay."""
     model = fit(docs, learnable(table(spark, sf_dir, "labels")))
     packed = pickle.dumps(model)
     names = docs.columns
