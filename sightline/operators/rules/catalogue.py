@@ -6,6 +6,7 @@ the score).  The last is null for a scored rule and else says why it is not.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -38,10 +39,27 @@ class RuleSpec:
 
 
 # ---- small words for the expressions below
-c = F.col
+_built: dict = {}
+
+
+def shared(build: Callable[..., Column]) -> Callable[..., Column]:
+    """An expression of names only, built once for all rules of an evaluation."""
+
+    @functools.wraps(build)
+    def get(*names):
+        key = (build, names)
+        if key not in _built:
+            _built[key] = build(*names)
+        return _built[key]
+
+    return get
+
+
+c = shared(lambda name: F.col(name))
 true = lambda: F.lit(True)
 
 
+@shared
 def text(name: str) -> Column:
     return F.coalesce(c(name), F.lit(""))
 
@@ -50,10 +68,12 @@ def filled(x: Column) -> Column:
     return F.length(F.trim(F.coalesce(x, F.lit("")))) > 0
 
 
+@shared
 def meta(key: str) -> Column:
     return F.try_element_at("meta", F.lit(key))
 
 
+@shared
 def listed(name: str) -> Column:
     return F.coalesce(c(name), F.array().cast(_STRINGS))
 
@@ -62,6 +82,7 @@ def signal(*names: str) -> Column:
     return F.arrays_overlap("signals", F.array(*map(F.lit, names)))
 
 
+@shared
 def fact(name: str) -> Column:
     return F.coalesce(c(f"facts.{name}"), F.lit(False))
 
@@ -78,10 +99,11 @@ def always(why: str) -> Callable[[], Column]:
     return lambda: F.lit(why)
 
 
-has_images = lambda: F.size("images") > 0
-paragraphs = lambda: F.transform(F.filter("text_blocks", lambda b: b["tag"] == "p"), lambda b: b["text"])
+has_images = shared(lambda: F.size("images") > 0)
+paragraphs = shared(lambda: F.transform(F.filter("text_blocks", lambda b: b["tag"] == "p"), lambda b: b["text"]))
 
 
+@shared
 def body_paragraphs(any_block: bool = False) -> Column:
     """Paragraphs; else, where wanted, any text block; else the whole body."""
     p = paragraphs()
@@ -90,6 +112,7 @@ def body_paragraphs(any_block: bool = False) -> Column:
     return F.when(F.size(p) > 0, p).when(F.lit(any_block) & (F.size(blocks) > 0), blocks).otherwise(whole)
 
 
+@shared
 def content_paragraphs() -> Column:
     """Paragraphs that are no breadcrumbs, forms or examples."""
     return F.filter(body_paragraphs(True), lambda p: (F.regexp_count(p, F.lit(r"[>»›·∙•|/]")) < 2) & ~p.rlike(f"(?i){P.EXAMPLE}|{P.FORM}"))
@@ -136,13 +159,17 @@ def name_variants(name: Column) -> Column:
     return F.array_distinct(F.filter(F.array(n, F.regexp_replace(n, " ", ""), F.lower(n), F.regexp_replace(n, "[^가-힣0-9]", ""), F.regexp_replace(F.lower(n), "[^a-z0-9]", "")), lambda v: v != ""))
 
 
-def named_in(where: Column) -> Column:
-    """Whether the business's name, in some variant, is in the text."""
+@shared
+def named_in(name: str) -> Column:
+    """Whether the business's name, in some variant, is in a text column or,
+    without a name, in the search text."""
+    where = text(name) if name else search_text()
     n = text("business_name")
     loose = F.when(F.length(F.regexp_replace(n, r"\s+", "")) >= 2, n.rlike("[가-힣]") & F.regexp_like(F.lower(where), F.concat(F.lit(r"(?<![가-힣a-z0-9])"), spaced(n), F.lit(rf"(?:(?![가-힣a-z0-9])|(?:{P.PARTICLE}))")))).otherwise(F.lit(False))
     return filled(n) & (F.exists(name_variants(n), lambda v: bounded(v, where)) | F.coalesce(loose, F.lit(False)))
 
 
+@shared
 def search_text() -> Column:
     return F.concat_ws(" ", "title", "description", "h1", F.array_join(listed("h2"), " "), F.substring(text("body_text"), 1, 2000))
 
@@ -156,23 +183,25 @@ def region_in(where: Column) -> Column:
 def area_fits(area: Column) -> Column:
     """Whether a phone's area code agrees with the region; unknown ones do."""
     code = F.when(area.startswith("02"), F.lit("02")).otherwise(F.substring(area, 1, 3))
-    table = F.create_map(*(x for k, v in P.AREA_CODES.items() for x in (F.lit(k), F.split(F.lit(v), " "))))
+    table = F.create_map(*(x for k, v in P.AREA_CODES.items() for x in (F.lit(k), F.array(*map(F.lit, v)))))
     places, r = F.try_element_at(table, code), F.trim(text("region"))
     return (r == "") | area.isin(P.MOBILE) | area.rlike(r"^1[5-9]\d{2}$") | F.coalesce(~F.exists(places, lambda x: x.isNotNull()) | F.exists(places, lambda x: F.contains(r, x) | F.contains(x, r)), F.lit(True))
 
 
-trusted_phone = lambda: F.exists("phones", lambda p: area_fits(p["area"]))
-contact = lambda kind: F.exists("contact_links", lambda x: x["kind"] == kind)
-any_link = lambda: F.concat(listed("internal_links"), listed("external_links"))
-channel_link = lambda: F.exists(listed("external_links"), lambda x: x.rlike(P.CHANNEL_LINK))
-heads = lambda: F.concat(listed("h2"), listed("h3"))
+trusted_phone = shared(lambda: F.exists("phones", lambda p: area_fits(p["area"])))
+contact = shared(lambda kind: F.exists("contact_links", lambda x: x["kind"] == kind))
+any_link = shared(lambda: F.concat(listed("internal_links"), listed("external_links")))
+channel_link = shared(lambda: F.exists(listed("external_links"), lambda x: x.rlike(P.CHANNEL_LINK)))
+heads = shared(lambda: F.concat(listed("h2"), listed("h3")))
 lang_base = lambda x: F.element_at(F.split(F.lower(F.trim(x)), "[-_]"), 1)
 
 
+@shared
 def slice_tail(array: str) -> Column:
     return F.when(F.size(array) > 1, F.slice(array, F.lit(2), F.greatest(F.size(array) - 1, F.lit(1)))).otherwise(F.slice(array, 1, 0))
 
 
+@shared
 def no_jump() -> Column:
     pairs = F.zip_with("headings", slice_tail("headings"), lambda a, b: F.coalesce(b["level"] > a["level"] + 1, F.lit(False)))
     return ~F.exists(pairs, lambda x: x)
@@ -183,6 +212,7 @@ def worthy_source(u: Column) -> Column:
     return ~u.rlike(P.NOT_A_SOURCE) & (h.rlike(rf"(^|\.)({hosts})$") | h.rlike(P.SOURCE_HOST_PART) | urls.path(u).rlike(P.SOURCE_PATH))
 
 
+@shared
 def distinct_matches(pattern: str) -> Column:
     return F.size(F.array_distinct(F.transform(F.regexp_extract_all(text("body_text"), F.lit(pattern), F.lit(0)), lambda x: F.regexp_replace(F.lower(x), r"\s+", ""))))
 
@@ -210,12 +240,14 @@ def local_service() -> Column:
     return F.when(~filled(c("region")) | (F.size(listed("main_services")) == 0), F.lit(False)).otherwise(near)
 
 
+@shared
 def structural_answers() -> Column:
     """Question headings that something other than a question follows."""
     pairs = F.zip_with("headings", slice_tail("headings"), lambda a, b: is_question(a["text"]) & F.when(b["text"].isNull(), F.exists("sentences", lambda s: F.length(s) >= 40)).otherwise(~is_question(b["text"]) | (b["level"] > a["level"])))
     return F.size(F.filter(pairs, lambda x: x))
 
 
+@shared
 def brand_mentions() -> Column:
     """Distinct places at which the name stands as a word."""
     body = F.lower(text("body_text"))
@@ -224,6 +256,7 @@ def brand_mentions() -> Column:
     return F.when(F.size(longest) == 0, F.lit(0)).otherwise(F.regexp_count(body, F.concat(F.lit(r"(?<![가-힣a-z0-9])(?:"), any_of, F.lit(rf")(?![a-z0-9])(?![가-힣&&[^{P.MENTION_PARTICLE}]])"))))
 
 
+@shared
 def other_language() -> Column:
     tags = F.filter("link_tags", lambda x: F.contains(F.coalesce(x["rel"], F.lit("")), F.lit("alternate")) & filled(x["hreflang"]) & (F.lower(x["hreflang"]) != "x-default"))
     langs = F.array_distinct(F.transform(tags, lambda x: lang_base(x["hreflang"])))
@@ -231,15 +264,16 @@ def other_language() -> Column:
     return (F.size(langs) >= 2) | ((F.size(langs) >= 1) & ((own == "") | ~F.array_contains(langs, own)))
 
 
+@shared
 def rel_links(pattern: str) -> Column:
     return F.filter("link_tags", lambda x: F.coalesce(x["rel"], F.lit("")).rlike(pattern))
 
 
-hreflang = lambda: F.filter("link_tags", lambda x: filled(x["hreflang"]))
-paging = lambda: rel_links(r"(^|\s)(prev|next)(\s|$)")
+hreflang = shared(lambda: F.filter("link_tags", lambda x: filled(x["hreflang"])))
+paging = shared(lambda: rel_links(r"(^|\s)(prev|next)(\s|$)"))
 slash_known = lambda: c("paths") >= 2
 number_kinds = ["number_percent", "number_period", "number_money", "number_count", "number_time", "number_career"]
-dated = lambda: filled(c("last_modified"))
+dated = shared(lambda: filled(c("last_modified")))
 
 
 def a11y(*names: str) -> Callable[[], Column]:
@@ -261,20 +295,20 @@ def R(rule_id, sev, weight, action, difficulty, impact, passed, score=None, sev_
     return RuleSpec(rule_id, SEVERITY[sev], weight, ACTION[action], difficulty, impact, passed, score, sev_when)
 
 
-_alt = lambda: share("images", lambda x: filled(x["alt"]))
+_alt = shared(lambda: share("images", lambda x: filled(x["alt"])))
 _lang_pair = lambda: (filled(c("html_lang")), filled(meta("content-language")))
-_lists = lambda: F.coalesce(c("ul"), F.lit(0)) + F.coalesce(c("ol"), F.lit(0))
+_lists = shared(lambda: F.coalesce(c("ul"), F.lit(0)) + F.coalesce(c("ol"), F.lit(0)))
 _mean_sentences = lambda p: F.aggregate(p, F.lit(0.0), lambda a, x: a + F.size(F.filter(F.split(x, r"[.!?。]+(\s+|$)"), lambda s: F.trim(s) != ""))) / F.size(p)
-_long = lambda n: F.filter(body_paragraphs(), lambda p: F.length(p) >= n)
-_first = lambda: F.try_element_at(F.filter(content_paragraphs(), lambda p: F.length(p) >= 30), F.lit(1))
-_mid = lambda: F.filter(content_paragraphs(), lambda p: F.length(p).between(50, 200))
-_ordinals = lambda: (distinct_matches(r"\b([1-9]|[1-9][0-9])\s*단계") >= 2) | (distinct_matches(r"(?i)\bstep\s*0?([1-9])") >= 2) | (distinct_matches("[①②③④⑤⑥⑦⑧⑨⑩]") >= 2) | (distinct_matches(r"(?:^|\s)([1-9])[.)]\s") >= 2) | (F.size(F.filter("headings", lambda h: h["text"].rlike(r"(?i)\b[1-9]\s*단계|step\s*[1-9]|[①②③④⑤]"))) >= 2)
-_schema_named = lambda kind: F.exists(c(f"facts.{kind}"), lambda n: F.exists(name_variants(n), lambda w: F.exists(name_variants(c("business_name")), lambda v: F.contains(w, v) | F.contains(v, w))))
-_phone_ok = lambda: fact("telephone") | trusted_phone() | contact("tel")
-_address_ok = lambda: fact("address") | (F.size("addresses") > 0)
-_industry = lambda: F.array_distinct(F.filter(F.concat(F.array(text("industry"), F.lower(F.trim(text("industry"))), F.regexp_replace(F.lower(F.trim(text("industry"))), r"[\s_-]+", "")), F.coalesce(F.try_element_at(F.create_map(*(x for k, v in P.INDUSTRY_WORDS.items() for x in (F.lit(k), F.array(*map(F.lit, v))))), F.regexp_replace(F.lower(F.trim(text("industry"))), r"[\s_-]+", "")), F.array().cast(_STRINGS))), filled))
-_conflict = lambda: ((F.size("phones") > 0) & ~trusted_phone() & ~fact("telephone") & filled(c("region"))) | (filled(c("business_name")) & (F.size("facts.names") > 0) & ~F.coalesce(F.exists("facts.names", lambda n: F.exists(name_variants(c("business_name")), lambda v: bounded(v, n))), F.lit(False)))
-_hours = lambda: c("valid_hours") | text("body_text").rlike(P.DAY_DETAIL)
+_long = shared(lambda n: F.filter(body_paragraphs(), lambda p: F.length(p) >= n))
+_first = shared(lambda: F.try_element_at(F.filter(content_paragraphs(), lambda p: F.length(p) >= 30), F.lit(1)))
+_mid = shared(lambda: F.filter(content_paragraphs(), lambda p: F.length(p).between(50, 200)))
+_ordinals = shared(lambda: (distinct_matches(r"\b([1-9]|[1-9][0-9])\s*단계") >= 2) | (distinct_matches(r"(?i)\bstep\s*0?([1-9])") >= 2) | (distinct_matches("[①②③④⑤⑥⑦⑧⑨⑩]") >= 2) | (distinct_matches(r"(?:^|\s)([1-9])[.)]\s") >= 2) | (F.size(F.filter("headings", lambda h: h["text"].rlike(r"(?i)\b[1-9]\s*단계|step\s*[1-9]|[①②③④⑤]"))) >= 2))
+_schema_named = shared(lambda kind: F.exists(c(f"facts.{kind}"), lambda n: F.exists(name_variants(n), lambda w: F.exists(name_variants(c("business_name")), lambda v: F.contains(w, v) | F.contains(v, w)))))
+_phone_ok = shared(lambda: fact("telephone") | trusted_phone() | contact("tel"))
+_address_ok = shared(lambda: fact("address") | (F.size("addresses") > 0))
+_industry = shared(lambda: F.array_distinct(F.filter(F.concat(F.array(text("industry"), F.lower(F.trim(text("industry"))), F.regexp_replace(F.lower(F.trim(text("industry"))), r"[\s_-]+", "")), F.coalesce(F.try_element_at(F.create_map(*(x for k, v in P.INDUSTRY_WORDS.items() for x in (F.lit(k), F.array(*map(F.lit, v))))), F.regexp_replace(F.lower(F.trim(text("industry"))), r"[\s_-]+", "")), F.array().cast(_STRINGS))), filled)))
+_conflict = shared(lambda: ((F.size("phones") > 0) & ~trusted_phone() & ~fact("telephone") & filled(c("region"))) | (filled(c("business_name")) & (F.size("facts.names") > 0) & ~F.coalesce(F.exists("facts.names", lambda n: F.exists(name_variants(c("business_name")), lambda v: bounded(v, n))), F.lit(False))))
+_hours = shared(lambda: c("valid_hours") | text("body_text").rlike(P.DAY_DETAIL))
 
 RULES: list[RuleSpec] = [
     R("SEO-TITLE-001", "H", 10, "vendor", "easy", "high", lambda: filled(c("title"))),
@@ -355,7 +389,7 @@ RULES: list[RuleSpec] = [
     R("AEO-PUBLISHER-INFO-001", "M", 6, "self", "easy", "medium", lambda: fact("publisher") | fact("organization") | signal("publisher_text")),
     R("AEO-FAQ-COUNT-001", "L", 3, "self", "easy", "low", lambda: F.when(c("facts.faq_entities") > 0, c("facts.faq_entities")).otherwise(F.size(F.filter(heads(), is_question))) >= 5),
     R("AEO-HEADING-QUESTION-RATIO-001", "M", 6, "self", "easy", "medium", lambda: (F.size(heads()) > 0) & (F.size(F.filter(heads(), lambda h: is_question(h) & ~h.rlike(P.RHETORICAL))) / F.greatest(F.size(heads()), F.lit(1)) >= 0.3)),
-    R("GEO-BUSINESS-NAME-001", "H", 10, "self", "easy", "high", lambda: named_in(search_text())),
+    R("GEO-BUSINESS-NAME-001", "H", 10, "self", "easy", "high", lambda: named_in("")),
     R("GEO-INDUSTRY-001", "H", 10, "self", "easy", "high", lambda: F.exists(_industry(), lambda v: bounded(v, search_text()))),
     R("GEO-REGION-001", "H", 10, "self", "easy", "high", lambda: filled(c("region")) & bounded(text("region"), search_text(), True)),
     R("GEO-SERVICE-001", "M", 6, "si", "hard", "medium", lambda: c("pages") >= F.size(listed("main_services")) + 1),
@@ -371,12 +405,12 @@ RULES: list[RuleSpec] = [
     R("GEO-ADDRESS-001", "H", 10, "self", "easy", "high", _address_ok),
     R("GEO-BRAND-MENTION-001", "L", 3, "self", "easy", "low", lambda: brand_mentions() >= 3),
     R("GEO-OG-IMAGE-001", "M", 6, "vendor", "easy", "medium", lambda: filled(meta("og:image"))),
-    R("GEO-NAP-CONSISTENCY-001", "M", 6, "self", "easy", "medium", lambda: (named_in(text("body_text")) | F.coalesce(F.exists("facts.names", lambda n: F.exists(name_variants(c("business_name")), lambda v: bounded(v, n))), F.lit(False))) & _phone_ok() & _address_ok() & ~_conflict()),
+    R("GEO-NAP-CONSISTENCY-001", "M", 6, "self", "easy", "medium", lambda: (named_in("body_text") | F.coalesce(F.exists("facts.names", lambda n: F.exists(name_variants(c("business_name")), lambda v: bounded(v, n))), F.lit(False))) & _phone_ok() & _address_ok() & ~_conflict()),
     R("GEO-LOCATION-SCHEMA-001", "M", 6, "snippet", "medium", "medium", lambda: fact("place")),
     R("GEO-MULTIPLE-LANG-001", "L", 3, "self", "medium", "low", lambda: ~text("industry").rlike(P.TOURISM) | other_language()),
-    R("GEO-BRAND-IN-TITLE-001", "H", 10, "self", "easy", "high", lambda: named_in(text("title"))),
-    R("GEO-BRAND-IN-H1-001", "H", 10, "self", "easy", "high", lambda: named_in(text("h1"))),
-    R("GEO-BRAND-CONSISTENCY-001", "M", 6, "self", "easy", "medium", lambda: sum(named_in(text(x)).cast("int") for x in ("title", "h1", "description", "body_text")) >= 3),
+    R("GEO-BRAND-IN-TITLE-001", "H", 10, "self", "easy", "high", lambda: named_in("title")),
+    R("GEO-BRAND-IN-H1-001", "H", 10, "self", "easy", "high", lambda: named_in("h1")),
+    R("GEO-BRAND-CONSISTENCY-001", "M", 6, "self", "easy", "medium", lambda: sum(named_in(x).cast("int") for x in ("title", "h1", "description", "body_text")) >= 3),
     R("GEO-MAP-EMBED-001", "L", 3, "vendor", "easy", "low", lambda: fact("map") | F.exists(any_link(), lambda x: F.lower(x).rlike("|".join(m.replace(".", r"\.") for m in P.MAP_LINKS)))),
     R("GEO-DIRECTIONS-INFO-001", "L", 3, "self", "easy", "low", lambda: text("body_text").rlike(r"찾아오시는 길|오시는 길|교통편|교통 안내|지하철|버스|역에서|출구|도보\s*\d+분|차로\s*\d+분") | signal("directions_weak")),
     R("GEO-BUSINESS-HOURS-DETAIL-001", "M", 6, "self", "easy", "medium", lambda: ~_hours() | text("body_text").rlike(P.DAY_DETAIL), unless(_hours, "unavailable")),
@@ -432,6 +466,7 @@ def evaluate(context: DataFrame, rules: list[RuleSpec] | None = None, as_of_year
     Which rules to run is a list, so a caller can leave out whole categories.
     Rules look at one row each, so nothing is shuffled."""
     rules = RULES if rules is None else rules
+    _built.clear()
     x = context.withColumn("as_of_year", F.lit(as_of_year))
     for name in ("link_depth", "unreachable"):
         if name not in x.columns:

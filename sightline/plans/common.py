@@ -12,6 +12,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df in at least as many partitions as there are cores: a small file is one
+    partition, and parsing its rows takes longer than moving them.  A table of
+    many splits stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers as accounts; the day of signup follows the key."""
     c = table(spark, sf_dir, "customer")

@@ -10,16 +10,22 @@ from ..operators import scoring
 from ..operators.rules import RULES, evaluate, rule_table, site_context
 from ..operators.rules.context import link_depth
 from ..sources.pages import parse_pages
-from .common import table
+from .common import spread, table
 
 
 def parsed(spark: SparkSession, d: str) -> DataFrame:
-    p = table(spark, d, "pages")
+    p = spread(table(spark, d, "pages"))
     return parse_pages(p.select(urls.site(F.col("url")).alias("site_id"), F.col("page_id").alias("pos"), "url", "html", F.lit(200).alias("status_code")))
 
 
-def results(spark: SparkSession, d: str) -> DataFrame:
-    return evaluate(site_context(parsed(spark, d)))
+def sites(spark: SparkSession, d: str) -> DataFrame:
+    """The hosts, from the urls alone, so that pages are parsed once."""
+    found = table(spark, d, "pages").select(urls.site(F.col("url")).alias("site_id")).distinct()
+    return found.selectExpr("site_id", "string(null) start_url", "false sitemap_used", "string(null) http_protocol", "int(null) redirect_chain_length")
+
+
+def results(spark: SparkSession, d: str, rules: list | None = None) -> DataFrame:
+    return evaluate(site_context(parsed(spark, d), sites=sites(spark, d)), rules)
 
 
 def host_pages(spark, d):
@@ -54,7 +60,7 @@ URL_RULES = ["SEO-PAGE-DEPTH-001", "SEO-DUPLICATE-CONTENT-001", "SEO-TRAILING-SL
 
 def host_url_rules(spark, d):
     """The rules that only look at all urls of a host."""
-    r = evaluate(site_context(parsed(spark, d)), [r for r in RULES if r.rule_id in URL_RULES])
+    r = results(spark, d, [r for r in RULES if r.rule_id in URL_RULES])
     return r.select("site_id", "rule_id", "passed", "score_impact")
 
 
