@@ -151,3 +151,20 @@ def cost_by_day(calls: DataFrame, prices: DataFrame, zone: str = "Asia/Seoul") -
     cost = F.coalesce(F.col("tokens_in") / 1000 * F.col("usd_in") + F.col("tokens_out") / 1000 * F.col("usd_out"), F.lit(0.0))
     day = F.to_date(F.from_utc_timestamp("at", zone))
     return calls.join(p, "model", "left").groupBy(day.alias("day"), "provider").agg(F.sum(cost).alias("usd"), F.count(F.lit(1)).alias("calls"))
+
+
+def actions_with_completion(actions: DataFrame, completions: DataFrame, tier: str | None = None, paid: bool = True, free_rows: int = 3) -> DataFrame:
+    """actions (site_id, action_id, tier, pos and more) with ``completed``: whether
+    the id is among the completions (action_id).  One tier, if wanted; a site that
+    does not pay sees the first free_rows, but ``total`` counts all of them."""
+    done = completions.select(F.col("action_id")).distinct().withColumn("_done", F.lit(True))
+    x = actions.join(done, "action_id", "left").withColumn("completed", F.coalesce("_done", F.lit(False))).drop("_done")
+    x = x if tier is None else x.where(F.col("tier") == tier)
+    w = Window.partitionBy("site_id")
+    x = x.withColumns({"total": F.count(F.lit(1)).over(w), "_n": F.row_number().over(w.orderBy("pos", "action_id"))})
+    return (x if paid else x.where(F.col("_n") <= free_rows)).drop("_n")
+
+
+def latest_of(*times: Column) -> Column:
+    """The latest of ISO texts, which is the greatest; empty ones don't count."""
+    return F.array_max(F.array_compact(F.array(*(F.nullif(t, F.lit("")) for t in times))))

@@ -86,3 +86,10 @@ def recommended(rows: DataFrame, k: int | None = None) -> DataFrame:
     out = each.groupBy("site_id", "name").agg(F.count_distinct("pos").alias("queries"), F.min_by("query", first).alias("sample_query"), F.min(first).alias("_o"))
     out = out.withColumn("place", F.row_number().over(Window.partitionBy("site_id").orderBy(F.desc("queries"), "_o"))).drop("_o")
     return out if k is None else out.where(F.col("place") <= k)
+
+
+def evidence_by_name(rows: DataFrame, evidence: DataFrame) -> DataFrame:
+    """rows (name and more) with the evidence of the same trimmed name, null if
+    there is none.  evidence: name, pos, evidence; the last of equal names counts."""
+    last = evidence.groupBy(F.trim("name").alias("_name")).agg(F.max_by("evidence", "pos").alias("evidence"))
+    return rows.join(last, F.trim(rows["name"]) == last["_name"], "left").drop("_name")

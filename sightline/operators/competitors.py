@@ -83,3 +83,15 @@ def heuristic_authority(signals: DataFrame) -> DataFrame:
     raw = flag("https") * 10 + flag("hsts") * 5 + flag("sitemap") * 10 + flag("robots_txt") * 5 + F.least(count("structured_data") * 5, F.lit(25.0)) + F.least(count("social_meta") * 2, F.lit(15.0)) + flag("canonical_consistent") * 10 + cap("content_length", 100) * 0.2
     da = F.floor(F.least(F.lit(100.0), F.greatest(F.lit(0.0), raw * 0.9)) + 0.5).cast("int")
     return signals.select("site_id", da.alias("authority"), F.floor(da * 5 + 0.5).cast("int").alias("backlinks"), F.floor(da * 0.8 + 0.5).cast("int").alias("domains"))
+
+
+def site_signals(pages: DataFrame) -> DataFrame:
+    """What heuristic_authority takes from pages (site_id, meta, canonical_host,
+    host, word_count, types): social tags, whether every canonical host there is
+    is the site's (true without any), words up to 500 by 5, kinds of structured
+    data."""
+    social = F.size(F.map_filter("meta", lambda k, _: k.startswith("og:") | k.startswith("twitter:")))
+    return pages.groupBy("site_id").agg(
+        F.max(social).alias("social_meta"), F.coalesce(F.bool_and(F.col("canonical_host") == F.col("host")), F.lit(True)).alias("canonical_consistent"),
+        (F.least(F.sum("word_count"), F.lit(500)) / 5).alias("content_length"), F.size(F.array_distinct(F.flatten(F.collect_set("types")))).alias("structured_data"),
+    )

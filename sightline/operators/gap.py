@@ -64,3 +64,10 @@ def gap_view(rows: DataFrame, paid: bool, free_rows: int = 3) -> DataFrame:
     out = rows.withColumn("_n", F.row_number().over(order))
     out = out if paid else out.where(F.col("_n") <= free_rows)
     return out.withColumns({"rank": F.least(F.col("_n"), F.lit(5)), "needs_plan": F.col("_n") > free_rows}).drop("_n")
+
+
+def gap_rows_with_rivals(rows: DataFrame, rivals: DataFrame) -> DataFrame:
+    """Gap rows (rival_id and more) with their rival's name and url; rows whose
+    rival is not known are left out."""
+    r = rivals.select(F.col("id").alias("rival_id"), F.col("name").alias("rival_name"), F.col("url").alias("rival_url"))
+    return rows.join(r, "rival_id")

@@ -126,3 +126,11 @@ def next_scan(at: Column, zone: str = "Asia/Seoul") -> Column:
     """The next Monday 06:00 in the zone, as UTC; a Monday goes to the next."""
     local = F.from_utc_timestamp(at, zone)
     return F.to_utc_timestamp(F.next_day(local.cast("date"), "MO").cast("timestamp") + F.expr("INTERVAL 6 HOURS"), zone)
+
+
+def attach_probe(signals: DataFrame, probes: DataFrame, k: int = 5) -> DataFrame:
+    """signals (run_id, text, score) with ``probe``: the score of the run's one
+    probe for its k best texts (by score, then text), null for the others."""
+    w = Window.partitionBy("run_id").orderBy(F.desc_nulls_last("score"), "text")
+    ranked = signals.withColumn("_n", F.row_number().over(w)).join(probes.select("run_id", F.col("score").alias("_probe")), "run_id", "left")
+    return ranked.withColumn("probe", F.when(F.col("_n") <= k, F.col("_probe"))).drop("_n", "_probe")

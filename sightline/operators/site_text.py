@@ -121,3 +121,11 @@ def missing_topics(expected: Column, found: Column, body: Column) -> Column:
     low = F.lower(body)
     have = F.transform(found, lambda x: F.lower(x))
     return F.filter(expected, lambda t: ~F.array_contains(have, F.lower(t)) & ~F.contains(low, F.lower(t)))
+
+
+def topic_coverage(words: DataFrame, topics: DataFrame) -> DataFrame:
+    """Share of a site's words that are of its topics, to four places; 0 without
+    words.  words: site_id, word, n.  topics: site_id, word."""
+    t = topics.select("site_id", "word", F.lit(True).alias("_of")).distinct()
+    x = words.join(t, ["site_id", "word"], "left").groupBy("site_id").agg(F.sum(F.when(F.col("_of"), F.col("n"))).alias("hit"), F.sum("n").alias("all"))
+    return x.select("site_id", F.when(F.col("all") > 0, F.round(F.coalesce("hit", F.lit(0)) / F.col("all"), 4)).otherwise(0.0).alias("coverage"))
