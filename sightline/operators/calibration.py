@@ -2,21 +2,44 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Stretches of values that a rule's metrics are cut into, about equal in size.
+STRETCHES = 1024
+
+
+def exact_ranks(values: DataFrame, ranks: dict[str, Column]) -> DataFrame:
+    """values: rule_id, m.  ranks: by name the wanted place (from 1) in a rule's
+    order, of the rule's number of values ``n``.  One row a rule with a column a
+    rank.
+
+    Values are counted, cut into stretches by an approximate sketch, and only the
+    stretches in which a wanted place lies are put in order, so no task sorts or
+    holds a rule's values.  The result does not depend on the cuts."""
+    counts = values.groupBy("rule_id", "m").agg(F.count(F.lit(1)).alias("c"))
+    points = F.array(*(F.lit(k / STRETCHES) for k in range(1, STRETCHES)))
+    cuts = counts.groupBy("rule_id").agg(F.array_distinct(F.percentile_approx("m", points, 10 * STRETCHES)).alias("cuts"))
+    counts = counts.join(F.broadcast(cuts), "rule_id").select("rule_id", "m", "c", F.size(F.filter("cuts", lambda x: x < F.col("m"))).alias("b"))
+    order = Window.partitionBy("rule_id").orderBy("b")  # STRETCHES rows a rule
+    sums = counts.groupBy("rule_id", "b").agg(F.sum("c").alias("w")).withColumns({"upto": F.sum("w").over(order), "n": F.sum("w").over(Window.partitionBy("rule_id"))})
+    wanted = F.inline(F.array(*(F.struct(F.lit(name).alias("name"), k.cast("long").alias("k")) for name, k in ranks.items())))
+    at = sums.select("rule_id", "b", "w", "upto", wanted).where("k <= upto AND k > upto - w").select("rule_id", "b", "name", (F.col("k") - F.col("upto") + F.col("w")).alias("k"))
+    inside = counts.join(F.broadcast(at), ["rule_id", "b"])  # a row a rule and rank
+    run = Window.partitionBy("rule_id", "name").orderBy("m")
+    found = inside.withColumn("upto", F.sum("c").over(run)).where("k <= upto AND k > upto - c")
+    return found.groupBy("rule_id").pivot("name", list(ranks)).agg(F.first("m"))
+
 
 def calibrate(samples: DataFrame, rules: dict[str, tuple[Column, Column]], tight: float = 0.95, loose: float = 0.1) -> DataFrame:
     """A row for each rule (metric, passed): pass rate, median (mean of the middle
     two), nearest-rank p90 and p95, and whether to raise or lower the threshold.
-    All rules are aggregates of one scan; null and NaN metrics are left out."""
-    aggs = []
-    for k, (metric, passed) in enumerate(rules.values()):
-        m = F.nanvl(metric.cast("double"), F.lit(None).cast("double"))
-        aggs += [F.avg(F.coalesce(passed, F.lit(False)).cast("double")).alias(f"r{k}"), F.percentile(m, F.lit(0.5)).alias(f"m{k}")]
-        samples = samples.withColumn(f"_m{k}", m)
-        aggs += [F.expr(f"percentile_disc(0.9) WITHIN GROUP (ORDER BY _m{k})").alias(f"a{k}"), F.expr(f"percentile_disc(0.95) WITHIN GROUP (ORDER BY _m{k})").alias(f"b{k}")]
-    one = samples.agg(F.count(F.lit(1)).alias("n"), *aggs)
-    rows = F.array(*(F.struct(F.lit(name).alias("rule_id"), F.col(f"r{k}").alias("pass_rate"), F.col(f"m{k}").alias("median"), F.col(f"a{k}").alias("p90"), F.col(f"b{k}").alias("p95")) for k, name in enumerate(rules)))
+    Null and NaN metrics are left out; without samples there are no rows."""
+    one = lambda name, metric, passed: F.struct(F.lit(name).alias("rule_id"), F.nanvl(metric.cast("double"), F.lit(None).cast("double")).alias("m"), F.coalesce(passed, F.lit(False)).alias("passed"))
+    long = samples.select(F.inline(F.array(*(one(name, *r) for name, r in rules.items()))))
+    rates = long.groupBy("rule_id").agg(F.avg(F.col("passed").cast("double")).alias("pass_rate"))
+    n = F.col("n")
+    found = exact_ranks(long.where("m IS NOT NULL").select("rule_id", "m"), {"lo": F.floor((n + 1) / 2), "hi": F.ceil((n + 1) / 2), "p90": F.ceil(n * 0.9), "p95": F.ceil(n * 0.95)})
+    out = rates.join(found, "rule_id", "left")
     advice = F.when(F.col("pass_rate") > tight, "raise").when(F.col("pass_rate") < loose, "lower").otherwise("keep")
-    return one.where("n > 0").select(F.inline(rows)).withColumn("advice", advice)
+    return out.select("rule_id", "pass_rate", ((F.col("lo") + F.col("hi")) / 2).alias("median"), "p90", "p95", advice.alias("advice"))
