@@ -9,6 +9,13 @@ from pyspark.sql import functions as F
 STRETCHES = 1024
 
 
+def _below(cuts: str, m: str) -> Column:
+    """How many of the ascending cuts lie below m, by halving."""
+    steps = F.array(*(F.lit(1 << k) for k in reversed(range(STRETCHES.bit_length()))))
+    step = lambda at, k: F.when(F.try_element_at(F.col(cuts), at + k) < F.col(m), at + k).otherwise(at)
+    return F.aggregate(steps, F.lit(0), step)
+
+
 def exact_ranks(values: DataFrame, ranks: dict[str, Column]) -> DataFrame:
     """values: rule_id, m.  ranks: by name the wanted place (from 1) in a rule's
     order, of the rule's number of values ``n``.  One row a rule with a column a
@@ -20,7 +27,7 @@ def exact_ranks(values: DataFrame, ranks: dict[str, Column]) -> DataFrame:
     counts = values.groupBy("rule_id", "m").agg(F.count(F.lit(1)).alias("c"))
     points = F.array(*(F.lit(k / STRETCHES) for k in range(1, STRETCHES)))
     cuts = counts.groupBy("rule_id").agg(F.array_distinct(F.percentile_approx("m", points, 10 * STRETCHES)).alias("cuts"))
-    counts = counts.join(F.broadcast(cuts), "rule_id").select("rule_id", "m", "c", F.size(F.filter("cuts", lambda x: x < F.col("m"))).alias("b"))
+    counts = counts.join(F.broadcast(cuts), "rule_id").select("rule_id", "m", "c", _below("cuts", "m").alias("b"))
     order = Window.partitionBy("rule_id").orderBy("b")  # STRETCHES rows a rule
     sums = counts.groupBy("rule_id", "b").agg(F.sum("c").alias("w")).withColumns({"upto": F.sum("w").over(order), "n": F.sum("w").over(Window.partitionBy("rule_id"))})
     wanted = F.inline(F.array(*(F.struct(F.lit(name).alias("name"), k.cast("long").alias("k")) for name, k in ranks.items())))
@@ -28,7 +35,7 @@ def exact_ranks(values: DataFrame, ranks: dict[str, Column]) -> DataFrame:
     inside = counts.join(F.broadcast(at), ["rule_id", "b"])  # a row a rule and rank
     run = Window.partitionBy("rule_id", "name").orderBy("m")
     found = inside.withColumn("upto", F.sum("c").over(run)).where("k <= upto AND k > upto - c")
-    return found.groupBy("rule_id").pivot("name", list(ranks)).agg(F.first("m"))
+    return found.groupBy("rule_id").agg(*(F.max(F.when(F.col("name") == name, F.col("m"))).alias(name) for name in ranks))
 
 
 def calibrate(samples: DataFrame, rules: dict[str, tuple[Column, Column]], tight: float = 0.95, loose: float = 0.1) -> DataFrame:

@@ -12,9 +12,11 @@ from ..functions.numbers import half_up
 
 
 def page_terms(pages: DataFrame, text: Column, min_length: int = 2, split: str = r"[^\p{L}\p{N}]+") -> DataFrame:
-    """Lower-case terms of each page of at least min_length characters."""
-    words = F.filter(F.split(F.lower(text), split), lambda w: F.char_length(w) >= min_length)
-    return pages.select("site_id", "page", F.explode(words).alias("term")).groupBy("site_id", "page", "term").agg(F.count(F.lit(1)).alias("n"))
+    """Lower-case terms of each page of at least min_length characters.  A page
+    without site or number has none.  That is said here, and n is asked for, so
+    that the shuffle of terms is one and the same for all who use them."""
+    words = pages.where("site_id IS NOT NULL AND page IS NOT NULL").select("site_id", "page", F.explode(F.split(F.lower(text), split)).alias("term")).where(F.char_length("term") >= min_length)
+    return words.groupBy("site_id", "page", "term").agg(F.count(F.lit(1)).alias("n")).where("n > 0")
 
 
 def tf_idf(terms: DataFrame, pages: DataFrame | None = None) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import calibration, citations, competitors, gap, keywords, site_text
-from .common import table
+from .common import spread, table
 
 _PRIORITY = "CASE WHEN s_suppkey % 3 = 0 THEN 'high' WHEN s_suppkey % 3 = 1 THEN 'medium' ELSE 'low' END"
 _ACTION = "CASE WHEN p % 4 = 0 THEN 'self_fix' WHEN p % 4 = 1 THEN 'snippet_action' WHEN p % 4 = 2 THEN 'vendor_action' ELSE 'si_action' END"
@@ -104,7 +104,7 @@ def quota_guard(spark, d):
 
 
 def _pages(spark, d):
-    return table(spark, d, "documents").select(F.col("source").alias("site_id"), F.col("doc_id").alias("page"), "text")
+    return spread(table(spark, d, "documents")).select(F.col("source").alias("site_id"), F.col("doc_id").alias("page"), "text")
 
 
 def tf_idf_terms(spark, d):
