@@ -53,6 +53,46 @@ def surface_kind(source_type: Column, url: Column) -> Column:
     )
 
 
+#: How a platform names itself at the end of titles.
+SOURCE_LABELS = {"website": "홈페이지", "naver_place": "네이버 플레이스", "naver_blog": "네이버 블로그", "instagram": "인스타그램", "kakao_place": "카카오 플레이스", "youtube": "유튜브", "facebook": "페이스북", "other_platform": "플랫폼 페이지"}
+#: What a platform page's text is searched for.
+PHONE = r"0\d{1,2}-\d{3,4}-\d{4}|010-\d{4}-\d{4}"
+ADDRESS = r"(?:서울|부산|대구|인천|광주|대전|울산|세종|경기|강원|충북|충남|전북|전남|경북|경남|제주)[^\n.。]{5,40}"
+HOURS = r"(?:영업시간|운영시간|매일|월|화|수|목|금|토|일)[^\n.。]{0,40}\d{1,2}:\d{2}[^\n.。]{0,20}"
+WORD = r"[가-힣A-Za-z0-9]{2,20}"
+NO_SERVICE = ["서울", "강남구", "영업시간", "방문자"]
+SERVICE_FIRST = ["coffee", "brunch", "dessert", "beans", "menu", "booking", "reservation", "review", "reviews", "photos"]
+HINTS = {"booking_hint": "예약|booking", "recent_hint": "최근|오늘|이번|업데이트|게시|영상|블로그", "review_hint": "리뷰|별점|후기|평점", "photo_hint": "사진|이미지|photo|image"}
+SERVICES = 12
+
+
+def platform_presence(pages: DataFrame) -> DataFrame:
+    """What a platform's page says of a business.  pages: site_id, source_type,
+    url and the columns h1, title, description, meta, body_text of a parsed page.
+
+    The name is the first of h1, og:title and title without the platform's own
+    name at its end; the description the first of description, og:description and
+    the first sentence of 20 characters.  Text that is not there gives null, no
+    services and false hints."""
+    trim = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
+    body, meta = F.coalesce("body_text", F.lit("")), lambda k: F.try_element_at("meta", F.lit(k))
+    label = F.coalesce(lookup(SOURCE_LABELS, F.col("source_type")), F.lit(SOURCE_LABELS["other_platform"]))
+    title = F.nullif(F.coalesce("h1", meta("og:title"), "title"), F.lit(""))
+    name = trim(F.regexp_replace(title, F.concat(F.lit(r"(?i)\s*[-|]\s*\Q"), label, F.lit(r"\E\s*$")), F.lit("")))
+    first = F.filter(F.transform(F.split(body, r"[.!?\n]"), trim), lambda x: F.char_length(x) >= 20)
+    x = pages.select("site_id", "source_type", "url", name.alias("name"), F.coalesce("description", meta("og:description"), F.try_element_at(first, F.lit(1))).alias("description"), body.alias("_body"))
+    x = x.withColumn("_text", F.concat_ws(" ", "_body", F.coalesce("description", F.lit(""))))
+    find = lambda p: F.nullif(F.regexp_extract("_text", p, 0), F.lit(""))
+    words = F.array_except(F.regexp_extract_all("_text", F.lit(WORD), F.lit(0)), F.array(*map(F.lit, NO_SERVICE)))  # distinct, in order
+    x = x.withColumns({"phone": find(PHONE), "address": trim(find(ADDRESS)), "opening_hours": trim(find(HOURS)), "_words": words, **{name: F.col("_text").rlike("(?i)" + p) for name, p in HINTS.items()}})
+    first_words = F.array_intersect(F.array(*map(F.lit, SERVICE_FIRST)), "_words")
+    confidence = F.when(F.char_length("_body") < 80, "low").when(F.col("source_type").isin("instagram", "facebook"), "medium").otherwise("high")
+    return x.select(
+        "site_id", "source_type", surface_kind(F.col("source_type"), F.col("url")).alias("surface_kind"), "name", "description", "phone", "address", F.split("address", r"\s+")[0].alias("region"), "opening_hours",
+        F.slice(F.array_union(first_words, "_words"), 1, SERVICES).alias("services"), *HINTS, confidence.alias("confidence"),
+    )
+
+
 def merge_presence(surfaces: DataFrame, services: int = 20) -> DataFrame:
     """surfaces: site_id, pos, name, services.  First name that is not blank and
     the first distinct services of a site."""
