@@ -96,18 +96,27 @@ def run_status(signals: DataFrame) -> DataFrame:
     )
 
 
+#: Positions are counted in slices of so many.
+SLICE = 65536
+
+
+def numbered(rows: DataFrame, key: str, pos: str, name: str) -> DataFrame:
+    """rows with their number from 1 in the order of pos (whole numbers) within
+    key.  Counted within slices of positions and then over slices, so that no
+    key is sorted in one task."""
+    r = rows.withColumn("_slice", F.floor(F.col(pos) / SLICE))
+    before = r.groupBy(key, "_slice").agg(F.count(F.lit(1)).alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(Window.partitionBy(key).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
+    at = F.row_number().over(Window.partitionBy(key, "_slice").orderBy(pos))
+    return r.withColumn("_at", at).join(before, [key, "_slice"]).withColumn(name, F.col("_before") + F.col("_at")).drop("_slice", "_at", "_before")
+
+
 def quota_guard(requests: DataFrame, budgets: DataFrame) -> DataFrame:
     """requests: channel, pos.  budgets: channel, budget, used.  ``allowed``: the
     first budget - used requests of a channel; one without a budget has no
-    bound.  The place of a request is counted in two steps, within hashed
-    slices of positions and then over slices, so no channel is one sort."""
+    bound."""
     b = budgets.select("channel", F.greatest(F.lit(0), F.col("budget") - F.col("used")).alias("left"))
-    w = Window.partitionBy("channel", "slice").orderBy("pos")
-    r = requests.withColumn("slice", F.floor(F.col("pos") / 65536))
-    sizes = r.groupBy("channel", "slice").agg(F.count(F.lit(1)).alias("n"))
-    before = sizes.withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy("channel").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
-    r = r.withColumn("at", F.row_number().over(w)).join(before, ["channel", "slice"]).join(b, "channel", "left")
-    return r.withColumn("allowed", F.col("left").isNull() | (F.col("before") + F.col("at") <= F.col("left"))).drop("slice", "at", "before", "left")
+    r = numbered(requests, "channel", "pos", "_place").join(b, "channel", "left")
+    return r.withColumn("allowed", F.col("left").isNull() | (F.col("_place") <= F.col("left"))).drop("_place", "left")
 
 
 def radar_verdict(score: Column) -> Column:

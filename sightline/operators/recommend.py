@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import recommendation_quality, render
+from .keywords import numbered
 
 #: A text below this quality is replaced; a budget warns at these shares.
 GOOD_ENOUGH = 70
@@ -33,8 +34,7 @@ def choose_provider(requests: DataFrame, providers: DataFrame, daily_usd: float)
     else none.  A request's place in its day stands for what was spent before."""
     cost = F.col("usd_in") * ESTIMATE[0] / 1000 + F.col("usd_out") * ESTIMATE[1] / 1000
     p = providers.agg(F.min_by(F.struct("provider", cost.alias("cost")), "rank").alias("first"), F.min_by("provider", F.when(cost == 0, F.col("rank"))).alias("free"))
-    n = F.row_number().over(Window.partitionBy("day").orderBy("pos"))
-    x = requests.withColumn("n", n).join(F.broadcast(p))  # one row
+    x = numbered(requests, "day", "pos", "n").join(F.broadcast(p))  # one row
     spent = F.col("n") * F.col("first.cost")
     fits = spent <= daily_usd + 1e-12
     alert = None

@@ -39,5 +39,11 @@ ORACLE_SQL = {
         UNION ALL SELECT e.key, e.k, e.a, CASE WHEN e.a - s >= 172800000 THEN e.a ELSE s END, CASE WHEN e.a - s >= 172800000 THEN 1 WHEN n >= 3 THEN n ELSE n + 1 END,
           e.a - s >= 172800000 OR n < 3, CASE WHEN e.a - s >= 172800000 OR n < 3 THEN 0 ELSE 172800000 - (e.a - s) END FROM f JOIN e ON e.key = f.key AND e.k = f.k + 1)
       SELECT key, count(*) AS events, count(*) FILTER (ok) AS allowed, max(w) AS longest_wait FROM f GROUP BY 1""",
+    "cost_gated": """WITH RECURSIVE e AS (SELECT user_id % 100 AS key, epoch_us(ts) // 1000 AS a, strftime(ts, '%Y-%m-%d') AS d, strftime(ts, '%Y-%m') AS m, CASE event_type WHEN 'purchase' THEN 4 ELSE 1 END AS x, row_number() OVER (PARTITION BY user_id % 100 ORDER BY epoch_us(ts) // 1000, event_id) AS k FROM events),
+      f AS (SELECT key, k, d, m, a + 3600000 AS until, 1 AS n, 1 AS o, 'granted' AS reason FROM e WHERE k = 1
+        UNION ALL SELECT key, k, d, m, CASE reason WHEN 'granted' THEN a + 3600000 ELSE until END, n + (reason = 'granted')::INT, o + (reason = 'granted')::INT, reason FROM
+          (SELECT *, CASE WHEN until > a THEN 'cache_hit' WHEN n >= 2 * x THEN 'daily_quota_exceeded' WHEN o >= 20 * x THEN 'monthly_quota_exceeded' ELSE 'granted' END AS reason FROM
+            (SELECT e.key, e.k, e.a, e.d, e.m, e.x, until, CASE WHEN e.d = f.d THEN n ELSE 0 END AS n, CASE WHEN e.m = f.m THEN o ELSE 0 END AS o FROM f JOIN e ON e.key = f.key AND e.k = f.k + 1)))
+      SELECT reason, count(*) AS requests FROM f GROUP BY 1""",
     "event_trend": "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS events FROM events GROUP BY 1, 2",
 }
