@@ -6,8 +6,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import citations, competitors, platform, recommend
-from ..sources import sitemaps
+from ..operators import channels, citations, competitors, platform, recommend, site_text
+from ..sources import artefacts, sitemaps
 from .common import spread, table
 
 RULES = ["SEO-CANONICAL-001", "PERF-LCP-001", "GEO-REVIEW-001", "SEO-TITLE-001", "SEO-H1-001", "AEO-FAQ-001"]
@@ -90,7 +90,29 @@ def robots_checks(spark, d):
     return sitemaps.robots_allowed(pages, rules, "bot").select("event_id", "allowed")
 
 
-QUERIES = {f.__name__: f for f in (text_scores, listed_names, rivals_after_exclusion, recommendation_texts, provider_choice, scoped_results, merged_presence, sitemap_places, robots_checks)}
+def missing_topics(spark, d):
+    """Expected topics that a whole document lacks."""
+    expected = F.array(F.lit("An"), F.lit("ation"), F.lit("Zzz"), F.lit("heit"))
+    found = F.when(F.col("doc_id") % 2 == 0, F.array(F.lit("zzz"))).otherwise(F.array().cast("array<string>"))
+    return table(spark, d, "documents").select("doc_id", F.array_join(site_text.missing_topics(expected, found, F.coalesce("text", F.lit(""))), ",").alias("missing"))
+
+
+def viewports(spark, d):
+    """Pages as they are, with a viewport by their number put before them."""
+    mark = F.element_at(F.array(F.lit(""), F.lit('<META name="viewport" content="width=device-width, initial-scale=1">'), F.lit("<meta name='viewport' content='width=500'>")), (F.col("page_id") % 3 + 1).cast("int"))
+    html = F.concat(mark, F.coalesce("html", F.lit("")))
+    return table(spark, d, "pages").select("page_id", channels.viewport(html).alias("viewport"), channels.missing_viewport(html).alias("missing"))
+
+
+def action_links(spark, d):
+    """Orders as diagnoses: lines shipped by some suppliers as rivals, returned
+    ones as gap rows, all as actions."""
+    x = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("diagnosis_id"), F.col("l_linenumber").alias("pos")).agg(F.min("l_suppkey").alias("s"), F.max("l_returnflag").alias("flag"))
+    of = artefacts.linked(x.where("s % 3 = 0").select("diagnosis_id", "pos"), x.where("flag = 'R'").select("diagnosis_id", "pos"), x.select("diagnosis_id", "pos", F.concat(F.lit("a"), "s").alias("action_ref")))
+    return of["actions"].select("diagnosis_id", "pos", "action_ref")
+
+
+QUERIES = {f.__name__: f for f in (missing_topics, viewports, action_links, text_scores, listed_names, rivals_after_exclusion, recommendation_texts, provider_choice, scoped_results, merged_presence, sitemap_places, robots_checks)}
 
 _BREAK = r"""'[\s.,!?;:()\[\]{}"''“”‘’·…/|<>]+'"""
 _words = lambda t, n=1: f"list_filter(regexp_split_to_array({t}, {_BREAK}), lambda w: length(w) >= {n})"
@@ -102,6 +124,13 @@ _quality = lambda t: (
 _case = lambda values, key: "CASE " + key + " " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in enumerate(values)) + " END"
 
 ORACLE_SQL = {
+    "missing_topics": "SELECT doc_id, concat_ws(',', CASE WHEN NOT contains(l, 'an') THEN 'An' END, CASE WHEN NOT contains(l, 'ation') THEN 'ation' END, CASE WHEN doc_id % 2 = 1 AND NOT contains(l, 'zzz') THEN 'Zzz' END, CASE WHEN NOT contains(l, 'heit') THEN 'heit' END) AS missing FROM (SELECT doc_id, lower(coalesce(text, '')) AS l FROM documents)",
+    "viewports": """WITH h AS (SELECT page_id, ['', '<META name="viewport" content="width=device-width, initial-scale=1">', '<meta name=''viewport'' content=''width=500''>'][page_id % 3 + 1] || coalesce(html, '') AS h FROM pages),
+      v AS (SELECT page_id, nullif(regexp_extract(h, '(?i)<meta\\s+name=["'']viewport["'']\\s+content=["'']([^"'']*)["'']', 1), '') AS v FROM h)
+      SELECT page_id, v AS viewport, NOT (contains(coalesce(v, ''), 'width=device-width') OR contains(coalesce(v, ''), 'width=100%')) AS missing FROM v""",
+    "action_links": """WITH x AS (SELECT l_orderkey AS k, l_linenumber AS pos, min(l_suppkey) AS s, max(l_returnflag) AS flag FROM lineitem GROUP BY 1, 2), r AS (SELECT DISTINCT k FROM x WHERE s % 3 = 0),
+      g AS (SELECT k, sha256('gap|' || k || '|' || pos) AS id, row_number() OVER (PARTITION BY k ORDER BY pos) AS n FROM x JOIN r USING (k) WHERE flag = 'R'), a AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY pos) AS n FROM x)
+      SELECT k AS diagnosis_id, pos, coalesce(id, 'a' || s) AS action_ref FROM a LEFT JOIN g USING (k, n)""",
     "text_scores": f"""WITH t AS (SELECT doc_id, coalesce(text, '') AS t, lower(coalesce(text, '')) AS l FROM documents),
       u AS (SELECT *, {_words("l")} AS w, {_words("t")} AS v, len({_trimmed("regexp_split_to_array(t, '[.!?。！？\\n]+')")}) AS s, len({_trimmed("regexp_split_to_array(t, '\\n\\s*\\n')")}) AS p, list_distinct({_words("lower(array_to_string(string_split(t, ' ')[1:8], ' '))", 2)}) AS h FROM t)
       SELECT doc_id, ((length(l) - length(replace(l, 'an', ''))) / 2)::INT AS occurrences, CAST(floor(CASE WHEN len(w) = 0 THEN 0 ELSE floor(len(list_filter(w, lambda x: contains(x, 'an'))) / len(w) * 10000 + 0.5) / 10000 END * 10 * 1000 + 0.5) AS BIGINT) AS density,

@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
 from sightline.operators import platform, views
-from sightline.sources import patterns
+from sightline.sources import artefacts, patterns
 
 
 def test_evidence_of_any_shape(spark):
@@ -43,3 +43,15 @@ def test_relevance_and_sentences_around(spark):
     text = "가. 나다 Here ok. 끝" + " z" * 60 + " here"
     assert patterns.sentences_around(text, "here", 6) == ["가", "나다 Here ok", "끝", "z z z here"]
     assert patterns.sentences_around(text, "") == [] and patterns.sentences_around("a. bb. c", "bb", 0) == ["bb"]
+
+
+def test_stored_artefacts(spark, tmp_path):
+    row = lambda *rows: spark.createDataFrame(rows, "diagnosis_id int, pos int, action_ref string")
+    t = artefacts.linked(row((1, 2, None), (1, 1, None)).drop("action_ref"), row((1, 5, None), (2, 1, None)).drop("action_ref"), row((1, 1, "x"), (1, 2, "y"), (2, 1, "z")))
+    artefacts.save(t, str(tmp_path), "diagnosis_id")
+    artefacts.save({"actions": t["actions"].where("diagnosis_id = 2")}, str(tmp_path), "diagnosis_id")
+    rivals, gaps = artefacts.load(spark, str(tmp_path), "rivals"), artefacts.load(spark, str(tmp_path), "gap_rows").collect()
+    assert [g["rival_id"] for g in gaps] == [rivals.where("pos = 1").first()["id"]]
+    got = [r["action_ref"] for r in artefacts.load(spark, str(tmp_path), "actions").orderBy("diagnosis_id", "pos").collect()]
+    assert got == [gaps[0]["id"], "y", "z"]
+    assert artefacts.linked(row().drop("action_ref"), row().drop("action_ref"), row())["actions"].count() == 0
