@@ -6,6 +6,7 @@ import ctypes
 import functools
 import gc
 import tempfile
+import uuid
 from collections.abc import Callable
 from itertools import count
 
@@ -26,14 +27,28 @@ def shared_folder(spark: SparkSession) -> str:
 
     Only a local session that names none, as in tests, gets a temporary one."""
     sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir", None)
-    if named:
-        return named
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        if not sc.master.startswith("local"):
+        named = sc.getConf().get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="sightline-checkpoint-"))
-    return sc._jsc.sc().getCheckpointDir().get()
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="sightline-checkpoint-"))
+    # a folder of this application alone, in the one that was named
+    own = sc._jsc.sc().getCheckpointDir().get()
+    delete_at_end(spark, own)
+    return own
+
+
+def delete_at_end(spark: SparkSession, folder: str) -> None:
+    """Delete the folder when the application ends; until then executors may
+    need what is in it to make lost results again."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder for tables written between steps, shared and deleted when
+    the application ends."""
+    return f"{shared_folder(spark)}/{uuid.uuid4().hex}"
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
