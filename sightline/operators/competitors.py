@@ -74,14 +74,18 @@ def buildable_queries(profiles: DataFrame, keywords: int = 3) -> DataFrame:
     return profiles.select("site_id", F.posexplode(F.concat(base, more)).alias("pos", "query"))
 
 
+def authority(https: Column, hsts: Column, sitemap: Column, robots_txt: Column, structured_data: Column, social_meta: Column, canonical_consistent: Column, content_length: Column) -> Column:
+    """Domain authority (0..100) estimated from capped on-page signals (fixed
+    weights); a missing signal counts for nothing."""
+    flag = lambda x, n: F.coalesce(x, F.lit(False)).cast("double") * n
+    capped = lambda x, n, most: F.least(F.coalesce(x, F.lit(0)).cast("double") * n, F.lit(float(most)))
+    raw = flag(https, 10) + flag(hsts, 5) + flag(sitemap, 10) + flag(robots_txt, 5) + capped(structured_data, 5, 25) + capped(social_meta, 2, 15) + flag(canonical_consistent, 10) + capped(content_length, 1, 100) * 0.2
+    return F.floor(F.least(F.lit(100.0), F.greatest(F.lit(0.0), raw * 0.9)) + 0.5).cast("int")
+
+
 def heuristic_authority(signals: DataFrame) -> DataFrame:
-    """site_id, ``authority``, ``backlinks`` and ``domains`` estimated from capped
-    on-page signals (fixed weights); a missing signal counts for nothing."""
-    cap = lambda c, most: F.least(F.coalesce(F.col(c), F.lit(0)).cast("double"), F.lit(float(most)))
-    flag = lambda c: F.coalesce(F.col(c), F.lit(False)).cast("double")
-    count = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("double")
-    raw = flag("https") * 10 + flag("hsts") * 5 + flag("sitemap") * 10 + flag("robots_txt") * 5 + F.least(count("structured_data") * 5, F.lit(25.0)) + F.least(count("social_meta") * 2, F.lit(15.0)) + flag("canonical_consistent") * 10 + cap("content_length", 100) * 0.2
-    da = F.floor(F.least(F.lit(100.0), F.greatest(F.lit(0.0), raw * 0.9)) + 0.5).cast("int")
+    """site_id, ``authority``, ``backlinks`` and ``domains`` of each site's signals."""
+    da = authority(*map(F.col, ("https", "hsts", "sitemap", "robots_txt", "structured_data", "social_meta", "canonical_consistent", "content_length")))
     return signals.select("site_id", da.alias("authority"), F.floor(da * 5 + 0.5).cast("int").alias("backlinks"), F.floor(da * 0.8 + 0.5).cast("int").alias("domains"))
 
 

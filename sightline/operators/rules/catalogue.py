@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import functools
 from collections.abc import Callable
+from contextvars import ContextVar
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -39,7 +40,8 @@ class RuleSpec:
 
 
 # ---- small words for the expressions below
-_built: dict = {}
+#: The expressions of one evaluation; each has a dictionary of its own.
+_built: ContextVar[dict] = ContextVar("built")
 
 
 def shared(build: Callable[..., Column]) -> Callable[..., Column]:
@@ -47,10 +49,10 @@ def shared(build: Callable[..., Column]) -> Callable[..., Column]:
 
     @functools.wraps(build)
     def get(*names):
-        key = (build, names)
-        if key not in _built:
-            _built[key] = build(*names)
-        return _built[key]
+        built, key = _built.get(), (build, names)
+        if key not in built:
+            built[key] = build(*names)
+        return built[key]
 
     return get
 
@@ -417,7 +419,7 @@ RULES: list[RuleSpec] = [
     R("GEO-PHONE-FORMAT-001", "L", 3, "vendor", "easy", "low", lambda: contact("tel") | (F.size("phones") == 0), unless(lambda: contact("tel") | (F.size("phones") > 0), "unavailable")),
     R("GEO-REVIEW-AGGREGATE-001", "M", 6, "snippet", "medium", "medium", lambda: fact("rating") | signal("rating")),
     R("NLP-KEYWORD-DENSITY-001", "M", 6, "self", "easy", "medium", measured("nlp", lambda: (F.size("nlp.densities") <= 0) | (F.size(F.filter("nlp.densities", lambda d: d.between(0.01, 0.03))) >= F.ceil(F.size("nlp.densities") * 0.5)))),
-    R("NLP-TOPIC-RELEVANCE-001", "M", 6, "self", "easy", "medium", measured("nlp", lambda: (filled(c("industry")) & F.contains(F.array_join("nlp.topics", " "), text("industry"))) | (filled(c("region")) & F.contains(F.array_join("nlp.topics", " "), text("region"))))),
+    R("NLP-TOPIC-RELEVANCE-001", "M", 6, "self", "easy", "medium", measured("nlp", lambda: sum((filled(c(x)) & F.contains(F.lower(F.array_join("nlp.topics", " ")), F.lower(F.trim(text(x))))).cast("int") for x in ("industry", "region")) > 0)),
     R("NLP-READABILITY-001", "M", 6, "self", "medium", "medium", measured("nlp", lambda: c("nlp.readability") >= 60)),
     R("NLP-SENTENCE-LENGTH-001", "L", 3, "self", "easy", "low", measured("nlp", lambda: (c("nlp.avg_sentence") > 0) & (c("nlp.avg_sentence") <= 25))),
     R("NLP-EEAT-AUTHOR-001", "M", 6, "snippet", "easy", "medium", measured("nlp", lambda: c("nlp.has_author"))),
@@ -466,7 +468,7 @@ def evaluate(context: DataFrame, rules: list[RuleSpec] | None = None, as_of_year
     Which rules to run is a list, so a caller can leave out whole categories.
     Rules look at one row each, so nothing is shuffled."""
     rules = RULES if rules is None else rules
-    _built.clear()
+    _built.set({})
     x = context.withColumn("as_of_year", F.lit(as_of_year))
     for name in ("link_depth", "unreachable"):
         if name not in x.columns:

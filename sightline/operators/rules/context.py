@@ -14,10 +14,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ...functions import urls
+from ...functions.language import LANGUAGE, with_language
+from ..competitors import authority
 
 PERF = "struct<strategy:string,performance:double,lcp:double,fid:double,cls:double,inp:double,ttfb:double,fcp:double>"
 BACKLINK = "struct<domain_authority:double,https_enforced:boolean,hsts:boolean,canonical_consistent:boolean,structured_data:int,social_meta:int>"
-NLP = "struct<densities:array<double>,topics:array<string>,readability:double,avg_sentence:double,has_author:boolean,expertise:int,trust:int,fresh:boolean,alignment:double>"
+NLP = LANGUAGE
 PROFILE = {"business_name": "string", "industry": "string", "region": "string", "main_services": "array<string>", "target_keywords": "array<string>"}
 
 
@@ -35,13 +37,14 @@ def site_context(pages: DataFrame, profiles: DataFrame | None = None, sites: Dat
     x = pages.join(start, "site_id")
     first = F.struct(F.when(F.col("url") == F.col("start_url"), 0).otherwise(1), "pos")
     fields = [c for c in pages.columns if c != "site_id"]
+    canonical_host = F.when(F.col("canonical_url").isNotNull(), urls.host(F.col("canonical_url")))
     canonical = F.col("canonical_url").isNull() | urls.same_site(F.col("canonical_url"), F.col("url"))
     s = x.groupBy("site_id").agg(
         F.min_by(F.struct(*fields), first).alias("page"), F.count(F.lit(1)).alias("pages"), F.count_distinct("url").alias("urls"), F.max(urls.path_depth(F.col("url"))).alias("deepest"),
         F.bool_or(link).alias("sitemap_link"), F.count(desc).alias("descriptions"), F.count_distinct(desc).alias("distinct_descriptions"), F.bool_or(F.col("status_code").between(400, 499)).alias("broken"),
-        F.count_if(p != "/").alias("paths"), F.count_if((p != "/") & p.endswith("/")).alias("slashed"), F.bool_and(canonical).alias("canonical_same_site"),
+        F.min(canonical_host).alias("canonical_from"), F.max(canonical_host).alias("canonical_to"), F.count_if(p != "/").alias("paths"), F.count_if((p != "/") & p.endswith("/")).alias("slashed"), F.bool_and(canonical).alias("canonical_same_site"),
     )
-    s = s.join(sites, "site_id").select("site_id", "page.*", "pages", "urls", "deepest", "sitemap_link", "descriptions", "distinct_descriptions", "broken", "paths", "slashed", "canonical_same_site", "start_url", "sitemap_used", "http_protocol", "redirect_chain_length")
+    s = s.join(sites, "site_id").select("site_id", "page.*", "pages", "urls", "deepest", "sitemap_link", "descriptions", "distinct_descriptions", "broken", "paths", "slashed", "canonical_same_site", "canonical_from", "canonical_to", "start_url", "sitemap_used", "http_protocol", "redirect_chain_length")
     if profiles is None:
         for c, t in PROFILE.items():
             s = s.withColumn(c, F.lit(None).cast(t))
@@ -55,11 +58,30 @@ def site_context(pages: DataFrame, profiles: DataFrame | None = None, sites: Dat
     return s if a11y_measured else s.withColumn("a11y", F.lit(None).cast("array<string>"))
 
 
+def with_measures(context: DataFrame) -> DataFrame:
+    """A context with what its pages themselves tell about language (``nlp``) and
+    authority (``backlink``), where no provider has measured it.  Both are
+    expressions on the site's row.
+
+    Authority is estimated from https of the start url (else the main page's), a
+    sitemap, the main page's structured data, social tags and words, and whether
+    every canonical url of the site is on its start host (true without any).  Headers
+    are not recorded, so strict transport security counts as absent."""
+    start = F.coalesce("start_url", "url")
+    https = F.lower(start).startswith("https://")
+    consistent = F.coalesce((F.col("canonical_from") == urls.host(start)) & (F.col("canonical_to") == urls.host(start)), F.lit(True))
+    items, social = F.coalesce(F.col("facts.items"), F.lit(0)), F.coalesce(F.size(F.map_filter("meta", lambda k, _: k.startswith("og:") | k.startswith("twitter:"))), F.lit(0))
+    estimate = authority(https, F.lit(False), F.coalesce("sitemap_used", F.lit(False)), F.lit(False), items, social, consistent, F.least(F.coalesce("word_count", F.lit(0)), F.lit(500)) / 5)
+    own = F.struct(estimate, https, F.lit(False), consistent, items, social).cast(BACKLINK)
+    said = with_language(context.withColumnRenamed("nlp", "_measured"))
+    return said.withColumns({"nlp": F.coalesce("_measured", "nlp"), "backlink": F.coalesce("backlink", own)}).drop("_measured")
+
+
 #: Frontiers of link_depth that are kept apart until they are put into one table.
 PIECES = 16
 
 
-def _cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame) -> DataFrame:
     """df without its lineage, through files that every executor can read."""
     sc = df.sparkSession.sparkContext
     if not sc.getConf().get("spark.checkpoint.dir", None) and sc._jsc.sc().getCheckpointDir().isEmpty():
@@ -76,18 +98,18 @@ def link_depth(pages: DataFrame, start: DataFrame) -> DataFrame:
     Frontiers are joined until no page is new, a round a click.  pages: site_id,
     url, internal_links.  start: site_id, start_url."""
     bare = lambda c: F.regexp_replace(c, r"[/#]+$", "")
-    pages = _cut(pages.select("site_id", bare(F.col("url")).alias("u"), F.transform("internal_links", bare).alias("links")))
-    known = _cut(pages.select("site_id", "u").distinct())
+    pages = cut(pages.select("site_id", bare(F.col("url")).alias("u"), F.transform("internal_links", bare).alias("links")))
+    known = cut(pages.select("site_id", "u").distinct())
     edges = pages.select("site_id", "u", F.explode("links").alias("v")).distinct().join(known.withColumnRenamed("u", "v"), ["site_id", "v"], "left_semi")
-    edges = _cut(edges.where("u <> v"))
-    seen = _cut(start.select("site_id", bare(F.col("start_url")).alias("u")).distinct().join(known, ["site_id", "u"], "left_semi").withColumn("d", F.lit(0)))
+    edges = cut(edges.where("u <> v"))
+    seen = cut(start.select("site_id", bare(F.col("start_url")).alias("u")).distinct().join(known, ["site_id", "u"], "left_semi").withColumn("d", F.lit(0)))
     front = seen
     for d in count(1):
         new = front.join(edges, ["site_id", "u"]).select("site_id", F.col("v").alias("u")).distinct().join(seen, ["site_id", "u"], "left_anti")
-        front = _cut(new.withColumn("d", F.lit(d)))
+        front = cut(new.withColumn("d", F.lit(d)))
         if not front.take(1):
             break
         seen = seen.unionByName(front)
         if d % PIECES == 0:
-            seen = _cut(seen)
+            seen = cut(seen)
     return known.join(seen, ["site_id", "u"], "left").groupBy("site_id").agg(F.coalesce(F.max("d"), F.lit(0)).alias("depth"), F.count_if(F.col("d").isNull()).alias("unreachable"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 AS_OF = "1998-06-01 12:00:00"
@@ -44,3 +44,27 @@ def diagnoses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 DIAGNOSES_SQL = """diagnoses AS (SELECT o_orderkey AS id, o_custkey AS business_id, CASE o_orderstatus WHEN 'F' THEN 'completed' WHEN 'O' THEN 'queued' ELSE 'failed' END AS status, o_orderdate AS created_at FROM orders)"""
+
+
+def made_pages(df: DataFrame) -> DataFrame:
+    """df with the columns of parsed pages that it lacks: empty lists and maps,
+    nulls for all else."""
+    from pyspark.sql import types as T
+
+    from ..sources.pages import SCHEMA
+
+    fields = T.DataType.fromDDL(SCHEMA).fields
+    empty = lambda t: F.array().cast(t) if isinstance(t, T.ArrayType) else F.create_map().cast(t) if isinstance(t, T.MapType) else F.lit(None).cast(t)
+    own = set(df.columns)
+    return df.select(*(F.col(f.name).cast(f.dataType) if f.name in own else empty(f.dataType).alias(f.name) for f in fields))
+
+
+def pick(values: list, key) -> Column:
+    """The value at key modulo their number."""
+    return F.element_at(F.array(*map(F.lit, values)), (key % len(values) + 1).cast("int"))
+
+
+def pick_sql(values: list, key: str) -> str:
+    """The same in SQL; strings are quoted."""
+    say = lambda v: "'" + v.replace("'", "''") + "'" if isinstance(v, str) else "NULL" if v is None else str(v)
+    return f"[{', '.join(map(say, values))}][({key}) % {len(values)} + 1]"

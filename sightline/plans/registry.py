@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from . import admin_queries, analysis_queries, score_queries, shown_queries, site_queries, stateful_queries, text_queries, view_queries
+from . import admin_queries, analysis_queries, crawl_queries, measure_queries, score_queries, shown_queries, site_queries, stateful_queries, text_queries, view_queries
 
-QUERIES: dict = {**admin_queries.QUERIES, **analysis_queries.QUERIES, **site_queries.QUERIES, **stateful_queries.QUERIES, **view_queries.QUERIES, **score_queries.QUERIES, **shown_queries.QUERIES, **text_queries.QUERIES}
-ORACLE_SQL: dict = {**admin_queries.ORACLE_SQL, **analysis_queries.ORACLE_SQL, **site_queries.ORACLE_SQL, **stateful_queries.ORACLE_SQL, **view_queries.ORACLE_SQL, **score_queries.ORACLE_SQL, **shown_queries.ORACLE_SQL, **text_queries.ORACLE_SQL}
+_MODULES = (admin_queries, analysis_queries, site_queries, stateful_queries, view_queries, score_queries, shown_queries, text_queries, crawl_queries, measure_queries)
+QUERIES: dict = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
+ORACLE_SQL: dict = {name: sql for m in _MODULES for name, sql in m.ORACLE_SQL.items()}

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import urls
 from ..operators import scoring
-from ..operators.rules import RULES, evaluate, rule_table, site_context
-from ..operators.rules.context import link_depth
+from ..operators.rules import RULES, evaluate, rule_table, site_context, with_measures
+from ..operators.rules.context import cut, link_depth
 from ..sources.pages import parse_pages
 from .common import spread, table
 
@@ -25,7 +25,11 @@ def sites(spark: SparkSession, d: str) -> DataFrame:
 
 
 def results(spark: SparkSession, d: str, rules: list | None = None) -> DataFrame:
-    return evaluate(site_context(parsed(spark, d), sites=sites(spark, d)), rules)
+    return evaluate(with_measures(site_context(parsed(spark, d), sites=sites(spark, d))), rules)
+
+
+#: The rules that count in scores; without measurements those of PERF do not.
+SCORED = [r for r in RULES if r.category in scoring.CATEGORY_WEIGHT and r.category != "PERF"]
 
 
 def host_pages(spark, d):
@@ -33,11 +37,15 @@ def host_pages(spark, d):
 
 
 def host_rule_results(spark, d):
-    return results(spark, d).select("site_id", "rule_id", "category", "passed", "severity", "rule_weight", "score_impact")
+    """All rules; clicks are counted from a host's first url."""
+    p = cut(parsed(spark, d))
+    depth = link_depth(p, p.groupBy("site_id").agg(F.min("url").alias("start_url"))).withColumnRenamed("depth", "link_depth")
+    context = with_measures(site_context(p, sites=sites(spark, d))).join(depth, "site_id", "left")
+    return evaluate(context).select("site_id", "rule_id", "category", "passed", "severity", "rule_weight", "score_impact")
 
 
 def host_scores(spark, d):
-    s = scoring.overall_scores(scoring.category_scores(results(spark, d)))
+    s = scoring.overall_scores(scoring.category_scores(results(spark, d, SCORED)))
     return s.withColumn("grade", scoring.grade(F.col("overall"))).withColumn("signal", scoring.traffic_signal(F.col("overall")))
 
 

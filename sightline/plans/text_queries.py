@@ -1,5 +1,5 @@
-"""Text scores, lists in answers, exclusion, templates, budgets, scopes, sitemaps
-and robots rules over the driver's tables in their roles."""
+"""Text scores, lists in answers, exclusion, templates, budgets, scopes and
+sitemaps over the driver's tables in their roles."""
 
 from __future__ import annotations
 
@@ -13,7 +13,6 @@ from .common import spread, table
 RULES = ["SEO-CANONICAL-001", "PERF-LCP-001", "GEO-REVIEW-001", "SEO-TITLE-001", "SEO-H1-001", "AEO-FAQ-001"]
 SOURCES = ["website", "naver_place", "other"]
 KINDS = ["review", "map", "blog", "reservation"]
-ROBOTS = ["User-agent: *\nDisallow: /a\n", "User-agent: bot\nAllow: /a/b\nDisallow: /a\n", "User-agent: other\nDisallow: /\n"]
 
 
 def text_scores(spark, d):
@@ -81,15 +80,6 @@ def sitemap_places(spark, d):
     return sitemaps.sitemap_order(sitemaps.sitemap_urls(x)).select("site_id", F.col("place").cast("int").alias("place"), "url", "kind")
 
 
-def robots_checks(spark, d):
-    """Events as pages of sites with and without rules."""
-    i = F.col("event_id")
-    path = F.element_at(F.array(*map(F.lit, ("/a/b/c", "/a", "/b"))), (F.floor(i / 8) % 3 + 1).cast("int"))
-    pages = table(spark, d, "events").select("event_id", (i % 8).alias("site_id"), F.concat(F.lit("https://e.example"), path).alias("url"))
-    rules = spark.createDataFrame([(0, 200, ROBOTS[0]), (1, 200, ROBOTS[1]), (2, 200, ROBOTS[2]), (3, 404, ROBOTS[0]), (4, 200, None), (5, 200, "")], "site_id long, status int, body string")
-    return sitemaps.robots_allowed(pages, rules, "bot").select("event_id", "allowed")
-
-
 def missing_topics(spark, d):
     """Expected topics that a whole document lacks."""
     expected = F.array(F.lit("An"), F.lit("ation"), F.lit("Zzz"), F.lit("heit"))
@@ -112,7 +102,7 @@ def action_links(spark, d):
     return of["actions"].select("diagnosis_id", "pos", "action_ref")
 
 
-QUERIES = {f.__name__: f for f in (missing_topics, viewports, action_links, text_scores, listed_names, rivals_after_exclusion, recommendation_texts, provider_choice, scoped_results, merged_presence, sitemap_places, robots_checks)}
+QUERIES = {f.__name__: f for f in (missing_topics, viewports, action_links, text_scores, listed_names, rivals_after_exclusion, recommendation_texts, provider_choice, scoped_results, merged_presence, sitemap_places)}
 
 _BREAK = r"""'[\s.,!?;:()\[\]{}"''“”‘’·…/|<>]+'"""
 _words = lambda t, n=1: f"list_filter(regexp_split_to_array({t}, {_BREAK}), lambda w: length(w) >= {n})"
@@ -153,5 +143,4 @@ ORACLE_SQL = {
       g AS (SELECT site_id, s, min(o) AS o FROM s GROUP BY 1, 2), l AS (SELECT site_id, string_agg(s, ',' ORDER BY o) AS services FROM g GROUP BY 1) SELECT site_id, name, coalesce(services, '') AS services FROM n LEFT JOIN l USING (site_id)""",
     "sitemap_places": """WITH k AS (SELECT p_partkey AS k, p_partkey % 10 AS p FROM part WHERE p_partkey % 7 > 1), u AS (SELECT k, 0 AS pos, 'https://e/' || k || '?a=1&b=2' AS url, 0 AS r FROM k UNION ALL SELECT k, 1, 'https://e/b', p FROM k UNION ALL SELECT k, 2, 'https://e/c', 5 FROM k)
       SELECT k AS site_id, row_number() OVER (PARTITION BY k ORDER BY r DESC, pos)::INT AS place, url, 'url' AS kind FROM u UNION ALL SELECT p_partkey, 1, 'https://e/s1.xml', 'index' FROM part WHERE p_partkey % 7 = 0""",
-    "robots_checks": "WITH e AS (SELECT event_id, event_id % 8 AS s, floor(event_id / 8)::BIGINT % 3 AS p FROM events) SELECT event_id, CASE s WHEN 0 THEN p = 2 WHEN 1 THEN p <> 1 ELSE true END AS allowed FROM e",
 }

@@ -26,7 +26,7 @@ CLOSES_P = frozenset("address article aside blockquote div dl fieldset figure fo
 SELF_CLOSING = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 
 _LINK = "array<struct<rel:string,href:string,hreflang:string>>"
-FACTS = "nodes int, types array<string>, faq boolean, faq_entities int, faq_pairs int, local_business boolean, organization boolean, person boolean, author boolean, publisher boolean, dated boolean, modified boolean, price boolean, howto boolean, telephone boolean, address boolean, place boolean, map boolean, hours boolean, rating boolean, review boolean, names array<string>, organization_names array<string>, services array<string>"
+FACTS = "items int, nodes int, types array<string>, faq boolean, faq_entities int, faq_pairs int, local_business boolean, organization boolean, person boolean, author boolean, publisher boolean, dated boolean, modified boolean, price boolean, howto boolean, telephone boolean, address boolean, place boolean, map boolean, hours boolean, rating boolean, review boolean, names array<string>, organization_names array<string>, services array<string>"
 SCHEMA = (
     "site_id string, pos long, url string, status_code int, title string, description string, h1 string, h2 array<string>, h3 array<string>, meta map<string,string>, body_text string, word_count int, "
     "internal_links array<string>, external_links array<string>, images array<struct<src:string,alt:string,loading:string,width:string,height:string>>, canonical_url string, robots_meta string, html_lang string, last_modified string, "
@@ -86,7 +86,7 @@ def schema_facts(items: list) -> dict:
     services = [s for s in ([name(n) for n in nodes if set(_types(n)) & {"Service", "Offer", "Product"}] + [name(n.get("itemOffered")) for n in nodes] + [name(x) for x in offered]) if s]
     rated = [n.get("aggregateRating") for n in nodes if present(n.get("aggregateRating"))]
     return {
-        "nodes": len(nodes), "types": sorted({t for n in nodes for t in _types(n)}), "faq": typed("FAQPage"),
+        "items": sum(len(x) if isinstance(x, list) else 1 for x in items), "nodes": len(nodes), "types": sorted({t for n in nodes for t in _types(n)}), "faq": typed("FAQPage"),
         "faq_entities": sum("Question" in _types(q) or present(q.get("name")) or "@type" not in q for q in faqs), "faq_pairs": sum("Question" in _types(q) and present(q.get("name")) and present(answer(q)) for q in faqs),
         "local_business": any(name(n) and (present(n.get("address")) or phone(n)) for n in local), "organization": bool(org), "person": typed("Person"), "author": has("author"), "publisher": has("publisher"),
         "dated": has("datePublished", "dateModified"), "modified": has("dateModified"),

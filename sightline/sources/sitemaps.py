@@ -1,11 +1,11 @@
-"""Sitemaps and robots.txt as tables."""
+"""Sitemaps as tables, and pages from bytes."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MAX_URLS = 1000
@@ -33,30 +33,6 @@ def sitemap_order(urls: DataFrame) -> DataFrame:
     return urls.withColumn("place", F.row_number().over(Window.partitionBy("site_id").orderBy(F.desc("priority"), "pos")))
 
 
-def robots_allowed(urls: DataFrame, robots: DataFrame, agent: str) -> DataFrame:
-    """urls: site_id, url.  robots: site_id, status, body.  ``allowed`` by the
-    rules for agent; all is allowed where robots.txt is missing or not found."""
-    from urllib.robotparser import RobotFileParser
-
-    @F.pandas_udf("boolean")
-    def ok(body: pd.Series, url: pd.Series) -> pd.Series:
-        known: dict[str, RobotFileParser] = {}
-
-        def one(b: str | None, u: str | None) -> bool:
-            if not b or not u:
-                return True
-            if b not in known:
-                known[b] = RobotFileParser()
-                known[b].parse(b.splitlines())
-            return known[b].can_fetch(agent, u)
-
-        return pd.Series([one(b, u) for b, u in zip(body, url, strict=True)])
-
-    r = robots.groupBy("site_id").agg(F.max_by("body", "status").alias("_body"), F.max("status").alias("_status"))
-    body: Column = F.when(F.col("_status") < 400, F.col("_body"))
-    return urls.join(r, "site_id", "left").withColumn("allowed", ok(body, F.col("url"))).drop("_body", "_status")
-
-
 def decode_pages(files: DataFrame) -> DataFrame:
     """files: site_id, url, content (binary), content_type.  ``html`` decoded by
     the header's charset, else the one named in the first 4096 bytes, else

@@ -3,6 +3,7 @@ import json
 from pyspark.sql import functions as F
 
 from sightline.functions import text as T
+from sightline.operators.robots import robots_allowed
 from sightline.sources import sitemaps, snippets
 
 
@@ -39,7 +40,7 @@ def test_sitemaps(spark):
 def test_robots(spark):
     urls = spark.createDataFrame([("a", "https://a.kr/x"), ("a", "https://a.kr/private/y"), ("b", "https://b.kr/"), ("c", "https://c.kr/")], "site_id string, url string")
     robots = spark.createDataFrame([("a", 200, "User-agent: *\nDisallow: /private/"), ("b", 404, "User-agent: *\nDisallow: /")], "site_id string, status int, body string")
-    got = {r["url"]: r["allowed"] for r in sitemaps.robots_allowed(urls, robots, "Bot").collect()}
+    got = {r["url"]: r["allowed"] for r in robots_allowed(urls, robots, "Bot").collect()}
     assert got == {"https://a.kr/x": True, "https://a.kr/private/y": False, "https://b.kr/": True, "https://c.kr/": True}
 
 
