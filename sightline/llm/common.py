@@ -11,7 +11,7 @@ from collections.abc import Callable
 from itertools import count
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: White space as every word-counting contract of this package has it.
@@ -174,6 +174,21 @@ def ids_repeat(docs: DataFrame, id_col: str = "doc_id") -> bool:
     return not no_rows(ids.where("c > 1 OR i IS NULL"))
 
 
+def numbered_within(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """rows with a number from 1 among those of equal keys, in any order.
+
+    Rows are written first, so a task that runs again gives the same numbers.
+    They are counted within the written partitions and then over these, so that
+    no key is brought together in one task."""
+    rows = checkpointed(rows.withColumn("_nw_own", F.monotonically_increasing_id())).withColumn("_nw_part", F.shiftright("_nw_own", 33))
+    counted = rows.groupBy(*keys, "_nw_part").agg(F.count(F.lit(1)).alias("_nw_n"))
+    before = F.sum("_nw_n").over(Window.partitionBy(*keys).orderBy("_nw_part").rowsBetween(Window.unboundedPreceding, -1))
+    first = counted.select(*(F.col(k).alias(f"_nw_{k}") for k in keys), F.col("_nw_part").alias("_nw_of"), F.coalesce(before, F.lit(0)).alias("_nw_before"))
+    at = rows.withColumn(name, F.row_number().over(Window.partitionBy(*keys, "_nw_part").orderBy("_nw_own")))
+    same = functools.reduce(Column.__and__, (F.col(k).eqNullSafe(F.col(f"_nw_{k}")) for k in keys), F.col("_nw_part") == F.col("_nw_of"))
+    return at.join(first, same).withColumn(name, F.col(name) + F.col("_nw_before")).select(*(c for c in rows.columns if c not in ("_nw_own", "_nw_part")), name)
+
+
 #: Rows of an Arrow batch in the registered queries and stages, while a session
 #: has Spark's default of 10,000: texts are long, and a batch is in memory several
 #: times, in the JVM and in Python.

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import checkpointed, production, table, text_of
+from .common import checkpointed, no_rows, numbered_within, production, table, text_of
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
@@ -123,28 +123,30 @@ class Mix:
         end1 = checkpointed(self._end(blocks, left, "_b"))
         inner = self._within(rows, end1, "_b").withColumn("_c", _hash("_h", seed, 2))
         end2 = checkpointed(self._end(inner.groupBy("_s", "_c").agg(F.sum("_n").alias("_w")), end1, "_c"))
-        leaf = self._within(inner, end2, "_c").groupBy("_s", F.col("_h").alias("_d")).agg(F.sum("_n").alias("_w"))
-        end3 = checkpointed(self._end(leaf, end2, "_d"))
+        leaf = self._within(inner, end2, "_c").groupBy("_s", F.col("_h").alias("_d")).agg(F.sum("_n").alias("_w"), F.count(F.lit(1)).alias("_c"))
+        end3 = checkpointed(self._end(leaf, end2, "_d", "_c"))
+        #: Whether some part ends in rows that repeat an id and a text.
+        self.repeated = not no_rows(end3.where("_c > 1"))
 
         # the tree: a draw is a block of a pass; the block in which a part ends counts as one
         ends = {r["_ls"]: r["_end_b"] for r in end1.collect()}
         quota = np.array([p * BLOCKS + (ends[s] + 1 if s in ends else 0) for p, s in zip(passes, names, strict=True)], np.int64)
         bounds = np.cumsum(splitting_tree(quota, shards, seed), axis=0) if names else np.zeros((shards, 0), np.int64)
         cuts = spark.createDataFrame([(s, bounds[:, i].tolist()) for i, s in enumerate(names)], "_s string, _cuts array<long>")
-        self.facts = [plan, cuts, end1.drop("_left"), end2.drop("_left"), end3.withColumnRenamed("_left", "_left3")]
+        self.facts = [plan, cuts, end1.drop("_left"), end2.drop("_left"), end3.withColumnsRenamed({"_left": "_left3", "_c": "_rows"})]
 
     def _keyed(self, docs: DataFrame, *more: Column) -> DataFrame:
         t = text_of(self.text_col)
         return docs.select(F.col(self.source_col).cast("string").alias("_s"), word_count(t).alias("_n"), F.xxhash64(F.col(self.id_col), t).alias("_h"), *more)
 
     @staticmethod
-    def _end(pieces: DataFrame, left: DataFrame, key: str) -> DataFrame:
+    def _end(pieces: DataFrame, left: DataFrame, key: str, *more: str) -> DataFrame:
         """Of each source the piece in which its part ends, and what is left
         there.  At most BLOCKS pieces a source, or the documents of one sub-block."""
         order = Window.partitionBy("_s").orderBy(key)
         x = pieces.join(F.broadcast(left.select("_ls", "_left")), F.col("_s").eqNullSafe(F.col("_ls")))
         x = x.withColumn("_before", F.coalesce(F.sum("_w").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-        return x.where("_before < _left AND _left <= _before + _w").select("_ls", F.col(key).alias(f"_end{key}"), (F.col("_left") - F.col("_before")).alias("_left"))
+        return x.where("_before < _left AND _left <= _before + _w").select("_ls", F.col(key).alias(f"_end{key}"), (F.col("_left") - F.col("_before")).alias("_left"), *more)
 
     @staticmethod
     def _within(rows: DataFrame, end: DataFrame, key: str) -> DataFrame:
@@ -169,6 +171,11 @@ class Mix:
         c, b, h, n = _hash("_h", self.seed, 2), F.col("_b"), F.col("_h"), F.col("_n")
         before = (b < F.col("_end_b")) | ((b == F.col("_end_b")) & ((c < F.col("_end_c")) | ((c == F.col("_end_c")) & (h < F.col("_end_d")))))
         here = (b == F.col("_end_b")) & (c == F.col("_end_c")) & (h == F.col("_end_d"))
+        if self.repeated:
+            # equal rows in turn take what is left, so each has a number
+            ends = F.coalesce(here & (F.col("_rows") > 1), F.lit(False))
+            turn = numbered_within(x.where(ends), ["_s", "_h"], "_turn").withColumn("_left3", F.greatest(F.lit(0), F.col("_left3") - F.col("_n") * (F.col("_turn") - 1))).drop("_turn")
+            x = x.where(~ends).unionByName(turn)
         some = F.when(before, n).when(here, F.least(n, F.col("_left3")))
 
         def draw(p: Column, words: Column) -> Column:
@@ -193,7 +200,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     taken is the sum of its draws' words and never above twice the size.
     Documents without words are drawn like others, for no words.  A source of
     size 0 has target 0.  Rows are placed by id and text, so rows that repeat
-    both are drawn together, and where a target ends in them it ends in each.
+    both are drawn together; where a target ends in them some are taken whole,
+    one in part and the others not.
     Ids may be null; other columns are not looked at; an empty table gives no
     rows.  The same rows give the same mix in any order and partitioning."""
     return Mix(docs, id_col, **options).of_rows(id_col)
