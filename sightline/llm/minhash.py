@@ -118,34 +118,38 @@ def _candidate_filter(ids: DataFrame) -> tuple[np.ndarray, int]:
 
 
 def _full_sets(src: DataFrame, ids: DataFrame) -> DataFrame:
-    """(id, shingles) of the documents with these ids and few others."""
+    """(id, k1, k2, shingles) of the documents with these ids and few others; a
+    task gives a set once for each id."""
     words, bits = _candidate_filter(ids)
     shared = src.sparkSession.sparkContext.broadcast(words)  # at most 2**FILTER_BITS bits
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        has = shared.value
+        has, seen = shared.value, set()
         for batch in batches:
             at = batch.column(1).to_numpy().view(np.uint64) >> _U(64 - bits)
             hit = (has[(at >> _U(6)).astype(np.int64)] >> (at & _U(63))) & _U(1)
             batch = batch.filter(pa.array(hit.astype(bool)))
             for first, h, row, n in _sets(batch.column(2)):
                 cut = np.searchsorted(row, np.arange(n + 1))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, n), pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(h.view(np.int64)))], names=["id", "shingles"])
+                k1, k2 = _set_keys(h, row, n)
+                ids = batch.column(0).slice(first, n)
+                new = [(key not in seen, seen.add(key))[0] for key in zip(ids.to_pylist(), k1.tolist(), k2.tolist(), strict=True)]
+                out = pa.RecordBatch.from_arrays([ids, pa.array(k1), pa.array(k2), pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(h.view(np.int64)))], names=["id", "k1", "k2", "shingles"])
+                yield out if all(new) else out.filter(pa.array(new))
 
-    return src.where("id IS NOT NULL").select("id", F.xxhash64("id").alias("h"), "t").mapInArrow(tidy(run), "id long, shingles array<long>")
+    return src.where("id IS NOT NULL").select("id", F.xxhash64("id").alias("h"), "t").mapInArrow(tidy(run), "id long, k1 long, k2 long, shingles array<long>")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough."""
-    sa = sets.select(F.col("id").alias("a"), F.col("shingles").alias("x"))
-    sb = sets.select(F.col("id").alias("b"), F.col("shingles").alias("y"))
-    both = F.size(F.array_intersect("x", "y"))
-    return pairs.join(sb, "b").join(sa, "a").select("a", "b", both.alias("i"), (F.size("x") + F.size("y")).alias("s")).where(100 * F.col("i") >= THRESHOLD * (F.col("s") - F.col("i"))).select("a", "b")
-
+    """The pairs (a, b) whose full sets are similar enough; b is a leader.
 
-def _pair(a: str, b: str, na: str, nb: str) -> list:
-    first = F.col(a) < F.col(b)
-    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b"), F.when(first, F.col(na)).otherwise(F.col(nb)).alias("na"), F.when(first, F.col(nb)).otherwise(F.col(na)).alias("nb")]
+    A pair carries the set of a alone to its leader.  A leader's own set stays
+    where it is, however many pairs it has: these are one key with narrow rows on
+    the leader's side, which adaptive execution splits."""
+    sa = sets.select(F.col("v").alias("a"), F.col("shingles").alias("x"))
+    sb = sets.select(F.col("v").alias("b"), F.col("shingles").alias("y"))
+    both = F.size(F.array_intersect("x", "y"))
+    return pairs.join(sa, "a").join(sb, "b").select("a", "b", both.alias("i"), (F.size("x") + F.size("y")).alias("s")).where(100 * F.col("i") >= THRESHOLD * (F.col("s") - F.col("i"))).select("a", "b")
 
 
 def block_links(values: np.ndarray, size: np.ndarray, label: np.ndarray, side: np.ndarray | None) -> list[tuple[int, int]]:
@@ -201,8 +205,8 @@ def _links_in_blocks(open_: DataFrame, sets: DataFrame) -> DataFrame:
     bands = open_.groupBy("band").agg(F.min("l").alias("lo"), F.max("l").alias("hi"), F.sum("n").alias("shingles"), F.count(F.lit(1)).alias("c")).where("lo <> hi")
     tiles = F.greatest(F.ceil(F.col("shingles") / BLOCK_SHINGLES), F.ceil(F.col("c") / BLOCK_NODES)).cast("int")
     x = open_.join(bands.select("band", tiles.alias("tiles")), "band")
-    x = x.withColumn("t", F.pmod(F.xxhash64("rep", F.lit(11)), F.col("tiles")).cast("int")).withColumn("u", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    x = x.select("band", F.least("t", "u").alias("i"), F.greatest("t", "u").alias("j"), "t", F.col("rep").alias("id"), "l").join(sets, "id").select("band", "i", "j", "t", "id", "l", "shingles")
+    x = x.withColumn("t", F.pmod(F.xxhash64("v", F.lit(11)), F.col("tiles")).cast("int")).withColumn("u", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    x = x.select("band", F.least("t", "u").alias("i"), F.greatest("t", "u").alias("j"), "t", "v", "l").join(sets, "v").select("band", "i", "j", "t", "v", "l", "shingles")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def done(held: list[pa.RecordBatch], i: int, j: int) -> pa.RecordBatch:
@@ -244,34 +248,37 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     empty or blank text has none and links with nothing.  Texts link when the
     intersection of their sets is 85 % of the union or more.  component_id is
     the smallest id reachable by links, itself included; kept rows are those
-    whose id that is.  Rows are judged by their texts, so rows that repeat an id
-    and a text agree; if an id repeats with different texts, those for which it
-    is the smallest id count as linked.  A row with a null id has no component
-    and is kept.  Other columns are not looked at; an empty table gives no rows."""
+    whose id that is.  Rows are judged by their texts: rows that repeat an id and a
+    text agree, and rows that repeat an id with different texts are linked only
+    if these texts are.  A row with a null id has no component and is kept.
+    Other columns are not looked at; an empty table gives no rows."""
     src = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("t"))
     sig = checkpointed(src.mapInArrow(tidy(_signatures), "id long, n long, k1 long, k2 long, bands array<long>"))
     nodes = sig.where("n > 0 AND id IS NOT NULL").groupBy("k1", "k2", "n").agg(F.min("id").alias("rep"), F.any_value("bands").alias("bands"))
-    nodes = checkpointed(nodes)
-    members = nodes.select("rep", "n", F.explode("bands").alias("band")).withColumn("o", F.xxhash64("rep"))
-    lead = F.struct("o", "rep", "n")
+    # a node has a number of its own, fixed when it is written
+    nodes = checkpointed(nodes.withColumn("v", F.monotonically_increasing_id()))
+    members = nodes.select("v", "n", F.explode("bands").alias("band")).withColumn("o", F.xxhash64("v"))
+    lead = F.struct("o", "v", "n")
     led = members.groupBy("band").agg(F.count(F.lit(1)).alias("c"), F.min(lead).alias("l1"), F.max(lead).alias("l2")).where("c > 1").select("band", "l1", "l2", "c")
-    crowd = checkpointed(members.join(led, "band").select("band", "rep", "n", F.col("l1.rep").alias("p1"), F.col("l1.n").alias("n1"), F.col("l2.rep").alias("p2"), F.col("l2.n").alias("n2"), "c"))
+    crowd = checkpointed(members.join(led, "band").select("band", "v", "n", F.col("l1.v").alias("p1"), F.col("l1.n").alias("n1"), F.col("l2.v").alias("p2"), F.col("l2.n").alias("n2"), "c"))
 
     near = lambda x, y: (100 * F.col(x) >= THRESHOLD * F.col(y)) & (100 * F.col(y) >= THRESHOLD * F.col(x))
-    first = crowd.where(F.col("rep") != F.col("p1")).select(*_pair("rep", "p1", "n", "n1"))
-    second = crowd.where((F.col("rep") != F.col("p2")) & (F.col("p1") != F.col("p2"))).select(*_pair("rep", "p2", "n", "n2"))
+    pairs = lambda p, n: [F.col("v").alias("a"), F.col(p).alias("b"), F.col("n").alias("na"), F.col(n).alias("nb")]
+    first = crowd.where("v <> p1").select(*pairs("p1", "n1"))
+    second = crowd.where("v <> p2 AND p1 <> p2").select(*pairs("p2", "n2"))
     tested = checkpointed(first.unionByName(second).where(near("na", "nb")).select("a", "b").distinct())
     comp = None
     if not no_rows(tested) or not no_rows(crowd.where("c > 3")):
-        wanted = crowd.where("c > 3").select(F.col("rep").alias("id"))
-        wanted = tested.select(F.col("a").alias("id")).union(tested.select(F.col("b").alias("id"))).union(wanted).distinct()
-        reps = nodes.select("rep", "k1", "k2")
-        sets = checkpointed(_full_sets(src, wanted).join(reps.select(F.col("rep").alias("id")).distinct(), "id", "left_semi"))
+        wanted = tested.select(F.col("a").alias("v")).union(tested.select(F.col("b").alias("v"))).union(crowd.where("c > 3").select("v")).distinct()
+        wanted = checkpointed(nodes.select("v", "k1", "k2", F.col("rep").alias("id")).join(wanted, "v", "left_semi"))
+        sets = _full_sets(src, wanted.select("id")).join(wanted, ["id", "k1", "k2"]).select("v", "shingles")
+        # rows that repeat an id and a text are in several tasks
+        sets = checkpointed(sets.groupBy("v").agg(F.first("shingles").alias("shingles")) if ids_repeat(src, "id") else sets)
         links = checkpointed(_confirmed(tested, sets))
         comp = connected_components(links)
         # what the leaders left open: nodes of different components in a band
-        label = comp.select(F.col("node").alias("rep"), "component")
-        open_ = crowd.where("c > 3").join(label, "rep", "left").select("band", "rep", "n", F.coalesce("component", "rep").alias("l"))
+        label = comp.select(F.col("node").alias("v"), "component")
+        open_ = crowd.where("c > 3").join(label, "v", "left").select("band", "v", "n", F.coalesce("component", "v").alias("l"))
         found = checkpointed(_links_in_blocks(checkpointed(open_), sets))
         if not no_rows(found):
             # components of components; a label is its component's smallest node
@@ -279,14 +286,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             step = joined.select(F.col("node").alias("component"), F.col("component").alias("_next"))
             grown = comp.join(step, "component", "left").select("node", F.coalesce("_next", "component").alias("component"))
             comp = checkpointed(grown.unionByName(joined.join(comp.select("node"), "node", "left_anti")))
-    names = nodes.select("k1", "k2", "n", "rep")
+    names = nodes.select("k1", "k2", "n", "v", "rep")
     out = sig.drop("bands").withColumn("named", F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.lit(True)))
-    out = out.join(names.withColumn("named", F.lit(True)), ["k1", "k2", "n", "named"], "left")
     if comp is not None:
-        out = out.join(comp.select(F.col("node").alias("rep"), "component"), "rep", "left")
-    else:
-        out = out.withColumn("component", F.lit(None).cast("long"))
-    own = F.coalesce("component", "rep", "id")
+        # the smallest id of each component
+        comp = comp.select(F.col("node").alias("v"), "component")
+        least = comp.join(nodes.select("v", "rep"), "v").groupBy("component").agg(F.min("rep").alias("least"))
+        names = names.join(comp.join(least, "component").select("v", "least"), "v", "left").withColumn("rep", F.coalesce("least", "rep")).drop("least")
+    out = out.join(names.drop("v").withColumn("named", F.lit(True)), ["k1", "k2", "n", "named"], "left")
+    own = F.coalesce("rep", "id")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), own.alias("component_id"), F.col("id").eqNullSafe(own).alias("kept"))
 
 

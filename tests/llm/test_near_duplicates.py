@@ -96,6 +96,30 @@ def test_minhash_edges(spark):
     assert near_duplicates(df.limit(0)).collect() == []
 
 
+def test_minhash_ids_that_repeat(spark):
+    """An id in many rows, with one text and with several; each text is judged apart."""
+    text = " ".join(f"w{i}" for i in range(60))
+    near = text + " more"
+    other = " ".join(f"v{i}" for i in range(60))
+    rows = [(1, text)] * 3000 + [(2, near)] * 3000 + [(1, other)] * 500 + [(3, other + " end")] + [(1, f"alone {i} " * 5) for i in range(300)]
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(6)).collect()
+    assert len(got) == len(rows)
+    assert {(r["doc_id"], r["component_id"], r["kept"]) for r in got} == {(1, 1, True), (2, 1, False), (3, 1, False)}
+    # a larger id does not link the texts of a smaller one
+    rows = [(9, text), (9, other), (5, near), (7, other + " end")]
+    got = {(r["doc_id"], r["component_id"]) for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(9, 5), (9, 7), (5, 5), (7, 7)}
+
+
+def test_minhash_hot_leader(spark):
+    """Hundreds of near copies of one text with random small ids: whoever leads, all are one."""
+    rng = random.Random(12)
+    words = [f"w{i}" for i in range(120)]
+    rows = [(rng.randrange(10**9), " ".join(words + [f"end{i}"])) for i in range(700)]
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["component_id"] for r in got} == {min(i for i, _ in rows)} and sum(r["kept"] for r in got) == 1
+
+
 def test_sketch_fills_and_estimates():
     rng = np.random.default_rng(1)
     a = np.unique(rng.integers(0, 1 << 63, 1000).astype(np.uint64))
