@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, ids_repeat, one_of_each, table, text_of, without
+from .common import checkpointed, ids_repeat, one_of_each, small, table, text_of, without
 
 PREFIX_CHARS = 128
 
@@ -68,6 +68,33 @@ FROM (SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER
 """
 
 
+#: Open classes that are broadcast, at most (some 50 bytes each).
+BROADCAST_CLASSES = 500_000
+
+
+def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix_chars: int = PREFIX_CHARS) -> DataFrame:
+    """The rows of docs whose text another row has: the id, ``sha`` (binary) and
+    ``kept`` as in ``exact_dedup``, and how many rows share all three.
+
+    The first scan writes (length, prefix hash) of every row.  The second hashes
+    whole texts of open classes alone while these can be broadcast, counted
+    first; beyond that it hashes all and joins narrow rows, so that no text is
+    shuffled either way."""
+    src = docs.select(F.col(id_col).alias("_id"), text_of(text_col).alias("_t"), F.octet_length(text_of(text_col)).alias("_len"), F.xxhash64(F.substring(text_of(text_col), 1, prefix_chars)).alias("_prefix"))
+    narrow = checkpointed(src.select("_len", "_prefix"))
+    lengths = narrow.groupBy("_len").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_len")
+    classes = checkpointed(narrow.join(lengths, "_len").groupBy("_len", "_prefix").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_len", "_prefix"))
+    sha = F.unhex(F.sha2("_t", 256)).alias("sha")
+    if small(classes, BROADCAST_CLASSES):
+        full = src.join(F.broadcast(classes), ["_len", "_prefix"], "left_semi").select("_id", "_len", sha)
+    else:
+        full = src.select("_id", "_len", "_prefix", sha).join(classes, ["_len", "_prefix"], "left_semi").select("_id", "_len", "sha")
+    full = checkpointed(full)
+    groups = full.groupBy("_len", "sha").agg(F.max("_id").alias("_keep"), F.count(F.lit(1)).alias("_size")).where("_size > 1")
+    rows = full.join(groups, ["_len", "sha"])
+    return rows.groupBy(F.col("_id").alias(id_col), "sha", F.col("_id").eqNullSafe(F.col("_keep")).alias("kept")).agg(F.count(F.lit(1)).alias("c"))
+
+
 def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each text, with the columns it came with: that of the largest
     id, one with an id rather than one without, any one of several with that id.
@@ -75,10 +102,9 @@ def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     Where ids are unique, rows are dropped by them; else by id and SHA-256, so a
     text that is in the table once stays whatever its id.  A null text counts as
     empty.  An empty table stays empty."""
-    rows = exact_dedup(docs).where("group_size > 1")
+    rows = checkpointed(copies(docs))
     if not ids_repeat(docs):
         return without(docs, rows.where("not kept").select("doc_id"), [docs["doc_id"]])
-    rows = checkpointed(rows.groupBy("doc_id", F.unhex("text_sha256").alias("sha"), "kept").agg(F.count(F.lit(1)).alias("c")))
     keys = [docs["doc_id"], F.unhex(F.sha2(text_of("text"), 256))]
     left = without(docs, rows.where("not kept").select("doc_id", "sha"), keys)
     return one_of_each(left, rows.where("kept AND c > 1").select("doc_id", "sha"), [left["doc_id"], keys[1]])

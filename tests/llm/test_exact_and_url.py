@@ -1,7 +1,9 @@
 import hashlib
 
+import pytest
+from sightline.llm import exact_dedup as exact_dedup_module
 from sightline.llm import queries
-from sightline.llm.exact_dedup import exact_dedup
+from sightline.llm.exact_dedup import copies, exact_dedup, exact_dedup_stage
 from sightline.llm.url_filter import RULES, url_filter
 
 
@@ -26,6 +28,21 @@ def test_exact_dedup_edges(spark):
     assert got == sorted(want, key=repr)
 
 
+@pytest.mark.parametrize("most", [500_000, 0])
+def test_stage_keeps_one_row_of_each_text(spark, monkeypatch, most):
+    """Open classes broadcast, and joined; ids that are unique and that repeat."""
+    monkeypatch.setattr(exact_dedup_module, "BROADCAST_CLASSES", most)
+    texts = ["t", "t ", "é", None, "", "long " * 5_000, "same start " * 20 + "a", "same start " * 20 + "b", "t", "é", "once"] * 2 + ["alone"]
+    for ids in (list(range(len(texts))), [i % 7 for i in range(len(texts))], [None, *range(1, len(texts))]):
+        rows = [(i, t, "x") for i, t in zip(ids, texts, strict=True)]
+        df = spark.createDataFrame(rows, "doc_id long, text string, sha string").repartition(4)
+        got = [tuple(r) for r in exact_dedup_stage(spark, df, "").collect()]
+        assert len(got) == len({t or "" for t in texts}) == len({t or "" for _, t, _ in got}) and set(got) <= set(rows)
+        for i, t, _ in got:
+            assert (i if i is not None else -1) == max(j if j is not None else -1 for j, u, _ in rows if (u or "") == (t or ""))
+    assert exact_dedup_stage(spark, df.limit(0), "").collect() == [] and copies(df.limit(0)).collect() == []
+
+
 def test_exact_dedup_empty(spark):
     assert exact_dedup(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
