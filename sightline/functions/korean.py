@@ -4,11 +4,11 @@ Fixed values: suffixes are tried in this order."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .language import WORD_END, runs
 from .numbers import half_up
-from .text import tokens
 
 POSTPOSITIONS = "으로부터 에서는 에서도 에서의 에게는 에게도 에게서 이라는 라는 에서 에게 에는 에도 으로 이라 라고 보다 처럼 만큼 마다 까지 부터 조차 마저 이나 이며 은 는 이 가 을 를 의 에 로 와 과 도 만 나 며 야".split()
 VERB_ENDINGS = "었습니다 았습니다 겠습니다 습니다 ㅂ니다 합니다 됩니다 입니다 겠다 ㄴ다 는다 한다 됐다 했다 였다 이다 예요 에요 어요 아요 해요 돼요".split()
@@ -40,11 +40,23 @@ def classify(word: Column) -> Column:
 
 
 def words(pages: DataFrame, text: Column) -> DataFrame:
-    """site_id, page, stem, kind, n, first: classified words of each page."""
-    x = pages.select("site_id", "page", F.posexplode(tokens(text)).alias("at", "w")).select("site_id", "page", "at", classify(F.col("w")).alias("c")).where("c IS NOT NULL")
+    """site_id, page, stem, kind, n, first: classified words of each page, how
+    often each comes and where first (from 0, among all words).  A null text has
+    none."""
+    x = pages.select("site_id", "page", F.posexplode(runs(text, WORD_END)).alias("at", "w")).select("site_id", "page", "at", classify(F.col("w")).alias("c")).where("c IS NOT NULL")
     return x.groupBy("site_id", "page", F.col("c.stem").alias("stem"), F.col("c.kind").alias("kind")).agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first"))
 
 
+def top_nouns(pages: DataFrame, text: Column, k: int = 10) -> DataFrame:
+    """site_id, page, ``place``, ``word``, ``n``: the k most frequent nouns of each
+    page; of equally frequent ones the one that comes first.  A task gives no more
+    than k of a page to the last ranking, so the words of a long page stay where
+    they were counted."""
+    nouns = words(pages, text).where("kind = 'noun'")
+    order = Window.partitionBy("site_id", "page").orderBy(F.desc("n"), "first")
+    return nouns.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k).select("site_id", "page", "place", F.col("stem").alias("word"), "n")
+
+
 def korean_ratio(text: Column) -> Column:
     solid = F.regexp_replace(F.coalesce(text, F.lit("")), r"\s", "")
     return F.when(F.char_length(solid) == 0, F.lit(0.0)).otherwise(half_up(F.char_length(F.regexp_replace(solid, "[^가-힣]", "")) / F.greatest(F.char_length(solid), F.lit(1)), 4))

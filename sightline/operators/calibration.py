@@ -50,3 +50,27 @@ def calibrate(samples: DataFrame, rules: dict[str, tuple[Column, Column]], tight
     out = rates.join(found, "rule_id", "left")
     advice = F.when(F.col("pass_rate") > tight, "raise").when(F.col("pass_rate") < loose, "lower").otherwise("keep")
     return out.select("rule_id", "pass_rate", ((F.col("lo") + F.col("hi")) / 2).alias("median"), "p90", "p95", advice.alias("advice"))
+
+
+#: The marks and words of a calibration report.
+MARKS = {"keep": "✅", "raise": "⬆️", "lower": "⬇️"}
+REASONS = {"keep": "good", "raise": "too permissive, consider stricter threshold", "lower": "too strict, consider more lenient threshold"}
+
+
+def calibration_text(report: DataFrame, thresholds: dict[str, str], made_at: str) -> DataFrame:
+    """One row ``text``: the report of ``calibrate`` for people, in Markdown, rules
+    in the order of thresholds (rule_id to how it is written); rules that are not
+    there come last by name.  There are as many rows as rules."""
+    two = lambda c: F.format_string("%.2f", c)
+    share = F.concat(F.format_string("%.1f", F.col("pass_rate") * 100), F.lit("%"))
+    of = lambda values, key: F.coalesce(F.try_element_at(F.create_map(*(F.lit(v) for pair in values.items() for v in pair)), key), F.lit(""))
+    order = F.array_position(F.array(*map(F.lit, thresholds)), F.col("rule_id"))
+    lines = F.array(
+        F.concat(F.lit("### "), of(MARKS, F.col("advice")), F.lit(" "), "rule_id"), F.concat(F.lit("- **현재 임계값**: "), of(thresholds, F.col("rule_id"))), F.concat(F.lit("- **Pass Rate**: "), share),
+        *(F.concat(F.lit(f"- **{name}**: "), two(F.coalesce(F.col(c), F.lit(0.0)))) for name, c in (("Median", "median"), ("P90", "p90"), ("P95", "p95"))),
+        F.concat(F.lit("- **권고**: "), F.upper("advice")), F.concat(F.lit("- **사유**: Pass rate: "), share, F.lit(" ("), of(REASONS, F.col("advice")), F.lit(")")), F.lit(""),
+    )
+    one = report.select(F.struct(F.when(order > 0, order).otherwise(len(thresholds) + 1).alias("o"), "rule_id", lines.alias("lines")).alias("r"), "advice")
+    all_ = one.agg(F.array_sort(F.collect_list("r")).alias("r"), F.count(F.lit(1)).alias("n"), *(F.count_if(F.col("advice") == a).alias(a) for a in MARKS))
+    head = F.array(F.lit("# PERF 규칙 보정 보고서"), F.lit(""), F.lit(f"생성 시각: {made_at}"), F.concat(F.lit("총 규칙 수: "), "n"), F.lit(""), F.lit("## 요약"), F.lit(""), F.concat(F.lit("- Keep: "), "keep", F.lit(" 규칙")), F.concat(F.lit("- Raise (임계값 강화): "), "raise", F.lit(" 규칙")), F.concat(F.lit("- Lower (임계값 완화): "), "lower", F.lit(" 규칙")), F.lit(""), F.lit("## 규칙별 상세"), F.lit(""))
+    return all_.select(F.array_join(F.concat(head, F.flatten(F.transform("r", lambda x: x["lines"]))), "\n").alias("text"))

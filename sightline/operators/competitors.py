@@ -74,6 +74,57 @@ def buildable_queries(profiles: DataFrame, keywords: int = 3) -> DataFrame:
     return profiles.select("site_id", F.posexplode(F.concat(base, more)).alias("pos", "query"))
 
 
+#: Questions to AI services by facet, in their order.  A template is
+#: used where all that it names is known; ``{keyword}`` is one of the first three,
+#: in words of their own where the region is not known.
+FACETS = [
+    ("brand-mention", "{name}에 대해 알려줘"),
+    ("brand-mention", "{name}는 어떤 곳인가요?"),
+    ("industry-region", "{region}에서 가장 인기있는 {industry} 추천해줘"),
+    ("industry-region", "{region} {industry} 어디가 좋아?"),
+    ("service-recommendation", "{region}에서 {keyword} 잘하는 곳 추천해줘"),
+    ("service-recommendation", "{keyword} 잘하는 곳 추천해줘"),
+    ("comparative", "{region} {industry} 인기 매장 5개 비교해줘"),
+]
+MOST_QUESTIONS, MOST_KEYWORDS = 10, 3
+
+
+def _with_keyword(template: Column):
+    return lambda k: F.replace(template, F.lit("{keyword}"), k)
+
+
+def _of_facet(facet: str):
+    return lambda q: F.struct(q.alias("query"), F.lit(facet).alias("facet"))
+
+
+def facet_questions(profiles: DataFrame, templates: list[tuple[str, str]] = FACETS, facet: str | None = None, most: int = MOST_QUESTIONS) -> DataFrame:
+    """profiles: site_id, business_name, region, industry, target_keywords.
+    site_id, ``place``, ``query``, ``facet``: each template filled in, the first
+    ``most`` of a site; with facet only its own.
+
+    White space is made one blank; a blank field is unknown, a blank keyword is
+    passed over.  A template with a keyword but no region is for profiles without
+    a region."""
+    none = F.array().cast("array<string>")
+    tidy = lambda c: F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", " "))
+    x = profiles.select("site_id", *(tidy(F.col(c)).alias(k) for k, c in (("name", "business_name"), ("region", "region"), ("industry", "industry"))), F.slice(F.filter(F.transform(F.coalesce("target_keywords", none), tidy), lambda k: k != ""), 1, MOST_KEYWORDS).alias("keywords"))
+    empty, parts = F.array().cast("array<struct<query:string,facet:string>>"), []
+    for of, text in templates:
+        if facet is not None and of != facet:
+            continue
+        filled, known = F.lit(text), F.lit(True)
+        for field in ("name", "region", "industry"):
+            if "{" + field + "}" in text:
+                filled, known = F.replace(filled, F.lit("{" + field + "}"), F.col(field)), known & (F.col(field) != "")
+        if "{keyword}" in text:
+            known = known if "{region}" in text else known & (F.col("region") == "")
+            filled = F.transform("keywords", _with_keyword(filled))
+        else:
+            filled = F.array(filled)
+        parts.append(F.when(known, F.transform(filled, _of_facet(of))).otherwise(empty))
+    return x.select("site_id", F.posexplode(F.slice(F.concat(empty, *parts), 1, most)).alias("place", "q")).select("site_id", (F.col("place") + 1).alias("place"), "q.query", "q.facet")
+
+
 def authority(https: Column, hsts: Column, sitemap: Column, robots_txt: Column, structured_data: Column, social_meta: Column, canonical_consistent: Column, content_length: Column) -> Column:
     """Domain authority (0..100) estimated from capped on-page signals (fixed
     weights); a missing signal counts for nothing."""

@@ -109,6 +109,46 @@ def action_counts(items: DataFrame) -> DataFrame:
     return items.groupBy("site_id").agg(*(F.count_if(F.col("action_type") == a).alias(a) for a in ACTIONS), F.count(F.lit(1)).alias("items"))
 
 
+def grouped_items(items: DataFrame, key: str, domain: list[str], sites: DataFrame | None = None) -> DataFrame:
+    """A row for each site and each value of domain, with ``items``: the site's
+    items whose key it is, by position; empty where there is none.
+
+    sites: site_id, for sites without items; else those of items.  Items of other
+    values are left out.  A site's items are summed up once, in order, and the
+    domain is laid out from that row, so no join with it is needed."""
+    fields = [c for c in items.columns if c != "site_id"]
+    per_site = items.groupBy("site_id").agg(F.array_sort(F.collect_list(F.struct("position", *(c for c in fields if c != "position")))).alias("_all"))
+    if sites is not None:
+        per_site = sites.select("site_id").distinct().join(per_site, "site_id", "left")
+    kind = items.groupBy().agg(F.collect_list(F.struct("position", *(c for c in fields if c != "position"))).alias("x")).schema["x"].dataType
+    of = lambda value: lambda i: i[key] == value
+    every = F.coalesce("_all", F.array().cast(kind))
+    groups = F.array(*(F.struct(F.lit(v).alias(key), F.filter(every, of(v)).alias("items")) for v in domain))
+    return per_site.select("site_id", F.inline(groups))
+
+
+def with_rules(items: DataFrame, results: DataFrame) -> DataFrame:
+    """items with ``rule``, the result that each comes from (its outcome, severity
+    and weight), null if there is none; of a rule's several results the last counts."""
+    rule = results.groupBy("site_id", "rule_id").agg(F.max_by(F.struct("passed", "severity", "rule_weight", "score_impact"), "rule_pos").alias("rule"))
+    return items.join(rule, ["site_id", "rule_id"], "left")
+
+
+#: The modules that a diagnosis may ask for, in their order.
+MODULES = ["SEO", "AEO", "GEO"]
+
+
+def module_results(results: DataFrame, requests: DataFrame) -> DataFrame:
+    """A row for each requested site and each of MODULES with ``results``: the
+    module's results in rule order, empty for a module that was not asked for.
+
+    requests: site_id, modules (array; null asks for all).  Results of modules
+    that a site did not ask for are dropped before they are summed up."""
+    asked = requests.select("site_id", F.coalesce("modules", F.array(*map(F.lit, MODULES))).alias("_asked"))
+    mine = results.where(F.col("category").isin(MODULES)).join(asked, "site_id").where(F.array_contains("_asked", F.col("category"))).drop("_asked").withColumn("position", F.col("rule_pos"))
+    return grouped_items(mine, "category", MODULES, requests).withColumnRenamed("items", "results")
+
+
 def top_issues(items: DataFrame, k: int = 5, ai_generated: str | None = None) -> DataFrame:
     """The first k items of a site by priority, among those that are not
     machine-written or are of high priority."""

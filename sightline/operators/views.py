@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -72,45 +68,63 @@ def radar_preview(keywords: DataFrame, k: int = 5) -> DataFrame:
     return keywords.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k).select("site_id", "place", "keyword", reason.alias("reason"), status.alias("status"))
 
 
-def _detail(value) -> str:
-    if value is None or value == "":
-        return UNKNOWN
-    if isinstance(value, bool):
-        return FOUND if value else NOT_FOUND
-    if isinstance(value, (int, float)):
-        return UNKNOWN if value != value or abs(value) == float("inf") else str(int(value)) if float(value).is_integer() else str(value)
-    return EVIDENCE_WORDS.get(value, value) if isinstance(value, str) else SUMMARISED
-
-
-def evidence_rows(raw, label: str = EVIDENCE) -> list[tuple[str, str]]:
-    """(label, detail) rows of evidence of any shape; lists number their items."""
-    if isinstance(raw, list):
-        return [r for k, x in enumerate(raw, 1) for r in evidence_rows(x, f"{label} {k}")] if raw else [(STATE, NO_EVIDENCE)]
-    if not isinstance(raw, dict):
-        return [(label, _detail(raw))]
-    known = ((name, next((raw[f] for f in fields if raw.get(f) is not None), None)) for name, fields in EVIDENCE_LABELS)
-    rows = [(name, _detail(v)) for name, v in known if v is not None and v != ""]
-    if rows:
-        return rows
-    return [(STATE, _detail(raw["reason"]))] if "reason" in raw else [(label, SUMMARISED)]
+def _said(x: Column) -> Column:
+    """What is shown of a JSON value (VARIANT): words for those that are known,
+    whole numbers without a point, lists and objects only as kept."""
+    kind, text = F.schema_of_variant(x), F.try_variant_get(x, "$", "string")
+    number = F.try_variant_get(x, "$", "double")
+    whole = (number == F.floor(number)) & (F.abs(number) < 1e15)
+    word = F.coalesce(F.try_element_at(F.create_map(*(F.lit(v) for pair in EVIDENCE_WORDS.items() for v in pair)), text), text)
+    return (
+        F.when(x.isNull() | (kind == "VOID") | ((kind == "STRING") & (text == "")), UNKNOWN)
+        .when(kind == "STRING", word)
+        .when(kind == "BOOLEAN", F.when(text == "true", FOUND).otherwise(NOT_FOUND))
+        .when(kind.startswith("ARRAY") | kind.startswith("OBJECT"), SUMMARISED)
+        .otherwise(F.when(whole, number.cast("long").cast("string")).otherwise(number.cast("string")))
+    )
+
+
+def _object_rows(x: Column, label: Column) -> Column:
+    """The known fields of an object with their labels; without any, its reason,
+    or that it is kept."""
+    row = lambda name, detail: F.struct(name.alias("label"), detail.alias("detail"))
+    there = lambda v: v.isNotNull() & (F.schema_of_variant(v) != "VOID")
+    field = lambda name: F.try_variant_get(x, f"$.{name}", "variant")
+    labels = F.array(*(F.struct(F.lit(name).alias("label"), F.try_element_at(F.filter(F.array(*map(field, fields)), there), F.lit(1)).alias("v")) for name, fields in EVIDENCE_LABELS))
+    known = F.filter(labels, lambda k: there(k["v"]) & ~((F.schema_of_variant(k["v"]) == "STRING") & (F.try_variant_get(k["v"], "$", "string") == "")))
+    reason = field("reason")
+    other = F.when(reason.isNotNull(), row(F.lit(STATE), _said(reason))).otherwise(row(label, F.lit(SUMMARISED)))
+    return F.when(F.size(known) > 0, F.transform(known, lambda k: row(k["label"], _said(k["v"])))).otherwise(F.array(other))
 
 
 def evidence_items(rows: DataFrame) -> DataFrame:
     """rows: id, evidence (JSON of any shape).  A row an item: id, place, label,
-    detail.  Null evidence is unknown; what is no JSON counts as text."""
-
-    def parsed(text):
-        try:
-            return None if text is None else json.loads(text)
-        except (ValueError, RecursionError):
-            return text
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            out = [(i, k, *r) for i, t in zip(part["id"], part["evidence"], strict=True) for k, r in enumerate(evidence_rows(parsed(t)), 1)]
-            yield pd.DataFrame(out, columns=["id", "place", "label", "detail"])
-
-    return rows.select(F.col("id").cast("long"), "evidence").mapInPandas(run, "id long, place int, label string, detail string")
+    detail.
+
+    A list numbers its items, each by what it is; an empty one, wherever it
+    stands, says that there is none.  An object shows its known fields.  Null
+    evidence is unknown; what is no JSON counts as text.  Lists are laid flat
+    level by level until none is left, so a job runs for each level of lists in
+    lists; rows that repeat an id are shown together."""
+    doc = F.try_parse_json("evidence")
+    x = rows.select(F.col("id").cast("long").alias("id"), F.when(doc.isNull(), F.to_variant_object(F.array(F.col("evidence")))).otherwise(doc).alias("x"), doc.isNull().alias("plain"))
+    x = x.select("id", F.when(F.col("plain"), F.try_variant_get("x", "$[0]", "variant")).otherwise(F.col("x")).alias("x"), F.lit(EVIDENCE).alias("label"), F.array().cast("array<int>").alias("at"))
+    listed = F.schema_of_variant("x").startswith("ARRAY") & (F.size(F.try_variant_get("x", "$", "array<variant>")) > 0)
+    done = None
+    while True:
+        ends = x.where(~F.coalesce(listed, F.lit(False)))
+        done = ends if done is None else done.unionByName(ends)
+        x = x.where(listed)
+        if not x.take(1):
+            break
+        each = x.select("id", "label", "at", F.posexplode(F.try_variant_get("x", "$", "array<variant>")).alias("k", "x"))
+        x = each.select("id", "x", F.concat("label", F.lit(" "), F.col("k") + 1).alias("label"), F.concat("at", F.array(F.col("k"))).alias("at"))
+    kind = F.coalesce(F.schema_of_variant("x"), F.lit("VOID"))
+    one = F.struct(F.when(kind.startswith("ARRAY"), STATE).otherwise(F.col("label")).alias("label"), F.when(kind.startswith("ARRAY"), NO_EVIDENCE).otherwise(_said(F.col("x"))).alias("detail"))
+    items = F.when(kind.startswith("OBJECT"), _object_rows(F.col("x"), F.col("label"))).otherwise(F.array(one))
+    shown = done.select("id", "at", F.posexplode(items).alias("n", "item"))
+    place = F.row_number().over(Window.partitionBy("id").orderBy("at", "n"))
+    return shown.select("id", place.alias("place"), "item.label", "item.detail")
 
 
 def claim(jobs: DataFrame, limit: int = 5) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -25,12 +28,81 @@ def linked(rivals: DataFrame, gap_rows: DataFrame, actions: DataFrame) -> dict[s
     return {"rivals": r, "gap_rows": g, "actions": a}
 
 
-def save(tables: dict[str, DataFrame], folder: str, by: str) -> None:
-    """Each table as Parquet below folder, a directory a value of by; partitions
-    that come again are replaced, others stay."""
+#: Where a store's versions are committed, one file each, and what they hold.
+COMMITS, KEYS = "_commits", "_keys"
+
+
+def _files(spark: SparkSession, folder: str):
+    """Hadoop's view of the folder: path maker, file system and file context."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path
+    fs = path(folder).getFileSystem(conf)
+    return path, fs, jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.makeQualified(path(folder)).toUri(), conf)
+
+
+def _commits(spark: SparkSession, folder: str) -> list[str]:
+    """The versions that were committed, oldest first."""
+    path, fs, _ = _files(spark, folder)
+    at = path(f"{folder}/{COMMITS}")
+    names = [s.getPath().getName() for s in fs.listStatus(at)] if fs.exists(at) else []
+    return [spark.read.text(f"{folder}/{COMMITS}/{n}").first()["value"] for n in sorted(n for n in names if n.isdigit())]
+
+
+def _commit(spark: SparkSession, folder: str, version: str) -> None:
+    """Make a version visible: its file takes the next free number.  A rename never
+    replaces a file, so of two writers one takes the number after."""
+    path, fs, context = _files(spark, folder)
+    fs.mkdirs(path(f"{folder}/{COMMITS}"))
+    staged = path(f"{folder}/{COMMITS}/.{version}")
+    out = fs.create(staged, False)
+    out.write(bytearray(version.encode()))
+    out.close()
+    never = spark.sparkContext._gateway.new_array(spark._jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    never[0] = spark._jvm.org.apache.hadoop.fs.Options.Rename.NONE
+    n = len(_commits(spark, folder))
+    while True:
+        try:
+            context.rename(staged, path(f"{folder}/{COMMITS}/{n:012d}"), never)
+            return
+        except Py4JJavaError as e:
+            if "FileAlreadyExists" not in e.java_exception.getClass().getName():
+                raise
+            n += 1
+
+
+def save(tables: dict[str, DataFrame], folder: str, by: str) -> str:
+    """Store tables that belong together: readers see all of them or none.
+
+    Tables are written below a version of their own, with the values of ``by``
+    that each has, and one small file that appears at the end makes the version
+    visible.  A value that comes again replaces what earlier versions have of that
+    table's rows with it; other values stay.  A write that fails leaves files that
+    no reader looks at.  Returns the version."""
+    version = uuid.uuid4().hex
     for name, df in tables.items():
-        df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(f"{folder}/{name}")
+        df.write.parquet(f"{folder}/{name}/version={version}")
+        written = df.sparkSession.read.parquet(f"{folder}/{name}/version={version}")
+        written.select(by).distinct().write.parquet(f"{folder}/{KEYS}/{name}/version={version}")
+    spark = next(iter(tables.values())).sparkSession
+    _commit(spark, folder, version)
+    return version
 
 
-def load(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}")
+def load(spark: SparkSession, folder: str, *names: str) -> dict[str, DataFrame]:
+    """Tables of a store as of now, all of the same versions: of each value of the
+    key the rows of the newest version that has it.  A table that no committed
+    version has is left out."""
+    versions = _commits(spark, folder)
+    path, fs, _ = _files(spark, folder)
+    number = spark.createDataFrame([(v, i) for i, v in enumerate(versions)], "version string, _n int")
+    out = {}
+    for name in names:
+        there = [v for v in versions if fs.exists(path(f"{folder}/{name}/version={v}"))]
+        if not there:
+            continue
+        rows, keys = (spark.read.option("basePath", f"{folder}/{p}").parquet(*(f"{folder}/{p}/version={v}" for v in there)).withColumn("version", F.col("version").cast("string")) for p in (name, f"{KEYS}/{name}"))
+        by = next(c for c in keys.columns if c != "version")
+        # one row a value; the versions of a store are few
+        newest = keys.join(F.broadcast(number), "version").groupBy(by).agg(F.max_by("version", "_n").alias("_newest")).withColumnRenamed(by, "_by")
+        out[name] = rows.join(newest, rows[by].eqNullSafe(F.col("_by")) & (F.col("version") == F.col("_newest"))).drop("_by", "_newest", "version")
+    return out

@@ -1,8 +1,8 @@
-"""Snippets and reports as JSON, HTML and text columns."""
+"""Snippets as JSON, HTML and text columns."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 CONTEXT = "https://schema.org"
@@ -54,10 +54,3 @@ def llms_txt(name: Column, summary: Column, links: Column) -> Column:
     """links: array of (name, url)."""
     rows = F.transform(links, lambda x: F.concat(F.lit("- ["), x["name"], F.lit("]("), x["url"], F.lit(")")))
     return F.concat_ws("\n", F.concat(F.lit("# "), name), F.lit(""), F.concat(F.lit("> "), summary), F.lit(""), F.array_join(rows, "\n"))
-
-
-def report(scores: DataFrame, items: DataFrame, version: str = "1.0.0") -> DataFrame:
-    """One JSON document a site: scores, counts and items in order."""
-    i = items.groupBy("site_id").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(F.struct("position", "rule_id", "priority", "impact_score", "action_type"))).alias("items"))
-    s = scores.join(i, "site_id", "left")
-    return s.select("site_id", F.to_json(F.struct(F.lit(version).alias("version"), F.struct("seo", "aeo", "geo", "perf", "overall").alias("scores"), F.coalesce("n", F.lit(0)).alias("item_count"), "items")).alias("report"))

@@ -1,7 +1,10 @@
+import json
+
+import pytest
 from pyspark.sql import functions as F
 
 from sightline.operators import platform, views
-from sightline.sources import artefacts, patterns
+from sightline.sources import artefacts, patterns, reports
 
 
 def test_evidence_of_any_shape(spark):
@@ -10,7 +13,7 @@ def test_evidence_of_any_shape(spark):
     of = lambda i: [(r["label"], r["detail"]) for r in got if r["id"] == i]
     assert of(1) == [("출처", "네이버 검색"), ("순위", "2"), ("확인 결과", views.NOT_FOUND)]
     assert of(2) == [("확인 상태", views.NO_EVIDENCE)] and of(3) == [("확인 상태", "아직 확인하지 못했어요."), ("확인 근거 2 1", "1.5"), ("확인 근거 2 2", views.SUMMARISED)]
-    assert of(4) == [("확인 근거", views.UNKNOWN)] == of(6) and of(5) == [("확인 근거", "no json")]
+    assert of(4) == [("확인 근거", views.UNKNOWN)] and of(5) == [("확인 근거", "no json")] and of(6) == [("확인 근거", "NaN")]
 
 
 def test_copy_rules_hide_texts(spark):
@@ -50,8 +53,56 @@ def test_stored_artefacts(spark, tmp_path):
     t = artefacts.linked(row((1, 2, None), (1, 1, None)).drop("action_ref"), row((1, 5, None), (2, 1, None)).drop("action_ref"), row((1, 1, "x"), (1, 2, "y"), (2, 1, "z")))
     artefacts.save(t, str(tmp_path), "diagnosis_id")
     artefacts.save({"actions": t["actions"].where("diagnosis_id = 2")}, str(tmp_path), "diagnosis_id")
-    rivals, gaps = artefacts.load(spark, str(tmp_path), "rivals"), artefacts.load(spark, str(tmp_path), "gap_rows").collect()
-    assert [g["rival_id"] for g in gaps] == [rivals.where("pos = 1").first()["id"]]
-    got = [r["action_ref"] for r in artefacts.load(spark, str(tmp_path), "actions").orderBy("diagnosis_id", "pos").collect()]
-    assert got == [gaps[0]["id"], "y", "z"]
+    got = artefacts.load(spark, str(tmp_path), "rivals", "gap_rows", "actions", "none such")
+    gaps = got["gap_rows"].collect()
+    assert set(got) == {"rivals", "gap_rows", "actions"} and [g["rival_id"] for g in gaps] == [got["rivals"].where("pos = 1").first()["id"]]
+    assert [r["action_ref"] for r in got["actions"].orderBy("diagnosis_id", "pos").collect()] == [gaps[0]["id"], "y", "z"]
     assert artefacts.linked(row().drop("action_ref"), row().drop("action_ref"), row())["actions"].count() == 0
+
+
+def test_a_write_that_fails_shows_nothing(spark, tmp_path):
+    """Readers see three tables of one version, whatever becomes of the next."""
+    folder = str(tmp_path / "store")
+    table = lambda *rows: spark.createDataFrame(rows, "k int, v string")
+    assert artefacts.load(spark, folder, "a", "b") == {}
+    artefacts.save({"a": table((1, "old"), (2, "old")), "b": table((1, "old")), "c": table((None, "old"))}, folder, "k")
+    broken = table((1, "new")).withColumn("v", F.raise_error(F.lit("no")).cast("string"))
+    with pytest.raises(Exception, match="no"):
+        artefacts.save({"a": table((1, "new"), (3, "new")), "b": broken, "c": table()}, folder, "k")
+    read = lambda: {n: sorted(map(tuple, df.collect()), key=repr) for n, df in artefacts.load(spark, folder, "a", "b", "c").items()}
+    assert read() == {"a": [(1, "old"), (2, "old")], "b": [(1, "old")], "c": [(None, "old")]}
+    before = artefacts.load(spark, folder, "a")["a"]
+    artefacts.save({"a": table((1, "new"), (1, "newer"), (3, "new")), "c": table((None, "new"))}, folder, "k")
+    assert read() == {"a": [(1, "new"), (1, "newer"), (2, "old"), (3, "new")], "b": [(1, "old")], "c": [(None, "new")]}
+    # who opened the store before still reads what it had then
+    assert sorted(map(tuple, before.collect())) == [(1, "old"), (2, "old")]
+    # the next number is taken by another writer
+    (tmp_path / "store" / "_commits" / "000000000002").write_text("other")
+    (tmp_path / "store" / "_commits" / ".000000000002.crc").unlink(missing_ok=True)
+    artefacts.save({"b": table((9, "last"))}, folder, "k")
+    assert read()["b"] == [(1, "old"), (9, "last")]
+
+
+def test_reports_are_a_file_a_site(spark, tmp_path):
+    folder = str(tmp_path / "reports")
+    scores = spark.createDataFrame([("a/b c", 90, 80, 70, None, 82), ("z", 10, 0, 0, 5, 6), ("%41+", 50, 50, 50, None, 50)], "site_id string, seo int, aeo int, geo int, perf int, overall int")
+    item = lambda site, pos, rule, level, action: (site, pos, pos * 2, f"{site}-{rule}", rule, "SEO", level, 10, action, "easy")
+    items = spark.createDataFrame([item("z", i, f"R{i}", ["low", "high", "medium"][i % 3], ["self_fix", "si_action"][i % 2]) for i in range(1, 8)], "site_id string, position int, rule_pos int, item_id string, rule_id string, category string, priority string, impact_score int, action_type string, difficulty string")
+    made = reports.site_reports(scores, items)
+    reports.write_reports(made.repartition(4), folder)
+    read = lambda: {r["site_id"]: r["report"] for r in reports.read_reports(spark, folder).collect()}
+    want = {r["site_id"]: r["report"] for r in made.collect()}
+    assert read() == want and len(list((tmp_path / "reports").rglob("*.json"))) == 4
+    z, a = json.loads(want["z"]), json.loads(want["a/b c"])
+    assert [i["rule_id"] for i in z["summary"]["top_issues"]] == ["R1", "R4", "R7", "R2", "R5"] and [i["position"] for i in z["items"]] == list(range(1, 8))
+    assert z["summary"]["action_counts"] == {"self_fix": 3, "snippet_action": 0, "vendor_action": 0, "si_action": 4} and z["scores"]["grade"] == "poor"
+    assert a["scores"]["perf"] is None and a["scores"]["grade"] == "excellent" and a["items"] == [] and a["summary"]["headline"] == reports.HEADLINES[0][1]
+    # a job that fails leaves what was there, and nothing of its own
+    broken = made.withColumn("report", F.when(F.col("site_id") == "z", F.raise_error(F.lit("no")).cast("string")).otherwise("new"))
+    with pytest.raises(Exception, match="no"):
+        reports.write_reports(broken.repartition(3), folder)
+    assert read() == want and not list((tmp_path / "reports").glob("_staging*"))
+    reports.write_reports(spark.createDataFrame([("new", "{}")], "site_id string, report string"), folder, mode="append")
+    assert read() == want | {"new": "{}"}
+    reports.write_reports(made.limit(0), folder)
+    assert not list((tmp_path / "reports").rglob("z.json"))
