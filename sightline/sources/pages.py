@@ -1,8 +1,8 @@
 """HTML to typed page rows, in one Arrow pass.
 
-Everything that needs the markup or a look around a match is taken here once
-for each page: fields, links, images, JSON-LD facts, text signals, names and
-addresses, accessibility findings.  Rules are then column expressions.
+What needs the markup is taken here once for each page: fields, links, images,
+JSON-LD facts, accessibility findings.  What the text mentions, and rules, are
+column expressions over that.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import patterns as P
+from ..functions.mentions import with_mentions
 
 TEXT_TAGS = frozenset("h1 h2 h3 h4 h5 h6 p li blockquote figcaption td th dt dd".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -31,8 +31,11 @@ SCHEMA = (
     "site_id string, pos long, url string, status_code int, title string, description string, h1 string, h2 array<string>, h3 array<string>, meta map<string,string>, body_text string, word_count int, "
     "internal_links array<string>, external_links array<string>, images array<struct<src:string,alt:string,loading:string,width:string,height:string>>, canonical_url string, robots_meta string, html_lang string, last_modified string, "
     f"headings array<struct<level:int,text:string>>, text_blocks array<struct<tag:string,text:string>>, contact_links array<struct<kind:string,value:string>>, link_tags {_LINK}, ul int, ol int, tables int, has_faq boolean, "
-    f"facts struct<{', '.join(f.replace(' ', ':', 1) for f in FACTS.split(', '))}>, signals array<string>, phones array<struct<digits:string,area:string>>, addresses array<string>, valid_hours boolean, emails int, sentences array<string>, a11y array<string>"
+    f"facts struct<{', '.join(f.replace(' ', ':', 1) for f in FACTS.split(', '))}>, a11y array<string>"
 )
+#: What the parser reads from markup, and with what its text mentions.
+TOKENS = SCHEMA
+SCHEMA = TOKENS.replace("a11y array<string>", "signals array<string>, phones array<struct<digits:string,area:string>>, addresses array<string>, valid_hours boolean, emails int, sentences array<string>, a11y array<string>")
 
 
 def present(v) -> bool:
@@ -348,25 +351,24 @@ def parse_page(html: str, url: str) -> dict:
     facts = schema_facts(p.ld)
     h2, h3 = ([h["text"] for h in headings if h["level"] == k] for k in (2, 3))
     faq = re.compile(r"자주\s*묻는\s*질문|FAQ|Q&A", re.I)
-    emails = sum(1 for m in re.finditer(P.EMAIL, body) if not re.search(P.DOC_EMAIL, m[0]) and not re.search(P.EXAMPLE, body[max(0, m.start() - 40) : m.start() + 40], re.I))
     return {
         "title": (p.titles[0].strip() or None) if p.titles else None, "description": meta.get("description"), "h1": next((h["text"] for h in headings if h["level"] == 1), None), "h2": h2, "h3": h3, "meta": meta,
         "body_text": body, "word_count": len(body.split()), "internal_links": list(dict.fromkeys(inner)), "external_links": list(dict.fromkeys(outer)),
         "images": [x | {"src": urljoin(url, x["src"]) if not x["src"].startswith("data:") else x["src"]} for x in p.images], "canonical_url": urljoin(url, canonical) if canonical else None, "robots_meta": meta.get("robots"), "html_lang": p.lang,
         "last_modified": meta.get("article:modified_time") or meta.get("og:updated_time") or meta.get("last-modified"), "headings": headings, "text_blocks": blocks, "contact_links": contact, "link_tags": p.links,
         "ul": p.count["ul"], "ol": p.count["ol"], "tables": p.count["table"], "has_faq": facts["faq"] or any(faq.search(h) for h in h2 + h3), "facts": facts,
-        "signals": [k for k, s in P.SIGNALS.items() if s.found(body)], "phones": [{"digits": d, "area": a} for d, a in P.phones(body)], "addresses": P.addresses(body), "valid_hours": P.valid_hours(body), "emails": emails,
-        "sentences": P.sentences(body), "a11y": _findings(p, headings),
+        "a11y": _findings(p, headings),
     }
 
 
 def parse_pages(pages: DataFrame) -> DataFrame:
     """pages: site_id, pos, url, html, status_code.  One row per row; null html
-    or url count as empty.  Markup that is not well formed never fails."""
+    or url count as empty.  Markup that is not well formed never fails.  Python reads
+    the markup; what the text mentions are expressions over that."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
-    schema = to_arrow_schema(_parse_datatype_string(SCHEMA))
+    schema = to_arrow_schema(_parse_datatype_string(TOKENS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -378,4 +380,5 @@ def parse_pages(pages: DataFrame) -> DataFrame:
                     rows.append({k: r[k] for k in ("site_id", "pos", "url", "status_code")} | page)
                 yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    return pages.select(F.col("site_id").cast("string"), F.col("pos").cast("long"), "url", "html", F.col("status_code").cast("int")).mapInArrow(run, SCHEMA)
+    read = pages.select(F.col("site_id").cast("string"), F.col("pos").cast("long"), "url", "html", F.col("status_code").cast("int")).mapInArrow(run, TOKENS)
+    return with_mentions(read).select(*(f.name for f in _parse_datatype_string(SCHEMA).fields))

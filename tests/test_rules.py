@@ -1,10 +1,10 @@
 import pytest
 from pyspark.sql import functions as F
 
+from sightline.functions import mentions
 from sightline.operators import scoring
 from sightline.operators.rules import RULES, evaluate, site_context
 from sightline.operators.rules.context import link_depth
-from sightline.sources import patterns as P
 from sightline.sources.pages import SCHEMA, nodes_of, parse_page, parse_pages, schema_facts
 
 HEAD = '<meta charset="utf-8"><meta name="viewport" content="width=device-width">'
@@ -76,17 +76,42 @@ def test_derived_levels(spark):
     assert [r[0] for r in g.select(scoring.grade(F.col("x"))).collect()] == ["excellent", "good", "fair", "poor", "poor", "poor", "poor"]
 
 
-def test_signals_look_around():
-    s = P.SIGNALS
-    assert s["price"].found("커트 25,000원") and not s["price"].found("예시: 25,000원")
-    assert s["cta"].found("지금 예약하기") and not s["cta"].found("예약하기 취소 불가 안내")
-    assert s["recent_year"].found("최종 수정 2024년") and not s["recent_year"].found("© 2024년 업데이트")
-    assert s["testimonial"].found("고객 후기: 정말 만족했어요") and not s["testimonial"].found("후기 작성 안내 이벤트 만족")
-    assert not s["number_period"].found("2024년 행사") and s["number_period"].found("운영 10년 되었고")
-    assert P.valid_hours("10:00 - 21:00") and not P.valid_hours("21:00-10:00") and not P.valid_hours("99-100")
-    assert P.phones("전화 02-123-4567, 02.123.4567") == [("021234567", "02")] and P.phones("예: 예시 02-123-4567") == []
-    assert P.addresses("서울시 강남구 테헤란로 123") == ["서울시 강남구 테헤란로 123"]
-    assert P.sentences("See a.com now. It is 3.5 km! End") == ["See a.com now", "It is 3.5 km", "End"]
+def mentioned(spark, texts, what):
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, body_text string")
+    return [r["v"] for r in rows.select("i", what(F.col("body_text")).alias("v")).orderBy("i").collect()]
+
+
+def test_signals_look_around(spark):
+    cases = [
+        ("price", "커트 25,000원", "예시: 25,000원"), ("cta", "지금 예약하기", "예약하기 취소 불가 안내"), ("recent_year", "최종 수정 2024년", "© 2024년 업데이트"), ("testimonial", "고객 후기: 정말 만족했어요", "후기 작성 안내 이벤트 만족"),
+        ("number_period", "운영 10년 되었고", "2024년 행사"), ("registration", "사업자 123-45-67890", "예) 123-45-67890"), ("author_text", "글쓴이 김철수", "by ChatGPT 자동 생성"), ("proof", "별점 4.8 후기 12건", "3점심 메뉴"), ("rating", "평점 4.5", "평점 4.5 없습니다"),
+        ("duration", "시공은 약 3시간 소요", "3시간표"), ("updated_on", "최신 2024-05", "가입 양식 2024-05"), ("immediate", "당일 완료", "당일 저녁"), ("channel_aeo", "카톡 문의", "예시 카톡 문의"), ("number_money", "비용 3만원", "전화 02-123-4567 3만원 번호: 1"),
+    ]
+    for name, yes, no in cases:
+        got = mentioned(spark, [yes, no, ""], mentions.signals)
+        assert name in got[0] and name not in got[1] and got[2] == [], name
+    # of several matches one that stands freely is enough
+    assert "price" in mentioned(spark, ["예시 1원 " + "가" * 60 + " 5,000원 입니다"], mentions.signals)[0]
+
+
+def test_numbers_and_places(spark):
+    assert mentioned(spark, ["10:00 - 21:00", "21:00-10:00", "99-100", "9시 30 ~ 18시"], mentions.valid_hours) == [True, False, False, True]
+    phones = mentioned(spark, ["전화 02-123-4567, 02.123.4567", "예: 예시 02-123-4567", "1588-1234 또는 010 1234 5678", "예시 02-123-4567 " + "가" * 50 + " 02-123-4567", ""], mentions.phones)
+    assert [[tuple(p) for p in x] for x in phones] == [[("021234567", "02")], [], [("15881234", "1588"), ("01012345678", "010")], [("021234567", "02")], []]
+    assert mentioned(spark, ["서울시 강남구 테헤란로 123", "서울시 강남구 테헤란로 12-3, 서울시 강남구, 부산시 중구 남포동", "예시 서울시 강남구 테헤란로 1"], mentions.addresses) == [["서울시 강남구 테헤란로 123"], ["서울시 강남구 테헤란로 12-3", "부산시 중구 남포동"], []]
+    assert mentioned(spark, ["a@b.co, c.d@e.org", "a@b.co, test@x.com", "예시 a@b.co", "@"], mentions.mail_addresses) == [2, 0, 0, 0]
+
+
+def test_sentences_keep_names_whole(spark):
+    cases = [
+        ("See a.com now. It is 3.5 km! End", ["See a.com now", "It is 3.5 km", "End"]), ("Dr. Kim came. Mr.Lee e.g. this! See https://a.b/c.d. More www.x.y. Z", ["Dr. Kim came", "Mr.Lee e.g", "this", "See https://a.b/c.d. More www.x.y. Z"]),
+        ("mail a.b@c.de. no end", ["mail a.b@c.de. no end"]), ("가.나 다. 라?! 마。바", ["가.나 다", "라", "마。바"]), ("", []), (" . ! ", []), ("x" * 50_000 + ". y@", ["x" * 50_000, "y@"]), ("a\x01b. c\x02", ["a b", "c"]), ("Wait... what?", ["Wait", "what"]),
+    ]
+    got = mentioned(spark, [t for t, _ in cases], mentions.sentences)
+    assert got == [w for _, w in cases]
+    text = "가. 나다 Here ok. 끝" + " z" * 60 + " here"
+    assert mentioned(spark, [text], lambda c: mentions.sentences_around(c, "(?i)here", 6)) == [["가", "나다 Here ok", "끝", "z z z here"]]
+    assert mentioned(spark, ["a. bb. c"], lambda c: mentions.sentences_around(c, "bb", 0)) == [["bb"]] and mentioned(spark, ["x"], lambda c: mentions.sentences_around(c, "")) == [[]]
 
 
 def test_parser_cases():

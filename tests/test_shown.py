@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sightline.operators import platform, views
-from sightline.sources import artefacts, patterns, reports
+from sightline.sources import artefacts, reports
 
 
 def test_evidence_of_any_shape(spark):
@@ -40,12 +40,9 @@ def test_presence_of_a_platform_page(spark):
     assert (b["name"], b["confidence"], b["phone"]) == ("다라", "medium", None) and (c["name"], c["description"], c["services"], c["confidence"]) == (None, None, [], "low")
 
 
-def test_relevance_and_sentences_around(spark):
+def test_relevance(spark):
     df = spark.createDataFrame([(["커피", "Latte", "x"], ["커피 원두", "latte art", ""]), ([], ["a"]), (["a"], []), (None, None)], "t array<string>, r array<string>")
     assert [r[0] for r in df.select(views.relevance(F.col("t"), F.col("r"))).collect()] == [2 / 3, 0.0, 0.5, 0.5]
-    text = "가. 나다 Here ok. 끝" + " z" * 60 + " here"
-    assert patterns.sentences_around(text, "here", 6) == ["가", "나다 Here ok", "끝", "z z z here"]
-    assert patterns.sentences_around(text, "") == [] and patterns.sentences_around("a. bb. c", "bb", 0) == ["bb"]
 
 
 def test_stored_artefacts(spark, tmp_path):
