@@ -5,37 +5,32 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Stretches of values that a rule's metrics are cut into, about equal in size.
-STRETCHES = 1024
+#: Of n values a sketch's rank is off by n / ACCURACY at most.
+ACCURACY = 10_000
 
 
-def _below(cuts: str, m: str) -> Column:
-    """How many of the ascending cuts lie below m, by halving."""
-    steps = F.array(*(F.lit(1 << k) for k in reversed(range(STRETCHES.bit_length()))))
-    step = lambda at, k: F.when(F.try_element_at(F.col(cuts), at + k) < F.col(m), at + k).otherwise(at)
-    return F.aggregate(steps, F.lit(0), step)
+def exact_ranks(values: DataFrame, ranks: dict[str, tuple[float, Column]]) -> DataFrame:
+    """values: rule_id, m.  ranks: by name the share of values and the wanted place
+    (from 1) in a rule's order, of the rule's number of values ``n``; a place is
+    at most 1 from its share of n.  One row a rule with a column a rank.
 
-
-def exact_ranks(values: DataFrame, ranks: dict[str, Column]) -> DataFrame:
-    """values: rule_id, m.  ranks: by name the wanted place (from 1) in a rule's
-    order, of the rule's number of values ``n``.  One row a rule with a column a
-    rank.
-
-    Values are counted, cut into stretches by an approximate sketch, and only the
-    stretches in which a wanted place lies are put in order, so no task sorts or
-    holds a rule's values.  The result does not depend on the cuts."""
-    counts = values.groupBy("rule_id", "m").agg(F.count(F.lit(1)).alias("c"))
-    points = F.array(*(F.lit(k / STRETCHES) for k in range(1, STRETCHES)))
-    cuts = counts.groupBy("rule_id").agg(F.array_distinct(F.percentile_approx("m", points, 10 * STRETCHES)).alias("cuts"))
-    counts = counts.join(F.broadcast(cuts), "rule_id").select("rule_id", "m", "c", _below("cuts", "m").alias("b"))
-    order = Window.partitionBy("rule_id").orderBy("b")  # STRETCHES rows a rule
-    sums = counts.groupBy("rule_id", "b").agg(F.sum("c").alias("w")).withColumns({"upto": F.sum("w").over(order), "n": F.sum("w").over(Window.partitionBy("rule_id"))})
-    wanted = F.inline(F.array(*(F.struct(F.lit(name).alias("name"), k.cast("long").alias("k")) for name, k in ranks.items())))
-    at = sums.select("rule_id", "b", "w", "upto", wanted).where("k <= upto AND k > upto - w").select("rule_id", "b", "name", (F.col("k") - F.col("upto") + F.col("w")).alias("k"))
-    inside = counts.join(F.broadcast(at), ["rule_id", "b"])  # a row a rule and rank
-    run = Window.partitionBy("rule_id", "name").orderBy("m")
-    found = inside.withColumn("upto", F.sum("c").over(run)).where("k <= upto AND k > upto - c")
-    return found.groupBy("rule_id").agg(*(F.max(F.when(F.col("name") == name, F.col("m"))).alias(name) for name in ranks))
+    A sketch gives two values between which each wanted place must lie, twice its
+    error below and above.  Values are counted, those below a bracket are summed,
+    and only the few within are put in order, so no task sorts or holds a rule's
+    values.  The result does not depend on the sketch."""
+    slack = 2 / ACCURACY
+    points = [min(1.0, max(0.0, q + side)) for q, _ in ranks.values() for side in (-slack, slack)]
+    found = values.groupBy("rule_id").agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("m", F.array(*map(F.lit, points)), ACCURACY).alias("cuts"))
+    brackets = F.array(*(F.struct(F.lit(name).alias("name"), F.col("cuts")[2 * i].alias("low"), F.col("cuts")[2 * i + 1].alias("high"), k.cast("long").alias("k")) for i, (name, (_, k)) in enumerate(ranks.items())))
+    wanted = F.broadcast(found.select("rule_id", brackets.alias("brackets")))  # a row a rule
+    counts = values.groupBy("rule_id", "m").agg(F.count(F.lit(1)).alias("c")).join(wanted, "rule_id")
+    low = lambda i: F.col("brackets")[i]["low"]
+    below = counts.groupBy("rule_id").agg(F.array(*(F.coalesce(F.sum(F.when(F.col("m") < low(i), F.col("c"))), F.lit(0)) for i in range(len(ranks)))).alias("below"))
+    inside = counts.select("rule_id", "m", "c", F.posexplode(F.transform("brackets", lambda b: F.when(F.col("m").between(b["low"], b["high"]), b))).alias("i", "b")).where("b IS NOT NULL")
+    inside = inside.join(F.broadcast(below), "rule_id").select("rule_id", "m", "c", "b.name", (F.col("b.k") - F.col("below")[F.col("i")]).alias("k"))
+    at = F.sum("c").over(Window.partitionBy("rule_id", "name").orderBy("m"))
+    hit = inside.withColumn("upto", at).where("k <= upto AND k > upto - c")
+    return hit.groupBy("rule_id").agg(*(F.max(F.when(F.col("name") == name, F.col("m"))).alias(name) for name in ranks))
 
 
 def calibrate(samples: DataFrame, rules: dict[str, tuple[Column, Column]], tight: float = 0.95, loose: float = 0.1) -> DataFrame:
@@ -46,7 +41,7 @@ def calibrate(samples: DataFrame, rules: dict[str, tuple[Column, Column]], tight
     long = samples.select(F.inline(F.array(*(one(name, *r) for name, r in rules.items()))))
     rates = long.groupBy("rule_id").agg(F.avg(F.col("passed").cast("double")).alias("pass_rate"))
     n = F.col("n")
-    found = exact_ranks(long.where("m IS NOT NULL").select("rule_id", "m"), {"lo": F.floor((n + 1) / 2), "hi": F.ceil((n + 1) / 2), "p90": F.ceil(n * 0.9), "p95": F.ceil(n * 0.95)})
+    found = exact_ranks(long.where("m IS NOT NULL").select("rule_id", "m"), {"lo": (0.5, F.floor((n + 1) / 2)), "hi": (0.5, F.ceil((n + 1) / 2)), "p90": (0.9, F.ceil(n * 0.9)), "p95": (0.95, F.ceil(n * 0.95))})
     out = rates.join(found, "rule_id", "left")
     advice = F.when(F.col("pass_rate") > tight, "raise").when(F.col("pass_rate") < loose, "lower").otherwise("keep")
     return out.select("rule_id", "pass_rate", ((F.col("lo") + F.col("hi")) / 2).alias("median"), "p90", "p95", advice.alias("advice"))

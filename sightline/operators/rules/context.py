@@ -7,7 +7,6 @@ shuffle of its page rows' narrow columns and of one main page.
 
 from __future__ import annotations
 
-import tempfile
 from itertools import count
 
 from pyspark.sql import DataFrame
@@ -15,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ...functions import urls
 from ...functions.language import LANGUAGE, with_language
+from ...sources.shared import cut
 from ..competitors import authority
 
 PERF = "struct<strategy:string,performance:double,lcp:double,fid:double,cls:double,inp:double,ttfb:double,fcp:double>"
@@ -81,16 +81,6 @@ def with_measures(context: DataFrame) -> DataFrame:
 PIECES = 16
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df without its lineage, through files that every executor can read."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getConf().get("spark.checkpoint.dir", None) and sc._jsc.sc().getCheckpointDir().isEmpty():
-        if not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="sightline-checkpoint-"))
-    return df.checkpoint(eager=True)
-
-
 def link_depth(pages: DataFrame, start: DataFrame) -> DataFrame:
     """Clicks from each site's start page to its pages by internal links: a row
     a site with the largest depth and the number of pages out of reach.

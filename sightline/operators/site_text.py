@@ -71,21 +71,27 @@ def duplicate_ratio(terms: DataFrame, pages: DataFrame, threshold: float = 0.7)
     """Share of page pairs of a site whose term sets have a Jaccard similarity
     above threshold, four digits; an empty page is like no other.
 
-    A pair above the threshold shares one of the rarest terms of both (prefix
-    filter), so pairs come from an equi-join on those terms, not from all pairs."""
+    Pages with equal sets are one node with a count, so n copies of a page are
+    n * (n - 1) / 2 by arithmetic, not by rows.  A pair of different sets above
+    the threshold shares one of the rarest terms of both (prefix filter), so these
+    come from an equi-join on those terms, not from all pairs.  threshold is below
+    1."""
     df = terms.groupBy("site_id", "term").agg(F.count(F.lit(1)).alias("df"))
     ranked = terms.join(df, ["site_id", "term"]).select("site_id", "page", "df", F.xxhash64("term").alias("h"))
-    sets = ranked.groupBy("site_id", "page").agg(F.transform(F.array_sort(F.collect_list(F.struct("df", "h"))), lambda x: x["h"]).alias("s")).withColumn("n", F.size("s"))
+    sets = ranked.groupBy("site_id", "page").agg(F.transform(F.array_sort(F.collect_list(F.struct("df", "h"))), lambda x: x["h"]).alias("s"))
+    nodes = sets.groupBy("site_id", "s").agg(F.min("page").alias("page"), F.count(F.lit(1)).alias("m")).withColumn("n", F.size("s"))
     prefix = F.slice("s", 1, (F.col("n") - F.ceil(F.col("n") * threshold) + 1).cast("int"))
-    keyed = sets.select("site_id", "page", "n", F.explode(prefix).alias("h"))
+    keyed = nodes.select("site_id", "page", "n", F.explode(prefix).alias("h"))
     a, b = keyed.alias("a"), keyed.alias("b")
     on = (F.col("a.site_id") == F.col("b.site_id")) & (F.col("a.h") == F.col("b.h")) & (F.col("a.page") < F.col("b.page")) & (F.col("a.n") >= threshold * F.col("b.n")) & (F.col("b.n") >= threshold * F.col("a.n"))
     near = a.join(b, on).select(F.col("a.site_id").alias("site_id"), F.col("a.page").alias("p"), F.col("b.page").alias("q")).distinct()
-    left = sets.select("site_id", F.col("page").alias("p"), F.col("s").alias("x"))
-    right = sets.select("site_id", F.col("page").alias("q"), F.col("s").alias("y"))
+    left = nodes.select("site_id", F.col("page").alias("p"), F.col("s").alias("x"), F.col("m").alias("mx"))
+    right = nodes.select("site_id", F.col("page").alias("q"), F.col("s").alias("y"), F.col("m").alias("my"))
     both = F.size(F.array_intersect("x", "y"))
-    pairs = near.join(left, ["site_id", "p"]).join(right, ["site_id", "q"]).select("site_id", "p", "q", (both / (F.size("x") + F.size("y") - both)).alias("sim"))
-    high = pairs.where(F.col("sim") > threshold).groupBy("site_id").agg(F.count(F.lit(1)).alias("high"))
+    pairs = near.join(left, ["site_id", "p"]).join(right, ["site_id", "q"]).select("site_id", (F.col("mx") * F.col("my")).alias("w"), (both / (F.size("x") + F.size("y") - both)).alias("sim"))
+    apart = pairs.where(F.col("sim") > threshold).select("site_id", "w")
+    alike = nodes.where("m > 1").select("site_id", (F.col("m") * (F.col("m") - 1) / 2).cast("long").alias("w"))
+    high = apart.unionByName(alike).groupBy("site_id").agg(F.sum("w").alias("high"))
     n = pages.groupBy("site_id").agg(F.count_distinct("page").alias("n"))
     all_ = F.col("n") * (F.col("n") - 1) / 2
     ratio = F.when(F.col("n") < 2, F.lit(0.0)).otherwise(half_up(F.coalesce("high", F.lit(0)) / all_, 4))

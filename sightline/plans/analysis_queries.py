@@ -94,7 +94,7 @@ def keyword_scores(spark, d):
 
 def keyword_expand(spark, d):
     p = table(spark, d, "part").select(F.col("p_partkey").alias("seed_id"), F.col("p_name").alias("seed"))
-    return keywords.expand(p, limit=12).select("seed_id", F.col("place").cast("int").alias("place"), "text", F.col("hop").cast("int").alias("hop"))
+    return keywords.expand(p).select("seed_id", F.col("place").cast("int").alias("place"), "text", F.col("hop").cast("int").alias("hop"))
 
 
 def quota_guard(spark, d):
@@ -109,13 +109,13 @@ def _pages(spark, d):
 
 def tf_idf_terms(spark, d):
     pages = _pages(spark, d)
-    w = site_text.tf_idf(site_text.page_terms(pages, F.col("text"), 4, "[^a-z]+"), pages)
+    w = site_text.tf_idf(site_text.page_terms(pages, F.col("text")), pages)
     return w.groupBy("site_id").agg(F.count(F.lit(1)).alias("terms"), F.sum("n").alias("occurrences"), F.max("df").alias("largest_df"), F.floor(F.max("tf_idf") * 1e6 + 0.5).cast("long").alias("largest_weight"))
 
 
 def duplicate_pages(spark, d):
     pages = _pages(spark, d)
-    return site_text.duplicate_ratio(site_text.page_terms(pages, F.col("text"), 4, "[^a-z]+"), pages)
+    return site_text.duplicate_ratio(site_text.page_terms(pages, F.col("text")), pages)
 
 
 def cannibalisation(spark, d):
@@ -138,7 +138,7 @@ QUERIES = {
 }
 
 _MODIFIERS = ", ".join(f"({i}, '{m}')" for i, m in enumerate(keywords.MODIFIERS))
-_TERMS_SQL = "terms AS (SELECT site_id, page, term, count(*) AS n FROM (SELECT source AS site_id, doc_id AS page, unnest(regexp_split_to_array(lower(text), '[^a-z]+')) AS term FROM documents) WHERE length(term) >= 4 GROUP BY 1, 2, 3)"
+_TERMS_SQL = "terms AS (SELECT site_id, page, term, count(*) AS n FROM (SELECT source AS site_id, doc_id AS page, unnest(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+')) AS term FROM documents) WHERE length(term) >= 2 GROUP BY 1, 2, 3)"
 
 ORACLE_SQL = {
     "gap_matrix": _GAP_SQL + "SELECT site_id, rule_id, passed, rival_passed, rival_total, CAST(floor(gap * 1e6 + 0.5) AS BIGINT) AS gap_millionths, place FROM m",
@@ -171,7 +171,7 @@ ORACLE_SQL = {
         UNION ALL SELECT seed_id, 10 + i, seed || ' ' || w[i], 1 FROM t, range(1, 12) r(i) WHERE i <= len(w) AND w[i] <> seed
         UNION ALL SELECT seed_id, 100 + i, seed || ' ' || m, 1 FROM t, m UNION ALL SELECT seed_id, 200 + i, w[1] || ' ' || m, 2 FROM t, m),
       d AS (SELECT seed_id, text, min(o) AS o, arg_min(hop, o) AS hop FROM c GROUP BY 1, 2), e AS (SELECT *, row_number() OVER (PARTITION BY seed_id ORDER BY o) AS place FROM d)
-      SELECT seed_id, place::INT AS place, text, hop::INT AS hop FROM e WHERE place <= 12""",
+      SELECT seed_id, place::INT AS place, text, hop::INT AS hop FROM e WHERE place <= 30""",
     "quota_guard": """WITH b(channel, l) AS (VALUES ('click', 250), ('view', 0), ('error', 120)), e AS (SELECT event_type AS channel, event_id AS pos, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS k FROM events)
       SELECT e.channel, count(*) AS requests, count(*) FILTER (l IS NULL OR k <= l) AS allowed, max(pos) FILTER (l IS NULL OR k <= l) AS last_allowed FROM e LEFT JOIN b ON e.channel = b.channel GROUP BY 1""",
     "tf_idf_terms": f"""WITH {_TERMS_SQL}, total AS (SELECT site_id, page, sum(n) AS total FROM terms GROUP BY 1, 2), df AS (SELECT site_id, term, count(*) AS df FROM terms GROUP BY 1, 2), pn AS (SELECT source AS site_id, count(DISTINCT doc_id) AS pages FROM documents GROUP BY 1)

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from ..functions import urls
 from ..operators import scoring
 from ..operators.rules import RULES, evaluate, rule_table, site_context, with_measures
-from ..operators.rules.context import cut, link_depth
+from ..operators.rules.context import link_depth
 from ..sources.pages import parse_pages
+from ..sources.shared import cut
 from .common import spread, table
 
 
@@ -74,7 +75,7 @@ def host_url_rules(spark, d):
 
 def url_parts(spark, d):
     u = F.col("url")
-    return table(spark, d, "pages").select("page_id", urls.scheme(u).alias("scheme"), urls.host(u).alias("host"), urls.site(u).alias("site"), urls.path(u).alias("path"), urls.path_depth(u).alias("depth"), urls.is_public(u).alias("is_public"), urls.crawl_priority(u).alias("crawl_priority"))
+    return table(spark, d, "pages").select("page_id", urls.scheme(u).alias("scheme"), urls.host(u).alias("host"), urls.site(u).alias("site"), urls.path(u).alias("path"), urls.path_depth(u).alias("depth"), urls.crawl_priority(u).alias("crawl_priority"))
 
 
 def rule_catalogue(spark, d):
@@ -87,7 +88,7 @@ _PARTS = """p AS (SELECT page_id, url, lower(regexp_extract(url, '^([a-z]+)://',
 q AS (SELECT *, regexp_replace(host, '^www\\.', '') AS site, len(list_filter(string_split(path, '/'), lambda x: x <> '')) AS depth FROM p)"""
 
 ORACLE_SQL = {
-    "url_parts": f"WITH {_PARTS} SELECT page_id, scheme, host, site, path, depth::INT AS depth, true AS is_public, CASE WHEN regexp_matches(lower(path), '/faq') THEN 0 WHEN regexp_matches(lower(path), '/about') THEN 1 WHEN regexp_matches(lower(path), '/services?') THEN 2 WHEN regexp_matches(lower(path), '/contact') THEN 3 WHEN regexp_matches(lower(path), '/products?') THEN 4 ELSE 5 END AS crawl_priority FROM q",
+    "url_parts": f"WITH {_PARTS} SELECT page_id, scheme, host, site, path, depth::INT AS depth, CASE WHEN regexp_matches(lower(path), '/faq') THEN 0 WHEN regexp_matches(lower(path), '/about') THEN 1 WHEN regexp_matches(lower(path), '/services?') THEN 2 WHEN regexp_matches(lower(path), '/contact') THEN 3 WHEN regexp_matches(lower(path), '/products?') THEN 4 ELSE 5 END AS crawl_priority FROM q",
     "host_url_rules": f"""WITH {_PARTS}, s AS (SELECT site AS site_id, max(depth) <= 3 AS d, count(DISTINCT url) = count(*) AS u, count(*) FILTER (path <> '/') AS n, count(*) FILTER (path <> '/' AND ends_with(path, '/')) AS e FROM q GROUP BY 1)
       SELECT site_id, 'SEO-PAGE-DEPTH-001' AS rule_id, d AS passed, NULL::VARCHAR AS score_impact FROM s UNION ALL SELECT site_id, 'SEO-DUPLICATE-CONTENT-001', u, NULL FROM s
       UNION ALL SELECT site_id, 'SEO-TRAILING-SLASH-001', n < 2 OR e = 0 OR e = n, CASE WHEN n < 2 THEN 'not_applicable' END FROM s""",

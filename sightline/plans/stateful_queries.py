@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..sources.shared import scratch
+from ..streaming import gates
 from ..streaming import rate_limit as rl
 from .common import table
 
@@ -11,7 +13,10 @@ DAY_MS = 86_400_000
 
 
 def _events(spark, d):
-    e = table(spark, d, "events")
+    return _event_rows(spark, table(spark, d, "events"))
+
+
+def _event_rows(spark, e):
     ms = (F.unix_micros(F.col("ts").cast("timestamp")) / 1000).cast("long") if spark.conf.get("spark.sql.session.timeZone") == "UTC" else F.expr("timestampdiff(MILLISECOND, TIMESTAMP_NTZ '1970-01-01', CAST(ts AS TIMESTAMP_NTZ))")
     return e.select((F.col("user_id") % 100).cast("string").alias("key"), "event_id", ms.alias("at_ms"), "event_type")
 
@@ -31,7 +36,39 @@ def event_trend(spark, d):
     return rl.event_trend(e, "1 day").select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "events")
 
 
-QUERIES = {f.__name__: f for f in (rate_limited, cost_gated, event_trend)}
+def _streamed(spark, d, gate):
+    """The gate's rows for the event table read as a stream to its end; what it
+    decides is written to the shared folder and read from there."""
+    path, folder, key = f"{d}/events.parquet", scratch(spark), "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    spark.conf.set(key, gates.STORE)
+    try:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        source = spark.readStream.schema(spark.read.parquet(path).schema)
+        # a stream's source is a folder: the table's own, or the one in which its file is
+        one = at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).isFile()
+        stream = source.option("pathGlobFilter", "events.parquet").parquet(d) if one else source.parquet(path)
+        q = gate(_event_rows(spark, stream)).writeStream.format("parquet").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start(f"{folder}/out")
+        q.awaitTermination()
+    finally:
+        spark.conf.set(key, before)
+    return spark.read.parquet(f"{folder}/out")
+
+
+def cost_gated_stream(spark, d):
+    x = _streamed(spark, d, lambda e: gates.stream_cost_gate(e.withColumn("plan", F.when(F.col("event_type") == "purchase", "pro").otherwise("free")), 2, 20, 3_600_000))
+    return x.groupBy("reason").agg(F.count(F.lit(1)).alias("requests"))
+
+
+def quota_guarded_stream(spark, d):
+    """Event types as channels, two with a budget a day; a request takes one to
+    three units."""
+    budgets = spark.createDataFrame([("click", 9, 2), ("view", 1, 5)], "channel string, budget int, used int")
+    x = _streamed(spark, d, lambda e: gates.stream_quota_guard(e.select(F.col("event_type").alias("channel"), "event_id", "at_ms", (F.col("event_id") % 3 + 1).alias("units")), budgets))
+    return x.groupBy("channel").agg(F.count(F.lit(1)).alias("requests"), F.count_if("allowed").alias("allowed"), F.sum(F.when(F.col("allowed"), F.col("units"))).alias("units"), F.min("left").alias("least_left"))
+
+
+QUERIES = {f.__name__: f for f in (rate_limited, cost_gated, event_trend, cost_gated_stream, quota_guarded_stream)}
 
 ORACLE_SQL = {
     "rate_limited": """WITH RECURSIVE e AS (SELECT CAST(user_id % 100 AS VARCHAR) AS key, epoch_us(ts) // 1000 AS a, row_number() OVER (PARTITION BY user_id % 100 ORDER BY epoch_us(ts) // 1000, event_id) AS k FROM events),
@@ -47,3 +84,8 @@ ORACLE_SQL = {
       SELECT reason, count(*) AS requests FROM f GROUP BY 1""",
     "event_trend": "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS events FROM events GROUP BY 1, 2",
 }
+ORACLE_SQL["cost_gated_stream"] = ORACLE_SQL["cost_gated"]
+ORACLE_SQL["quota_guarded_stream"] = """WITH RECURSIVE e AS (SELECT event_type AS c, strftime(ts, '%Y-%m-%d') AS d, event_id % 3 + 1 AS u, CASE event_type WHEN 'click' THEN 7 WHEN 'view' THEN 0 ELSE 1000000000 END AS free, row_number() OVER (PARTITION BY event_type, strftime(ts, '%Y-%m-%d') ORDER BY epoch_us(ts) // 1000, event_id) AS k FROM events),
+  f AS (SELECT c, d, k, u, free, u <= free AS ok, CASE WHEN u <= free THEN u ELSE 0 END AS used FROM e WHERE k = 1
+    UNION ALL SELECT e.c, e.d, e.k, e.u, e.free, used + e.u <= e.free, CASE WHEN used + e.u <= e.free THEN used + e.u ELSE used END FROM f JOIN e ON e.c = f.c AND e.d = f.d AND e.k = f.k + 1)
+  SELECT c AS channel, count(*) AS requests, count(*) FILTER (ok) AS allowed, sum(u) FILTER (ok)::BIGINT AS units, min(CASE WHEN c IN ('click', 'view') THEN free - used END)::INT AS least_left FROM f GROUP BY 1"""
