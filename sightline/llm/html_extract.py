@@ -2,7 +2,8 @@
 
 Every block-level element and every run of text in one is a node with a hidden
 label, content or not.  A node's potential comes from its tag, its class and id
-words, and its text; every parent and child share a potential of their two
+words, its text, and how much of the page's text and links lie below it and
+where; every parent and child share a potential of their two
 labels.  On a tree, sum-product messages passed upward and then downward give
 exact marginals, for all pages of a batch at once, level by level.  The weights
 maximise the likelihood of labelled pages, with the same messages as gradient.
@@ -67,14 +68,16 @@ _HINT = {w: h for h, words in HINTS.items() for w in words.split()}
 TAGS = sorted(BLOCK - {"html", "hr"})
 FEATURES = [
     "bias", "leaf", *(f"tag:{t}" for t in TAGS), *(f"hint:{h}" for h in HINTS), "hidden",
-    *(f"in:{t}" for t in ("p", "li", "h", "td", "div", "other")), *(f"words:{k}" for k in range(6)), *(f"links:{k}" for k in range(4)), "stop", "mark", "depth:0", "depth:1", "depth:2",
+    *(f"in:{t}" for t in ("p", "li", "h", "td", "div", "other")), *(f"words:{k}" for k in range(6)), *(f"links:{k}" for k in range(4)), "stop", "mark", "mixed",
+    *(f"bulk:{k}" for k in range(6)), *(f"linked:{k}" for k in range(5)), *(f"runs:{k}" for k in range(4)), *(f"starts:{k}" for k in range(4)), *(f"ends:{k}" for k in range(3)), "marks", *(f"says:{h}" for h in HINTS), *(f"said:{h}" for h in HINTS), *(f"after:{h}" for h in HINTS),
 ]
 _AT = {f: i for i, f in enumerate(FEATURES)}
+_HEADINGS = frozenset(_AT[f"tag:h{k}"] for k in range(1, 7))
 _MARK = re.compile("©|\\(c\\) ?\\d{4}|all rights reserved|copyright", re.I)
 
 
 def _features_of(tag: str, attrs: str) -> tuple[int, ...]:
-    out = {_AT["bias"]}
+    out, hints = {_AT["bias"]}, set()
     if f"tag:{tag}" in _AT:
         out.add(_AT[f"tag:{tag}"])
     for name, value in _ATTR.findall(attrs) if attrs.strip() else ():
@@ -83,8 +86,11 @@ def _features_of(tag: str, attrs: str) -> tuple[int, ...]:
             for w in _WORD.findall(value):
                 if w.lower() in _HINT:
                     out.add(_AT[f"hint:{_HINT[w.lower()]}"])
+                    hints.add(_HINT[w.lower()] == "content")
         elif name == "hidden" or (name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value)) or (name == "aria-hidden" and value == "true"):
             out.add(_AT["hidden"])
+    if len(hints) == 2:
+        out.add(_AT["mixed"])
     return tuple(sorted(out))
 
 
@@ -192,6 +198,21 @@ class Open:
         return links
 
 
+#: Words of short runs that say what follows, in four languages, by the hint.
+SAYINGS = {
+    "nav": "menu home accueil startseite inicio", "side": "related similaires verwandte relacionados recommended popular trending ähnliche", "ad": "advertisement sponsored werbung anzeige publicité publicidad anuncio", "notice": "cookies cookie newsletter subscribe abonnieren suscribirse privacy",
+    "comment": "comments comment commentaires commentaire kommentare kommentar comentarios comentario replies antworten réponses respuestas responses discussion", "form": "search suche recherche buscar login register", "share": "share teilen partager compartir follow tags", "footer": "copyright imprint impressum",
+}
+_SAYING = {w: h for h, words in SAYINGS.items() for w in words.split()}
+
+
+def _short_hint(text: str) -> str | None:
+    """What a run of at most four words says by one of them."""
+    if len(text) > 60 or text.count(" ") > 3:
+        return None
+    return next((_SAYING[w] for w in re.findall(r"[^\W\d_]+", text.lower()) if w in _SAYING), None)
+
+
 class Tree:
     """The nodes of one page: parent and features, and the text of leaves."""
 
@@ -200,7 +221,9 @@ class Tree:
         self.features: list[tuple[int, ...]] = []
         self.depth: list[int] = []
         self.leaves: list[tuple[int, str]] = []
+        self.linked: list[int] = []  # characters of each leaf that are links
         self._build(html)
+        self._measure()
 
     def _node(self, parent: int, features: tuple[int, ...]) -> int:
         self.parent.append(parent)
@@ -221,6 +244,7 @@ class Tree:
                 text = " ".join("".join(run).split())
                 if text:
                     self.leaves.append((self._node(open_.node(), self._leaf_features(text, linked, links, open_.block())), text))
+                    self.linked.append(min(linked, len(text)))
                 run = []
             linked = links = 0
 
@@ -294,6 +318,51 @@ class Tree:
             open_.push(tag, self._node(open_.node(), _element_features(tag, attrs)))
         flush()
 
+    def _measure(self) -> None:
+        """Features of what lies below each element and where in the page."""
+        n, count = len(self.parent), len(self.leaves)
+        chars, linked, runs, first, last, mark = [0] * n, [0] * n, [0] * n, [count] * n, [-1] * n, [0] * n
+        says: list[str | None] = [None] * n
+        for i, ((k, text), of) in enumerate(zip(self.leaves, self.linked, strict=True)):
+            chars[k], linked[k], runs[k], first[k], last[k], mark[k] = len(text), of, 1, i, i, bool(_MARK.search(text))
+            said = _short_hint(text)
+            if said:
+                says[k] = said
+                self.features[k] += (_AT[f"said:{said}"],)
+        for k in range(n - 1, 0, -1):  # children come after their parents
+            p = self.parent[k]
+            chars[p] += chars[k]
+            linked[p] += linked[k]
+            runs[p] += runs[k]
+            mark[p] += mark[k]
+            # an element says what its first run says
+            if first[k] < first[p]:
+                first[p], says[p] = first[k], says[k]
+            last[p] = max(last[p], last[k])
+        # what a short run says holds for the elements after it, up to the next heading
+        holds: dict[int, str | None] = {}
+        for k in range(1, n):
+            p = self.parent[k]
+            if runs[k] == 1 and says[k]:
+                holds[p] = says[k]
+            elif not _HEADINGS.isdisjoint(self.features[k]):
+                holds[p] = None
+            elif holds.get(p):
+                self.features[k] += (_AT[f"after:{holds[p]}"],)
+        leaf = {k for k, _ in self.leaves}
+        total = max(chars[0], 1)
+        for k in range(1, n):
+            if k in leaf or not runs[k]:
+                continue
+            share, links = chars[k] / total, linked[k] / max(chars[k], 1)
+            out = [_AT[f"bulk:{sum(share > x for x in (0.02, 0.1, 0.3, 0.6, 0.9))}"], _AT[f"linked:{sum(links > x for x in (0, 0.1, 0.4, 0.8))}"], _AT[f"runs:{sum(runs[k] > x for x in (1, 4, 12))}"]]
+            out += [_AT[f"starts:{0 if first[k] == 0 else 1 + sum(first[k] / count > x for x in (0.3, 0.7))}"], _AT[f"ends:{2 if last[k] == count - 1 else int(last[k] / count > 0.6)}"]]
+            if mark[k] and chars[k] < 300:
+                out.append(_AT["marks"])
+            if says[k]:
+                out.append(_AT[f"says:{says[k]}"])
+            self.features[k] += tuple(out)
+
     def _leaf_features(self, text: str, linked: int, links: int, tag: str) -> tuple[int, ...]:
         where = {"p": "p", "li": "li", "td": "td", "th": "td", "div": "div"}.get(tag, "h" if len(tag) == 2 and tag[0] == "h" else "other")
         words = text.count(" ") + 1
@@ -488,9 +557,75 @@ def labelled_pages(count: int = 400, seed: int = 20240607) -> list[tuple[str, li
     return pages
 
 
+def other_pages(count: int = 400, seed: int = 7) -> list[tuple[str, list[str]]]:
+    """Pages unlike the others' layouts: tables that place everything, elements
+    without telling names, names that mislead, definition lists, comments that only
+    their heading tells, markup of content systems."""
+    rng = random.Random(seed)
+    parts = "al ber cor den est fan gor hil ist jun kel lor mar nen ost pir qua ron sil tor und ver wol yor zan er en ly ness able heit keit mente eur".split()
+    word = lambda: "".join(rng.choice(parts) for _ in range(rng.randint(1, 3)))
+    words = lambda a, b: " ".join(word() for _ in range(rng.randint(a, b)))
+    prose = lambda a=1, b=5: " ".join(words(3, 16).capitalize() + rng.choice([".", ".", "!", "?"]) for _ in range(rng.randint(a, b)))
+    pick, chance = rng.choice, lambda p: rng.random() < p
+    links = lambda a=3, b=8, sep=" ": sep.join(f'<a href="/{word()}">{words(1, 3).capitalize()}</a>' for _ in range(rng.randint(a, b)))
+    blank = lambda: pick(["", "", f' class="c{rng.randint(1, 99)}"', f' class="{word()}"', f' id="x{rng.randint(1, 99)}"', ' style="float:left"'])
+    misleading = lambda: f' class="{pick(["article-more-text social-page", "post comments-open", "content-header-wide", "text sidebar-right-layout", "story footer-less", "article tags-on", "main-banner-layout content", "page-menu-open", "entry related-topic", "with-ads body-text", "no-sidebar", "popular-post", "message-body", "top-story", "social-content"])}"'
+    saying = lambda kind: pick(SAYINGS[kind].split()).capitalize()
+
+    pages = []
+    for _ in range(count):
+        wanted: list[str] = []
+
+        def keep(text: str) -> str:
+            wanted.append(text)
+            return text
+
+        def block() -> str:
+            k = rng.random()
+            if k < 0.5:
+                return f"<p{blank()}>{keep(prose(1, 6) if chance(0.9) else words(1, 6).capitalize())}</p>"
+            if k < 0.6:
+                return f"<{(h := pick(['h2', 'h3']))}>{keep(words(1, 6).capitalize())}</{h}>"
+            if k < 0.7:
+                return f"<dl>{''.join(f'<dt>{keep(words(1, 3).capitalize())}</dt><dd>{keep(pick([words(1, 4), prose(1, 1)]))}</dd>' for _ in range(rng.randint(1, 4)))}</dl>"
+            if k < 0.78:
+                return f"<{(t := pick(['ul', 'ol']))}>{''.join(f'<li>{keep(pick([words(1, 8), prose(1, 1)]))}</li>' for _ in range(rng.randint(2, 5)))}</{t}>"
+            if k < 0.84:
+                return f"<table>{''.join(f'<tr><th>{keep(words(1, 2))}</th><td>{keep(words(1, 4))}</td></tr>' for _ in range(rng.randint(2, 4)))}</table>"
+            if k < 0.9:
+                return f"<div{pick([blank(), misleading()])}>{keep(prose(1, 4))}</div>"
+            before, after = pick([("<blockquote>", "</blockquote>"), ("<pre>", "</pre>"), ("<figure><img src=a><figcaption>", "</figcaption></figure>")])
+            return before + keep(pick([prose(1, 2), words(3, 9)])) + after
+
+        title = f"<h1>{keep(words(2, 8).capitalize())}</h1>" if chance(0.85) else ""
+        text = title + "".join(block() for _ in range(pick([1, 2, 2, 3, 4, 6, 9])))
+        menu, foot = pick([links(), links(3, 8, " | "), links(3, 8, "<br>"), f"<ul><li>{links(3, 7, '</li><li>')}</li></ul>"]), pick([f"Copyright 20{rng.randint(10, 26)} {words(1, 3).capitalize()} Ltd.", f"© {words(1, 2)}. All rights reserved.", f"{links(2, 5, ' · ')} © {word()}", f"{words(2, 5).capitalize()} {links(2, 4)}"])
+        comments = f"<{(h := pick(['h2', 'h3', 'h4', 'b', 'p']))}>{pick(['', f'{rng.randint(1, 40)} '])}{saying('comment')}</{h}>" + pick(["".join(f"<div><b>{word()}</b><p>{prose(1, 3)}</p></div>" for _ in range(rng.randint(1, 4))), f"<ul>{''.join(f'<li>{word()}: {prose(1, 2)}</li>' for _ in range(rng.randint(1, 4)))}</ul>", "".join(f"<p>{prose(1, 3)}</p>" for _ in range(rng.randint(1, 3)))])
+        comments = pick([f"<div{blank()}>{comments}</div>", f"<section>{comments}</section>"]) if chance(0.3) else ""
+        side = pick([f"<h3>{saying('side')}</h3>{pick([links(2, 6, '<br>'), f'<ul><li>{links(2, 6, chr(60) + "/li>" + chr(60) + "li>")}</li></ul>'])}", f"<h4>{saying('ad')}</h4><p>{prose(1, 1)}</p>", f"<p>{saying('notice')} {words(2, 6)}</p><button>{word()}</button>"]) if chance(0.5) else ""
+        kind = pick(["table", "soup", "misled", "cms", "plain"])
+        if kind == "table":
+            body = f"<table width=100%>{f'<tr><td colspan=2>{words(1, 3)}</td></tr>' if chance(0.5) else ''}<tr>{pick([f'<td>{menu}</td><td>{text}{comments}</td>', f'<td colspan=2>{menu}</td></tr><tr><td>{text}{comments}</td><td>{side}</td>', f'<td>{menu}{side}</td><td>{text}{comments}</td>'])}</tr>{f'<tr><td colspan=2>{foot}</td></tr>' if chance(0.8) else ''}</table>"
+        elif kind == "soup":
+            side = f"<div{blank()}>{side}</div>" if side else ""
+            body = f"<div{blank()}><div{blank()}>{menu}</div>{side if chance(0.5) else ''}<div{blank()}>{text}{comments if chance(0.3) else ''}</div>{comments}<div{blank()}>{foot}</div></div>" if not comments or chance(0.5) else f"<div{blank()}>{menu}</div><div{blank()}>{text}</div><div{blank()}>{comments}</div><div{blank()}>{foot}</div>"
+        elif kind == "misled":
+            tag = pick(["div", "div", "section", "article"])
+            inner = f"<{tag}{misleading()}>{text}</{tag}>"
+            body = pick([inner, f"<nav>{menu}</nav>{inner}", f"<div{misleading()}>{inner}</div><footer>{foot}</footer>", f"<header>{menu}</header>{inner}<aside>{side or links()}</aside><footer>{foot}</footer>"])
+        elif kind == "cms":
+            body = f'<div id="page" class="site"><header id="masthead" class="site-header"><p class="site-title">{words(1, 3)}</p><nav class="main-navigation">{menu}</nav></header><div id="content" class="site-content"><main class="site-main"><article class="post type-post hentry"><header class="entry-header">{title}</header><div class="entry-content">{text[len(title):]}</div></article>{f"<div class=comments-area>{comments}</div>" if comments else ""}</main></div>{f"<aside class=widget-area>{side}</aside>" if side else ""}<footer class="site-footer">{foot}</footer></div>'
+        else:
+            main = pick(["main", "article", "body"])
+            body = f"<main>{text}</main>" if main == "main" else f"<article>{text}</article>" if main == "article" else text
+            body = pick(["", f"<p>{menu}</p>", f"<div>{menu}</div>"]) + body + comments + pick(["", f"<hr><p>{foot}</p>", f"<div>{foot}</div>"])
+        pages.append((f"<html><head><title>{words(1, 4)}</title></head><body>{body}" + pick(["</body></html>", ""]), wanted))
+    return pages
+
+
 @cache
 def default_model() -> tuple[np.ndarray, np.ndarray]:
-    return train(labelled_pages())
+    return train([*labelled_pages(), *other_pages()])
 
 
 #: Pages whose trees are in memory at once, and the characters of HTML in them.
