@@ -69,7 +69,7 @@ TAGS = sorted(BLOCK - {"html", "hr"})
 FEATURES = [
     "bias", "leaf", *(f"tag:{t}" for t in TAGS), *(f"hint:{h}" for h in HINTS), "hidden",
     *(f"in:{t}" for t in ("p", "li", "h", "td", "div", "other")), *(f"words:{k}" for k in range(6)), *(f"links:{k}" for k in range(4)), "stop", "mark", "mixed",
-    *(f"bulk:{k}" for k in range(6)), *(f"linked:{k}" for k in range(5)), *(f"runs:{k}" for k in range(4)), *(f"starts:{k}" for k in range(4)), *(f"ends:{k}" for k in range(3)), "marks", *(f"says:{h}" for h in HINTS), *(f"said:{h}" for h in HINTS), *(f"after:{h}" for h in HINTS),
+    *(f"bulk:{k}" for k in range(6)), *(f"linked:{k}" for k in range(5)), *(f"runs:{k}" for k in range(4)), *(f"starts:{k}" for k in range(4)), *(f"ends:{k}" for k in range(3)), "marks", *(f"says:{h}" for h in HINTS), *(f"said:{h}" for h in HINTS), *(f"after:{h}" for h in HINTS), "bare:0", "bare:1", "bare:2",
 ]
 _AT = {f: i for i, f in enumerate(FEATURES)}
 _HEADINGS = frozenset(_AT[f"tag:h{k}"] for k in range(1, 7))
@@ -329,6 +329,9 @@ class Tree:
             if said:
                 says[k] = said
                 self.features[k] += (_AT[f"said:{said}"],)
+            p = self.parent[k]
+            if count > 1 and (p == 0 or _AT["tag:body"] in self.features[p]):  # no other element holds it
+                self.features[k] += (_AT[f"bare:{0 if i == 0 else 2 if i == count - 1 else 1}"],)
         for k in range(n - 1, 0, -1):  # children come after their parents
             p = self.parent[k]
             chars[p] += chars[k]
@@ -618,7 +621,7 @@ def other_pages(count: int = 400, seed: int = 7) -> list[tuple[str, list[str]]]:
         else:
             main = pick(["main", "article", "body"])
             body = f"<main>{text}</main>" if main == "main" else f"<article>{text}</article>" if main == "article" else text
-            body = pick(["", f"<p>{menu}</p>", f"<div>{menu}</div>"]) + body + comments + pick(["", f"<hr><p>{foot}</p>", f"<div>{foot}</div>"])
+            body = pick(["", f"<p>{menu}</p>", f"<div>{menu}</div>", f"{menu}<hr>"]) + body + comments + pick(["", f"<hr><p>{foot}</p>", f"<div>{foot}</div>", f"<hr>{foot}"])
         pages.append((f"<html><head><title>{words(1, 4)}</title></head><body>{body}" + pick(["</body></html>", ""]), wanted))
     return pages
 
