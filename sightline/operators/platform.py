@@ -64,6 +64,10 @@ NO_SERVICE = ["서울", "강남구", "영업시간", "방문자"]
 SERVICE_FIRST = ["coffee", "brunch", "dessert", "beans", "menu", "booking", "reservation", "review", "reviews", "photos"]
 HINTS = {"booking_hint": "예약|booking", "recent_hint": "최근|오늘|이번|업데이트|게시|영상|블로그", "review_hint": "리뷰|별점|후기|평점", "photo_hint": "사진|이미지|photo|image"}
 SERVICES = 12
+#: What is said of every platform page (after its label), and the
+#: categories that it concerns.
+LIMITATIONS = [("PLATFORM_PUBLIC_HTML_ONLY", "의 공개 HTML과 메타데이터에서 확인 가능한 신호만 수집했습니다."), ("PLATFORM_EDIT_SCOPE_LIMITED", "에서 직접 수정할 수 없는 기술 항목은 점수 감점이 아닌 참고 제한으로 처리합니다.")]
+LIMITED = ["seo", "aeo", "geo"]
 
 
 def platform_presence(pages: DataFrame) -> DataFrame:
@@ -89,10 +93,29 @@ def platform_presence(pages: DataFrame) -> DataFrame:
     confidence = F.when(F.char_length("_body") < 80, "low").when(F.col("source_type").isin("instagram", "facebook"), "medium").otherwise("high")
     return x.select(
         "site_id", "source_type", surface_kind(F.col("source_type"), F.col("url")).alias("surface_kind"), "name", "description", "phone", "address", F.split("address", r"\s+")[0].alias("region"), "opening_hours",
-        F.slice(F.array_union(first_words, "_words"), 1, SERVICES).alias("services"), *HINTS, confidence.alias("confidence"),
+        F.slice(F.array_union(first_words, "_words"), 1, SERVICES).alias("services"), *HINTS, confidence.alias("confidence"), label.alias("source_label"), limitations(label).alias("limitations"),
     )
 
 
+def limitations(label: Column) -> Column:
+    """What a platform's page can't show, in words with the platform's name."""
+    return F.array(*(F.struct(F.lit(code).alias("code"), F.concat(label, F.lit(said)).alias("message"), F.array(*map(F.lit, LIMITED)).alias("categories")) for code, said in LIMITATIONS))
+
+
+def normalized_pages(pages: DataFrame, presence: DataFrame) -> DataFrame:
+    """pages (site_id, title, h1, description, canonical_url and more) as rules may
+    look at them: a platform page's title and h1 are the business's name where it
+    has one, its description is what was found, it has no canonical url, and
+    ``local_business`` is a JSON-LD entry of what is known (unknown fields are
+    null).  Pages of sites that presence lacks stay as they are, with a null entry."""
+    entry = F.to_json(F.struct(F.lit("https://schema.org").alias("@context"), F.lit("LocalBusiness").alias("@type"), "name", F.col("description"), "address", F.col("phone").alias("telephone"), F.col("opening_hours").alias("openingHours")), {"ignoreNullFields": "false"})
+    p = presence.select("site_id", F.col("name").alias("_name"), F.col("description").alias("_description"), entry.alias("local_business"))
+    x = pages.join(p, "site_id", "left")
+    of = F.col("local_business").isNotNull()
+    fields = {"title": F.coalesce("_name", "title"), "h1": F.coalesce("_name", "h1"), "description": F.when(of, F.col("_description")).otherwise(F.col("description")), "canonical_url": F.when(~of, F.col("canonical_url"))}
+    return x.withColumns(fields).drop("_name", "_description")
+
+
 def merge_presence(surfaces: DataFrame, services: int = 20) -> DataFrame:
     """surfaces: site_id, pos, name, services.  First name that is not blank and
     the first distinct services of a site."""

@@ -98,6 +98,14 @@ def duplicate_ratio(terms: DataFrame, pages: DataFrame, threshold: float = 0.7)
     return n.join(high, "site_id", "left").select("site_id", F.col("n").alias("pages"), F.coalesce("high", F.lit(0)).cast("long").alias("duplicate_pairs"), ratio.alias("duplicate_ratio"))
 
 
+def site_totals(pages: DataFrame) -> DataFrame:
+    """pages: site_id, word_count.  Pages, words and words a page (two digits) of a
+    site; a null count is 0."""
+    words = F.sum(F.coalesce("word_count", F.lit(0)).cast("long"))
+    s = pages.groupBy("site_id").agg(F.count(F.lit(1)).alias("pages"), words.alias("words"))
+    return s.withColumn("average", half_up(F.col("words") / F.col("pages"), 2))
+
+
 def targets_keyword(keyword: Column, title: Column, h1: Column, h2: Column, body: Column) -> Column:
     """Whether a page targets a keyword: in its title, h1 or an h2, or at least
     three times in its body, case aside."""
