@@ -114,6 +114,48 @@ def upsert(old: DataFrame, new: DataFrame, key: str, version: str) -> DataFrame:
     return both.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n", "_new")
 
 
+#: What a change may set of a business.
+BUSINESS_FIELDS = ["name", "category", "region", "place_id", "homepage_url"]
+
+
+def changed_businesses(businesses: DataFrame, changes: DataFrame) -> DataFrame:
+    """businesses: id, account_id, BUSINESS_FIELDS, created_at, updated_at,
+    deleted_at.  changes: id, at, account_id, a column for each field and ``set``,
+    the names of the fields that the change sets (to null too).  The table after
+    all changes, in the order of at.
+
+    A change of an unknown id creates a business with what it sets; a field's value
+    is that of the last change that sets it, and a name set to null is empty.  A
+    business that is deleted is not changed.  Changes are summed up to one row an
+    id before the tables meet, each field by the latest change that sets it."""
+    last = changes.groupBy("id").agg(
+        F.min("at").alias("_first"), F.max("at").alias("_last"), F.min_by("account_id", "at").alias("_account"),
+        *(F.max_by(F.struct(F.col(f).alias("v")), F.when(F.array_contains("set", f), F.col("at"))).alias(f"_{f}") for f in BUSINESS_FIELDS),
+    )
+    x = businesses.withColumn("_old", F.lit(True)).join(last, "id", "full")
+    open_ = F.col("deleted_at").isNull() & F.col("_last").isNotNull()
+    new = F.col("_old").isNull()
+    value = {f: F.when(open_ & F.col(f"_{f}").isNotNull(), F.col(f"_{f}.v")).otherwise(F.col(f)) for f in BUSINESS_FIELDS}
+    value["name"] = F.coalesce(value["name"], F.when(open_, F.lit("")))
+    return x.select(
+        "id", F.when(new, F.col("_account")).otherwise(F.col("account_id")).alias("account_id"), *(value[f].alias(f) for f in BUSINESS_FIELDS),
+        F.when(new, F.col("_first")).otherwise(F.col("created_at")).alias("created_at"), F.when(open_, F.col("_last")).otherwise(F.col("updated_at")).alias("updated_at"), "deleted_at",
+    )
+
+
+def found_businesses(businesses: DataFrame, wanted: DataFrame) -> DataFrame:
+    """wanted: request, id, place_id, account_id, of which one is given.  Each
+    request with ``found``, the id of the business that is not deleted: by its id,
+    by its place, or an account's latest (of equally new ones the greatest id);
+    null if there is none.  Three joins on equal keys, each side one row a key."""
+    live = businesses.where("deleted_at IS NULL")
+    by_id = live.select(F.col("id"), F.col("id").alias("_by_id")).distinct()
+    by_place = live.where("place_id IS NOT NULL").groupBy("place_id").agg(F.max("id").alias("_by_place"))
+    by_account = live.where("account_id IS NOT NULL").groupBy("account_id").agg(F.max_by("id", F.struct("created_at", "id")).alias("_by_account"))
+    x = wanted.join(by_id, "id", "left").join(by_place, "place_id", "left").join(by_account, "account_id", "left")
+    return x.select("request", F.when(F.col("id").isNotNull(), F.col("_by_id")).when(F.col("place_id").isNotNull(), F.col("_by_place")).otherwise(F.col("_by_account")).alias("found"))
+
+
 def latest_scan_keywords(scans: DataFrame, keywords: DataFrame, k: int = 5) -> DataFrame:
     """The k best keywords of each business's last scan."""
     last = scans.groupBy("business_id").agg(F.max_by("scan_id", F.struct("created_at", "scan_id")).alias("scan_id"))

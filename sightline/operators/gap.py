@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scoring import grouped_items
+
 from .scoring import lookup
 
 #: Fixed values of the gap ranking.
@@ -71,3 +73,13 @@ def gap_rows_with_rivals(rows: DataFrame, rivals: DataFrame) -> DataFrame:
     rival is not known are left out."""
     r = rivals.select(F.col("id").alias("rival_id"), F.col("name").alias("rival_name"), F.col("url").alias("rival_url"))
     return rows.join(r, "rival_id")
+
+
+#: The categories of a matrix, in their order.
+CATEGORIES = ["seo", "aeo", "geo", "perf"]
+
+
+def grouped_matrix(matrix: DataFrame, key: str, domain: list[str]) -> DataFrame:
+    """A row for each site and value of domain with ``items``, the rows of the
+    matrix (gap_matrix) with it, largest gap first; empty where there is none."""
+    return grouped_items(matrix.withColumn("position", F.col("place")), key, domain)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import korean
 from ..functions.language import WORD_END
-from ..operators import calibration, channels, citations, competitors, creator, platform, scoring
+from ..operators import admin, calibration, channels, citations, competitors, creator, gap, platform, scoring
 from ..functions import text as T
 from ..functions import urls
 from ..sources import reports
@@ -116,7 +116,34 @@ def item_labels(spark, d):
     return x.select("p_partkey", platform.channel(kind).alias("channel"), platform.category_label(kind).alias("label"), platform.action_tier(action).alias("tier"), F.floor(cost * 1e6 + 0.5).cast("long").alias("usd_millionths"), T.strip_tags(html).alias("text"))
 
 
-QUERIES = {f.__name__: f for f in (items_by_action, items_with_rules, module_results, site_reports, calibration_text, top_nouns, facet_questions, creator_keywords, url_forms, site_lights, item_labels)}
+def gap_by_action(spark, d):
+    """The gap matrix by action, largest gap first."""
+    g = gap.grouped_matrix(gap.gap_matrix(*analysis_queries._gap_rows(spark, d)), "action_type", scoring.ACTIONS)
+    return g.select("site_id", "action_type", F.array_join(F.transform("items", lambda i: i["rule_id"]), ",").alias("rules"))
+
+
+def changed_businesses(spark, d):
+    """Customers as businesses, some deleted; orders as changes of a field or two,
+    some of businesses that are not there yet."""
+    c, o = F.col("c_custkey"), F.col("o_orderkey")
+    at = lambda n: F.lit("1998-01-01").cast("timestamp_ntz") + F.make_dt_interval((n % 900).cast("int"))
+    b = table(spark, d, "customer").select(c.alias("id"), (c % 40).alias("account_id"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("category"), F.lit(None).cast("string").alias("region"), F.when(c % 3 == 0, F.concat(F.lit("p"), c)).alias("place_id"), F.lit("u").alias("homepage_url"), at(c).alias("created_at"), at(c).alias("updated_at"), F.when(c % 11 == 0, at(c)).alias("deleted_at"))
+    sets = [["name"], ["category", "region"], ["homepage_url"], ["name", "place_id"], []]
+    given = F.coalesce(*(F.when(o % 5 == i, F.array(*map(F.lit, x)).cast("array<string>")) for i, x in enumerate(sets)))
+    text = lambda p: F.when(o % 7 != 0, F.concat(F.lit(p), o))
+    ch = table(spark, d, "orders").select((F.col("o_custkey") + F.when(o % 13 == 0, 1_000_000).otherwise(0)).alias("id"), (F.lit("2000-01-01").cast("timestamp_ntz") + F.make_dt_interval(o.cast("int"))).alias("at"), (o % 40).alias("account_id"), text("n").alias("name"), text("c").alias("category"), text("r").alias("region"), text("p").alias("place_id"), text("u").alias("homepage_url"), given.alias("set"))
+    return admin.changed_businesses(b, ch)
+
+
+def found_businesses(spark, d):
+    """Parts as requests for businesses (customers) by id, by place or by account."""
+    c, k = F.col("c_custkey"), F.col("p_partkey")
+    b = table(spark, d, "customer").select(c.alias("id"), F.when(c % 2 == 0, F.concat(F.lit("p"), F.floor(c / 4))).alias("place_id"), F.when(c % 5 != 0, c % 60).alias("account_id"), (c % 17).alias("created_at"), F.when(c % 7 == 0, 1).alias("deleted_at"))
+    w = table(spark, d, "part").select(k.alias("request"), F.when(k % 3 == 0, k).alias("id"), F.when(k % 3 == 1, F.concat(F.lit("p"), k)).alias("place_id"), F.when(k % 3 == 2, k % 70).alias("account_id"))
+    return admin.found_businesses(b, w)
+
+
+QUERIES = {f.__name__: f for f in (gap_by_action, changed_businesses, found_businesses, items_by_action, items_with_rules, module_results, site_reports, calibration_text, top_nouns, facet_questions, creator_keywords, url_forms, site_lights, item_labels)}
 
 _say = lambda x: "'" + x.replace("'", "''") + "'"
 _PLACED = _ITEMS + ", k AS (SELECT *, row_number() OVER (PARTITION BY site_id ORDER BY rank, hard, impact_score DESC, item_id)::INT AS position, ['high', 'medium', 'low'][rank + 1] AS priority, ['easy', 'medium', 'hard'][hard + 1] AS difficulty FROM j) "
@@ -194,3 +221,13 @@ ORACLE_SQL["site_reports"] = (
   SELECT site_id, to_json(struct_pack(version := '{reports.VERSION}', site_id := site_id::VARCHAR, scores := struct_pack(overall := overall, seo := seo, aeo := aeo, geo := geo, perf := perf, grade := CASE WHEN overall >= 80 THEN 'excellent' WHEN overall >= 60 THEN 'good' WHEN overall >= 40 THEN 'fair' ELSE 'poor' END, disclaimer := {_say(reports.DISCLAIMER)}),
     summary := struct_pack(headline := {_first("overall", reports.HEADLINES[:-1], reports.HEADLINES[-1][1])}, top_issues := coalesce(top, []), action_counts := struct_pack({", ".join(f"{a} := coalesce({a}, 0)" for a in scoring.ACTIONS)})), items := coalesce(items, [])))::VARCHAR AS report FROM o LEFT JOIN z USING (site_id)"""
 )
+_say_field = lambda f, p, hit: f"CASE WHEN {hit} AND deleted_at IS NULL THEN CASE WHEN z{f} % 7 <> 0 THEN '{p}' || z{f} END ELSE {f} END"
+ORACLE_SQL["gap_by_action"] = analysis_queries._GAP_SQL + f", a AS (SELECT unnest([{', '.join(map(_say, scoring.ACTIONS))}]) AS action_type), s AS (SELECT DISTINCT site_id FROM m) SELECT s.site_id, a.action_type, coalesce(string_agg(rule_id, ',' ORDER BY place), '') AS rules FROM s CROSS JOIN a LEFT JOIN m ON m.site_id = s.site_id AND m.action_type = a.action_type GROUP BY 1, 2"
+ORACLE_SQL["changed_businesses"] = f"""WITH b AS (SELECT c_custkey AS id, c_custkey % 40 AS account_id, c_name AS name, c_mktsegment AS category, NULL::VARCHAR AS region, CASE WHEN c_custkey % 3 = 0 THEN 'p' || c_custkey END AS place_id, 'u' AS homepage_url, TIMESTAMP '1998-01-01' + to_days((c_custkey % 900)::INT) AS created_at, CASE WHEN c_custkey % 11 = 0 THEN TIMESTAMP '1998-01-01' + to_days((c_custkey % 900)::INT) END AS deleted_at FROM customer),
+  h AS (SELECT o_custkey + CASE WHEN o_orderkey % 13 = 0 THEN 1000000 ELSE 0 END AS id, o_orderkey AS o FROM orders),
+  l AS (SELECT id, min(o) AS a, max(o) AS z, max(o) FILTER (o % 5 IN (0, 3)) AS zname, max(o) FILTER (o % 5 = 1) AS zcategory, max(o) FILTER (o % 5 = 1) AS zregion, max(o) FILTER (o % 5 = 3) AS zplace_id, max(o) FILTER (o % 5 = 2) AS zhomepage_url FROM h GROUP BY 1)
+  SELECT coalesce(b.id, l.id) AS id, CASE WHEN b.id IS NULL THEN a % 40 ELSE account_id END AS account_id, CASE WHEN z IS NOT NULL AND deleted_at IS NULL THEN coalesce({_say_field("name", "n", "zname IS NOT NULL")}, '') ELSE name END AS name, {", ".join(f"{_say_field(f, f[0] if f != 'homepage_url' else 'u', f'z{f} IS NOT NULL')} AS {f}" for f in ("category", "region", "place_id", "homepage_url"))},
+    CASE WHEN b.id IS NULL THEN TIMESTAMP '2000-01-01' + to_days(a::INT) ELSE created_at END AS created_at, CASE WHEN z IS NOT NULL AND deleted_at IS NULL THEN TIMESTAMP '2000-01-01' + to_days(z::INT) ELSE created_at END AS updated_at, deleted_at FROM b FULL JOIN l ON b.id = l.id"""
+ORACLE_SQL["found_businesses"] = """WITH b AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 2 = 0 THEN 'p' || c_custkey // 4 END AS place_id, CASE WHEN c_custkey % 5 <> 0 THEN c_custkey % 60 END AS account_id, c_custkey % 17 AS t FROM customer WHERE c_custkey % 7 <> 0),
+  p AS (SELECT place_id, max(id) AS id FROM b GROUP BY 1), a AS (SELECT account_id, arg_max(id, t * 100000000 + id) AS id FROM b GROUP BY 1)
+  SELECT p_partkey AS request, CASE p_partkey % 3 WHEN 0 THEN b.id WHEN 1 THEN p.id ELSE a.id END AS found FROM part LEFT JOIN b ON b.id = p_partkey LEFT JOIN p ON p.place_id = 'p' || p_partkey LEFT JOIN a ON a.account_id = p_partkey % 70"""
