@@ -40,8 +40,11 @@ class RuleSpec:
 
 
 # ---- small words for the expressions below
-#: The expressions of one evaluation; each has a dictionary of its own.
+#: The expressions of one building of rules; each has a dictionary of its own.
 _built: ContextVar[dict] = ContextVar("built")
+#: The catalogue's rules as built for a JVM: they name columns and are bound to no
+#: table or session, so later evaluations take them as they are.
+_ready: dict[int, dict[str, Column]] = {}
 
 
 def shared(build: Callable[..., Column]) -> Callable[..., Column]:
@@ -468,19 +471,28 @@ def evaluate(context: DataFrame, rules: list[RuleSpec] | None = None, as_of_year
     Which rules to run is a list, so a caller can leave out whole categories.
     Rules look at one row each, so nothing is shuffled."""
     rules = RULES if rules is None else rules
-    _built.set({})
     x = context.withColumn("as_of_year", F.lit(as_of_year))
     for name in ("link_depth", "unreachable"):
         if name not in x.columns:
             x = x.withColumn(name, F.lit(None).cast("long"))
-    rows = []
-    for pos, r in enumerate(rules):
-        rows.append(F.struct(
-            F.lit(pos).alias("rule_pos"), F.lit(r.rule_id).alias("rule_id"), F.lit(r.category).alias("category"), F.coalesce(r.passed(), F.lit(False)).alias("passed"),
+    _built.set({})
+    known = _ready.setdefault(id(context.sparkSession.sparkContext._gateway), {})
+    rows = [F.struct(F.lit(pos).alias("rule_pos"), _outcome(r, known).alias("r")) for pos, r in enumerate(rules)]
+    return x.select("site_id", F.inline(F.array(*rows))).select("site_id", "rule_pos", "r.*")
+
+
+def _outcome(r: RuleSpec, known: dict[str, Column]) -> Column:
+    """The result of a rule; one of the catalogue is built once."""
+    if r not in RULES or r.rule_id not in known:
+        built = F.struct(
+            F.lit(r.rule_id).alias("rule_id"), F.lit(r.category).alias("category"), F.coalesce(r.passed(), F.lit(False)).alias("passed"),
             (r.severity_when() if r.severity_when else F.lit(r.severity)).alias("severity"), F.lit(r.weight).alias("rule_weight"),
             (r.score_impact() if r.score_impact else F.lit(None)).cast("string").alias("score_impact"), F.lit(r.action).alias("action_type"), F.lit(r.difficulty).alias("difficulty"), F.lit(r.impact).alias("expected_impact"),
-        ))
-    return x.select("site_id", F.inline(F.array(*rows)))
+        )
+        if r not in RULES:
+            return built
+        known[r.rule_id] = built
+    return known[r.rule_id]
 
 
 def rule_table(spark: SparkSession) -> DataFrame:

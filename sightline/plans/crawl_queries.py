@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import crawl, robots
-from .common import pick, pick_sql, table
+from .common import pick, pick_sql, spread, table
 
 AGENT = "Sightline-Bot"
 FOLDERS = ["a", "b", "a/b", "shop", "shop/new", "B", "x.y", ""]
@@ -65,7 +65,7 @@ def crawl_orders(spark, d):
     host = lambda k: F.concat(F.lit("https://s"), k, F.lit(".example"))
     sites = table(spark, d, "orders").select(o.alias("site_id"), F.when(o % 19 == 0, "http://localhost").otherwise(host(o)).alias("start_url"), (o % 6).alias("budget"))
     k, p = F.col("l_orderkey"), F.col("l_partkey")
-    x = table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("l_partkey"), F.min("l_discount").alias("l_discount"))
+    x = spread(table(spark, d, "lineitem")).groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("l_partkey"), F.min("l_discount").alias("l_discount"))
     url = F.concat(F.when(p % 7 == 0, F.lit("https://other.example")).when(p % 7 == 1, F.concat(F.lit("https://www.s"), k, F.lit(".example"))).otherwise(host(k)), F.lit("/"), pick(KINDS, p), F.when(p % 3 == 0, "").otherwise(F.concat(F.lit("/"), p % 2)))
     links = x.select(k.alias("site_id"), n.alias("pos"), url.alias("url"))
     sitemap = x.where(k % 3 == 0).select(k.alias("site_id"), n.alias("pos"), url.alias("url"), F.when(n % 2 == 0, F.col("l_discount")).alias("priority"))

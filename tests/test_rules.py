@@ -78,7 +78,7 @@ def test_derived_levels(spark):
 
 def mentioned(spark, texts, what):
     rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, body_text string")
-    return [r["v"] for r in rows.select("i", what(F.col("body_text")).alias("v")).orderBy("i").collect()]
+    return [r["v"] for r in rows.select("i", what("body_text").alias("v")).orderBy("i").collect()]
 
 
 def test_signals_look_around(spark):
