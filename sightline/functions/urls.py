@@ -68,7 +68,7 @@ def crawl_priority(url: Column) -> Column:
 
 def is_public(url: Column) -> Column:
     """Whether a fetch may go there: http(s), and no private, loopback,
-    link-local, carrier, multicast or metadata host."""
+    link-local, carrier, benchmark, multicast or metadata host."""
     # a host is found once, whatever is asked of it
     return F.coalesce(F.element_at(F.transform(F.array(F.struct(scheme(url).alias("scheme"), host(url).alias("host"))), lambda u: _is_public(u["scheme"], u["host"])), 1), F.lit(False))
 
@@ -78,7 +78,7 @@ def _is_public(kind: Column, h: Column) -> Column:
     number = lambda k: octet(k).try_cast("int")
     v4 = h.rlike(r"^\d{1,3}(\.\d{1,3}){3}$")
     a, b = number(1), number(2)
-    private = (a == 10) | (a == 127) | (a == 0) | (a >= 224) | ((a == 172) & b.between(16, 31)) | ((a == 192) & (b == 168)) | ((a == 169) & (b == 254)) | ((a == 100) & b.between(64, 127))
+    private = (a == 10) | (a == 127) | (a == 0) | (a >= 224) | ((a == 172) & b.between(16, 31)) | ((a == 192) & (b == 168)) | ((a == 169) & (b == 254)) | ((a == 100) & b.between(64, 127)) | ((a == 198) & b.between(18, 19))
     named = h.isin("localhost", "metadata.google.internal") | h.rlike(r"\.(localhost|local|internal)$")
     v6 = h.rlike(r"^\[(::1?|f[cd].*|fe[89ab].*|::ffff:.*)\]$")
     return F.coalesce(kind.isin("http", "https") & (h != "") & ~named & ~v6 & ~(v4 & private), F.lit(False))

@@ -75,7 +75,7 @@ def host_url_rules(spark, d):
 
 def url_parts(spark, d):
     u = F.col("url")
-    return table(spark, d, "pages").select("page_id", urls.scheme(u).alias("scheme"), urls.host(u).alias("host"), urls.site(u).alias("site"), urls.path(u).alias("path"), urls.path_depth(u).alias("depth"), urls.crawl_priority(u).alias("crawl_priority"))
+    return table(spark, d, "pages").select("page_id", urls.scheme(u).alias("scheme"), urls.host(u).alias("host"), urls.site(u).alias("site"), urls.path(u).alias("path"), urls.path_depth(u).alias("depth"), urls.is_public(u).alias("is_public"), urls.crawl_priority(u).alias("crawl_priority"))
 
 
 def rule_catalogue(spark, d):
@@ -87,8 +87,14 @@ QUERIES = {f.__name__: f for f in (host_pages, host_rule_results, host_scores, h
 _PARTS = """p AS (SELECT page_id, url, lower(regexp_extract(url, '^([a-z]+)://', 1)) AS scheme, lower(regexp_extract(url, '^[a-z]+://([^/?#:]*)', 1)) AS host, coalesce(nullif(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), ''), '/') AS path FROM pages),
 q AS (SELECT *, regexp_replace(host, '^www\\.', '') AS site, len(list_filter(string_split(path, '/'), lambda x: x <> '')) AS depth FROM p)"""
 
+#: Whether a fetch may go to a url, found from the whole url.
+_PUBLIC = """v AS (SELECT *, lower(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1)) AS kind, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\\[[^\\]]*\\]|[^/?#:]*)', 1)) AS h FROM q),
+w AS (SELECT *, CASE WHEN regexp_matches(h, '^[0-9]{1,3}([.][0-9]{1,3}){3}$') THEN TRY_CAST(split_part(h, '.', 1) AS INT) END AS a, TRY_CAST(split_part(h, '.', 2) AS INT) AS b FROM v),
+x AS (SELECT *, coalesce(kind IN ('http', 'https') AND h NOT IN ('', 'localhost', 'metadata.google.internal') AND NOT regexp_matches(h, '[.](localhost|local|internal)$') AND NOT regexp_matches(h, '^\\[(::1?|f[cd].*|fe[89ab].*|::ffff:.*)\\]$')
+  AND NOT coalesce(a IN (0, 10, 127) OR a >= 224 OR (a = 172 AND b BETWEEN 16 AND 31) OR (a = 192 AND b = 168) OR (a = 169 AND b = 254) OR (a = 100 AND b BETWEEN 64 AND 127) OR (a = 198 AND b IN (18, 19)), false), false) AS is_public FROM w)"""
+
 ORACLE_SQL = {
-    "url_parts": f"WITH {_PARTS} SELECT page_id, scheme, host, site, path, depth::INT AS depth, CASE WHEN regexp_matches(lower(path), '/faq') THEN 0 WHEN regexp_matches(lower(path), '/about') THEN 1 WHEN regexp_matches(lower(path), '/services?') THEN 2 WHEN regexp_matches(lower(path), '/contact') THEN 3 WHEN regexp_matches(lower(path), '/products?') THEN 4 ELSE 5 END AS crawl_priority FROM q",
+    "url_parts": f"WITH {_PARTS}, {_PUBLIC} SELECT page_id, scheme, host, site, path, depth::INT AS depth, is_public, CASE WHEN regexp_matches(lower(path), '/faq') THEN 0 WHEN regexp_matches(lower(path), '/about') THEN 1 WHEN regexp_matches(lower(path), '/services?') THEN 2 WHEN regexp_matches(lower(path), '/contact') THEN 3 WHEN regexp_matches(lower(path), '/products?') THEN 4 ELSE 5 END AS crawl_priority FROM x",
     "host_url_rules": f"""WITH {_PARTS}, s AS (SELECT site AS site_id, max(depth) <= 3 AS d, count(DISTINCT url) = count(*) AS u, count(*) FILTER (path <> '/') AS n, count(*) FILTER (path <> '/' AND ends_with(path, '/')) AS e FROM q GROUP BY 1)
       SELECT site_id, 'SEO-PAGE-DEPTH-001' AS rule_id, d AS passed, NULL::VARCHAR AS score_impact FROM s UNION ALL SELECT site_id, 'SEO-DUPLICATE-CONTENT-001', u, NULL FROM s
       UNION ALL SELECT site_id, 'SEO-TRAILING-SLASH-001', n < 2 OR e = 0 OR e = n, CASE WHEN n < 2 THEN 'not_applicable' END FROM s""",
