@@ -21,17 +21,18 @@ STOPWORDS = (
 
 def _stem(word: Column, endings: list[str], least: int) -> Column:
     """word without the first ending that leaves at least so many characters;
-    null if none does."""
-    fits = F.filter(F.array(*map(F.lit, endings)), lambda e: F.endswith(word, e) & (F.char_length(word) - F.char_length(e) >= least))
-    first = F.try_element_at(fits, F.lit(1))
-    return F.when(first.isNotNull(), F.substring(word, F.lit(1), F.char_length(word) - F.char_length(first)))
+    null if none does.  An ending that ends with another stands before it, so the
+    first that fits is the longest, and one look finds it."""
+    assert not any(e.endswith(x) for k, x in enumerate(endings) for e in endings[k + 1 :])
+    return F.nullif(F.regexp_extract(word, f"(?s)^(.{{{least},}}?)(?:{'|'.join(endings)})\\z", 1), F.lit(""))
 
 
 def classify(word: Column) -> Column:
     """(stem, kind) of a word: adjective, verb, noun, or null."""
     korean = (F.char_length(word) >= 2) & word.rlike("[가-힣]$")
     adjective, verb = F.when(korean, _stem(word, ADJECTIVE_ENDINGS, 1)), F.when(korean, _stem(word, VERB_ENDINGS, 1))
-    noun = F.coalesce(_stem(word, POSTPOSITIONS, 2), word)
+    # no ending but a Korean one
+    noun = F.coalesce(F.when(word.rlike("[가-힣]$"), _stem(word, POSTPOSITIONS, 2)), word)
     stop = lambda s: s.isin(STOPWORDS)
     kind = lambda s, k: F.struct(s.alias("stem"), F.lit(k).alias("kind"))
     none = F.lit(None).cast("struct<stem:string,kind:string>")
@@ -43,15 +44,17 @@ def words(pages: DataFrame, text: Column) -> DataFrame:
     """site_id, page, stem, kind, n, first: classified words of each page, how
     often each comes and where first (from 0, among all words).  A null text has
     none."""
-    x = pages.select("site_id", "page", F.posexplode(runs(text, WORD_END)).alias("at", "w")).select("site_id", "page", "at", classify(F.col("w")).alias("c")).where("c IS NOT NULL")
-    return x.groupBy("site_id", "page", F.col("c.stem").alias("stem"), F.col("c.kind").alias("kind")).agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first"))
+    # a page's words stay where the page is, so they are counted and ranked there
+    at = pages.select("site_id", "page", text.alias("_text")).repartition("site_id", "page")
+    x = at.select("site_id", "page", F.posexplode(runs(F.col("_text"), WORD_END)).alias("at", "w")).groupBy("site_id", "page", "w").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first"))
+    # each different word of a page is classified once
+    x = x.withColumn("c", F.explode(F.array_compact(F.array(classify(F.col("w"))))))
+    return x.groupBy("site_id", "page", F.col("c.stem").alias("stem"), F.col("c.kind").alias("kind")).agg(F.sum("n").alias("n"), F.min("first").alias("first"))
 
 
 def top_nouns(pages: DataFrame, text: Column, k: int = 10) -> DataFrame:
     """site_id, page, ``place``, ``word``, ``n``: the k most frequent nouns of each
-    page; of equally frequent ones the one that comes first.  A task gives no more
-    than k of a page to the last ranking, so the words of a long page stay where
-    they were counted."""
+    page; of equally frequent ones the one that comes first."""
     nouns = words(pages, text).where("kind = 'noun'")
     order = Window.partitionBy("site_id", "page").orderBy(F.desc("n"), "first")
     return nouns.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k).select("site_id", "page", "place", F.col("stem").alias("word"), "n")

@@ -61,7 +61,7 @@ TALK = ["강남 커피숍에서 커피를 마셨습니다.", "커피는 따뜻
 def top_nouns(spark, d):
     """Documents as pages with two Korean sentences after each."""
     i = F.col("doc_id")
-    pages = spread(table(spark, d, "documents")).select(F.col("source").alias("site_id"), i.alias("page"), F.concat_ws(" ", "text", pick(TALK, i), pick(TALK, i * 5 + 2)).alias("t"))
+    pages = table(spark, d, "documents").select(F.col("source").alias("site_id"), i.alias("page"), F.concat_ws(" ", "text", pick(TALK, i), pick(TALK, i * 5 + 2)).alias("t"))
     return korean.top_nouns(pages, F.col("t"), 5).select("page", "place", "word", "n")
 
 

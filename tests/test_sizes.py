@@ -6,6 +6,7 @@ from itertools import combinations
 
 from pyspark.sql import functions as F
 
+from sightline.functions import korean
 from sightline.operators import site_text
 from sightline.plans.registry import QUERIES
 
@@ -49,3 +50,20 @@ def test_duplicate_pairs_equal_all_pairs(spark):
     for got in (site_text.duplicate_sets(site_text.page_sets(df, F.col("text")), df), site_text.duplicate_ratio(site_text.page_terms(df, F.col("text")), df)):
         found = {r["site_id"]: (r["pages"], r["duplicate_pairs"]) for r in got.where("site_id IS NOT NULL").collect()}
         assert found == {s: (n[s], of.get(s, 0)) for s in n} and of["a"] > 100
+
+
+def test_top_nouns_shuffle_a_text_once(spark):
+    d, before = "/root/testdata/sf0.01", _shuffled(spark)
+    n = len(QUERIES["top_nouns"](spark, d).collect())
+    moved, (pages, size) = _shuffled(spark) - before, spark.read.parquet(f"{d}/documents.parquet").agg(F.count("*"), F.sum(F.octet_length("text"))).first()
+    assert pages < n <= 5 * pages and moved < size
+
+
+def test_a_stem_leaves_the_first_ending_that_fits(spark):
+    """One pattern finds what trying the endings in their order finds."""
+    kinds = [(korean.POSTPOSITIONS, 2), (korean.VERB_ENDINGS, 1), (korean.ADJECTIVE_ENDINGS, 1)]
+    ws = [stem + a + b for stem in ("", "커", "커피", "Cafe") for a in ("", *{e for es, _ in kinds for e in es}) for b in ("", "는", "다", "\u0085")]
+    df = spark.createDataFrame([(w,) for w in ws], "w string")
+    for endings, least in kinds:
+        want = {w: next((w[: -len(e)] for e in endings if w.endswith(e) and len(w) - len(e) >= least), None) for w in ws}
+        assert {r["w"]: r["s"] for r in df.select("w", korean._stem(F.col("w"), endings, least).alias("s")).collect()} == want
