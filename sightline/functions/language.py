@@ -22,6 +22,9 @@ AUTHOR = r"글쓴이|작성자|저자|글:\s|by\s+[가-힣A-Za-z]+|writer|편집
 EXPERTISE = r"경력\s*\d+\s*년|\d+\s*년\s*(?:경력|업력|운영|이상)|자격증|박사|석사|교수|전문가|전문의|전문직|인증|공인|면허|특허|연구원|학위|마스터|장인|10년|20년|N년"
 TRUST = r"수상|인증|후기|리뷰|평점|별점|만족도|TOP\s*\d+|\d+\s*명\s*(?:이상\s*)?(?:이용|선택|방문)|추천\s*\d+|구독자|회원\s*\d+"
 FRESH = r"(?:^|[^0-9A-Za-z_])\d{4}[-./]\d{1,2}[-./]\d{1,2}(?:$|[^0-9A-Za-z_])|\d{4}\s*년\s*\d{1,2}\s*월|최근\s*업데이트|업데이트:\s*\d{4}"
+#: FRESH without a character before or after the date, and only from where it can
+#: begin: a text has one of both or of none.
+FRESH_AT = r"(?=[0-9최업])(?:(?<![0-9A-Za-z_])\d{4}[-./]\d{1,2}[-./]\d{1,2}(?![0-9A-Za-z_])|\d{4}\s*년\s*\d{1,2}\s*월|최근\s*업데이트|업데이트:\s*\d{4})"
 #: Weights of the sources of a topic and how many of each, in their order.
 TOPIC_SOURCES = [("h1", 0.9, 1), ("h2", 0.7, 3), ("target_keywords", 0.6, 3), ("industry", 0.5, 1), ("region", 0.4, 1)]
 MOST_TOPICS = 5
@@ -73,7 +76,7 @@ def with_language(pages: DataFrame) -> DataFrame:
     x = pages.withColumns({"_body": body, "_low": F.lower(body), "_keys": F.coalesce("target_keywords", none)})
     x = x.withColumns({
         "_sentences": F.filter(F.transform(F.split("_low", f"[{SENTENCE_END}]+"), trimmed), lambda s: s != ""),
-        "_spoken": F.regexp_count("_body", F.lit(f"[^{SENTENCE_END}{BLANK}]+")),
+        "_spoken": F.size(runs(F.col("_body"), SENTENCE_END + BLANK)),
         "_paragraphs": F.size(F.filter(F.split("_body", f"\\n[{BLANK}]*\\n+"), lambda p: trimmed(p) != "")),
         "_words": runs(F.col("_body"), WORD_END),
         "_tokens": F.size(F.filter(runs(F.col("_body"), TOKEN_END), lambda w: (F.char_length(w) >= 2) & ~w.isin(STOPWORDS))),
@@ -95,7 +98,7 @@ def with_language(pages: DataFrame) -> DataFrame:
         "_sentence": F.when(s > 0, F.col("_spoken") / F.greatest(s, F.lit(1))).otherwise(0.0),
         "_paragraph": F.when(s > 0, s / F.greatest("_paragraphs", F.lit(1))).otherwise(0.0),
         "_found": F.transform("_keys", keyword),
-        "_author": F.regexp_like("_body", F.lit(f"(?iu){AUTHOR}")), "_expertise": hits(EXPERTISE), "_trust": hits(TRUST), "_fresh": F.regexp_like("_body", F.lit(FRESH)),
+        "_author": F.regexp_like("_body", F.lit(f"(?iu){AUTHOR}")), "_expertise": hits(EXPERTISE), "_trust": hits(TRUST), "_fresh": F.regexp_like("_body", F.lit(FRESH_AT)),
     })
     shares = F.filter(F.transform("_found", lambda k: k["share"]), lambda v: v.isNotNull())
     nlp = F.struct(

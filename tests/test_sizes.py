@@ -6,7 +6,7 @@ from itertools import combinations
 
 from pyspark.sql import functions as F
 
-from sightline.functions import korean
+from sightline.functions import korean, language
 from sightline.operators import site_text
 from sightline.plans.registry import QUERIES
 
@@ -67,3 +67,16 @@ def test_a_stem_leaves_the_first_ending_that_fits(spark):
     for endings, least in kinds:
         want = {w: next((w[: -len(e)] for e in endings if w.endswith(e) and len(w) - len(e) >= least), None) for w in ws}
         assert {r["w"]: r["s"] for r in df.select("w", korean._stem(F.col("w"), endings, least).alias("s")).collect()} == want
+
+
+def test_dates_and_words_are_found_as_by_the_plain_patterns(spark):
+    """What finds a date or counts words quickly gives what the patterns say."""
+    dates = ["2024-03-05", "2024.3.5", "x2024-03-05", "2024-03-051", "12024-03-05", "2024-03-05x", "_2024/3/5", "2024-3-5_", "2024-03-05\n", "2024년 3월", "최근 업데이트", "업데이트: 2024", "업데이트:", "2024", "한2024-1-1한", ""]
+    bodies = [b + d + a for d in dates for b in ("", " ", "a", "7", ".") for a in ("", "\n", ". b", "9", "!?")]
+    pages = spark.createDataFrame([(k, b) for k, b in enumerate(bodies)], "k int, body_text string").selectExpr("*", *(f"cast(null AS {t}) AS {c}" for c, t in (("title", "string"), ("h1", "string"), ("h2", "array<string>"), ("industry", "string"), ("region", "string"), ("target_keywords", "array<string>"))))
+    x = language.with_language(pages)
+    assert not re.search(r"regexp_count\(_body#\d+, \[\^", x._jdf.queryExecution().analyzed().toString())
+    got = x.select(F.col("nlp.fresh").alias("fresh"), F.regexp_like("body_text", F.lit(language.FRESH)).alias("want"), F.col("nlp.avg_sentence").alias("mean"), F.regexp_count("body_text", F.lit(f"[^{language.SENTENCE_END}{language.BLANK}]+")).alias("words"), "body_text").collect()
+    assert {True, False} == {r["fresh"] for r in got} and all(r["fresh"] == r["want"] for r in got)
+    n = lambda t: sum(s.strip() != "" for s in re.split(r"[.!?。！？\n]+", t))
+    assert all(abs(r["mean"] - (r["words"] / n(r["body_text"]) if n(r["body_text"]) else 0)) < 0.006 for r in got)
