@@ -80,3 +80,9 @@ def test_dates_and_words_are_found_as_by_the_plain_patterns(spark):
     assert {True, False} == {r["fresh"] for r in got} and all(r["fresh"] == r["want"] for r in got)
     n = lambda t: sum(s.strip() != "" for s in re.split(r"[.!?。！？\n]+", t))
     assert all(abs(r["mean"] - (r["words"] / n(r["body_text"]) if n(r["body_text"]) else 0)) < 0.006 for r in got)
+
+
+def test_pages_without_terms_have_no_duplicates(spark):
+    df = spark.createDataFrame([("a", 1, "!"), ("a", 2, None), ("b", 1, "")], "site_id string, page int, text string")
+    got = site_text.duplicate_sets(site_text.page_sets(df, F.col("text")), df)
+    assert {tuple(r) for r in got.collect()} == {("a", 2, 0, 0.0), ("b", 1, 0, 0.0)}
